@@ -24,9 +24,9 @@ from .labelled import fit, fold, sample
 from .textvec import byte_values, chunks, mix, word_hashes
 
 BITS = 20
-TRAIN_DOCS = 12_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 2.0, 1.0
+TRAIN_DOCS = 15_000
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 0.2, 1.0, 8.0, 0.1
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 _VALUES = byte_values("lower")
