@@ -1,7 +1,7 @@
 """The queries of this folder and their SQL."""
 
-from . import decontaminate, exact_dedup, licenses, simhash
+from . import decontaminate, exact_dedup, licenses, packing, quality, simhash, toxicity
 
-MODULES = (decontaminate, licenses, simhash, exact_dedup)
+MODULES = (toxicity, quality, packing, decontaminate, licenses, simhash, exact_dedup)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
