@@ -8,8 +8,8 @@ anti-join that does not shuffle the index, and what is new is appended.
 Defined results: a null text is the empty text. Of the equal texts of a batch
 the largest doc_id stays; if the digest was indexed by an earlier batch, the
 document recorded there stays and none of the batch does. Rows with a null
-doc_id are counted and never stay. Rows that repeat both id and text carry
-the same verdict. An empty batch gives an empty result. Columns other than
+doc_id are counted, and stay only if no row with that text has an id. Rows that
+repeat both id and text carry the same verdict. An empty batch gives an empty result. Columns other than
 doc_id and text are never read.
 """
 
@@ -20,9 +20,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_path, stored
+from .common import ascii_lower, shared_path, small_side, stored
 
 BUCKETS = 64
+#: Most dropped rows that are sent to every executor; beyond it the join shuffles.
+BROADCAST_DROPPED = 500_000
 
 
 class DigestIndex:
@@ -79,11 +81,18 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
         "doc_id",
         "keep_id",
         "group_size",
-        F.coalesce(F.col("fresh") & (F.col("doc_id") == F.col("keep_id")), F.lit(False)).alias("kept"),
+        (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
+def deduplicated(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    dropped = stored(dedup(docs, index).where("NOT kept").select(F.col("doc_id").alias("gone"), "text_sha256").distinct(), "dropped")
+    digest = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
+    return docs.join(small_side(dropped, BROADCAST_DROPPED), docs["doc_id"].eqNullSafe(F.col("gone")) & (digest == F.col("text_sha256")), "left_anti")
+
+
 def op10_digest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against a new index."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), DigestIndex(spark, shared_path(spark, "digest-index")))

@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_side, stored
 from .components import components
 
 SHINGLE = 4
 MAX_BITS = 4
 #: First bit and width of each segment.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Most dropped ids that are sent to every executor; beyond it the join shuffles.
+BROADCAST_DROPPED = 500_000
 #: Shingle hashes that are counted at once, however long the text is.
 BLOCK = 1 << 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -136,6 +138,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     return rows.join(classes.hint("merge"), "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component, and those without an id; all columns."""
+    dropped = near_duplicates(docs, max_bits).where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(small_side(stored(dropped, "dropped"), BROADCAST_DROPPED), docs["doc_id"] == F.col("gone"), "left_anti")
+
+
 def _hex(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

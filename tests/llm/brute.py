@@ -86,5 +86,5 @@ def exact(docs):
     out = []
     for text, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
-        out += [(i, keep, len(ids), i is not None and i == keep, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
+        out += [(i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
     return out
