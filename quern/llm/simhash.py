@@ -6,13 +6,14 @@ into 3 segments: of 4 differing bits at most one lies in some segment. So each
 segment is indexed by its one-wildcard variants (64 keys a fingerprint in all),
 and fingerprints that share a key are compared.
 
-Work is on distinct fingerprints, so copies cost nothing. Within a bucket of a
-key, all pairs are not emitted: each fingerprint is first compared with its
-neighbour in sorted order, and components are formed of these links; then only
-fingerprints of different components are compared, those of a bucket's largest
-component on one side only, and a pair is reported under one key at most.
-No link between components is lost, as every pair within reach that is skipped
-is already connected.
+Work is on distinct fingerprints, so copies cost nothing. A bucket of a key with
+few fingerprints (mostly chance) is compared pair by pair where it lies. In a
+large bucket (many near copies), all pairs are not emitted: each fingerprint is
+compared with its neighbour in sorted order, and components are formed of the
+links so far; then only fingerprints of different components are compared, those
+of a bucket's largest component on one side only. A pair is reported under one
+key at most. No link between components is lost, as every pair within reach that
+is skipped is already connected.
 
 Defined results: null is the empty text; a text without words has fingerprint
 zero. Rows with a null doc_id get the component of their fingerprint (null if
@@ -37,6 +38,8 @@ SHINGLE = 4
 MAX_BITS = 4
 #: First bit and width of each segment.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Buckets of at most so many fingerprints are compared pair by pair where they lie; larger ones by components.
+SMALL_BUCKET = 32
 #: Most dropped ids that are sent to every executor; beyond it the join shuffles.
 BROADCAST_DROPPED = 500_000
 #: Shingle hashes that are counted at once, however long the text is.
@@ -76,61 +79,70 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _variants(fps: DataFrame, segments=SEGMENTS) -> DataFrame:
-    """fps with a row for each key: the segment's number, the wildcard's place, and the other bits."""
+    """fp and key, a row for each of its keys: the wildcard's place above bit 32, below it the segment's other bits."""
     keys = []
     for at, width in segments:
-        for i in range(at, at + width):
-            kept = ((1 << width) - 1) << at & ~(1 << i)
-            signed = kept - (1 << 64) if kept >> 63 else kept
-            keys.append(F.col("fp").bitwiseAND(F.lit(signed)))
-    return fps.select("*", F.posexplode(F.array(*keys)).alias("variant", "bits"))
+        for i in range(width):
+            kept = ((1 << width) - 1) & ~(1 << i)
+            keys.append(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit(kept)).bitwiseOR(F.lit((at + i) << 32)))
+    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
 def _first_key(diff: str, segments=SEGMENTS) -> str:
-    """SQL for the one variant under which a pair that differs in ``diff`` is reported."""
+    """SQL for the wildcard under which a pair that differs in ``diff`` is reported."""
     whens = []
     for at, width in segments:
-        mask = ((1 << width) - 1) << at
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        part = f"shiftrightunsigned({diff} & {mask}L, {at})"
+        part = f"(shiftrightunsigned({diff}, {at}) & {(1 << width) - 1}L)"
         whens.append(f"WHEN bit_count({part}) = 0 THEN {at} WHEN bit_count({part}) = 1 THEN {at} + bit_count({part} - 1)")
     return "CASE " + " ".join(whens) + " END"
 
 
+def _within(a: str, b: str, max_bits: int, segments) -> str:
+    """SQL: the pair links, and ``key`` is the one that reports it."""
+    return f"bit_count({a} ^ {b}) <= {max_bits} AND ({_first_key(f'({a} ^ {b})', segments)}) = shiftrightunsigned(key, 32)"
+
+
 def linked(fps: DataFrame, max_bits: int = MAX_BITS, segments=SEGMENTS) -> DataFrame:
     """node, root for distinct fingerprints (column fp) that have a link; root is the least fp of the component."""
-    bucket = Window.partitionBy("variant", "bits")
+    bucket = Window.partitionBy("key").orderBy("fp")
     indexed = (
-        _variants(fps.select("fp"), segments)
-        .withColumn("before", F.lag("fp").over(bucket.orderBy("fp")))
-        .withColumn("after", F.lead("fp").over(bucket.orderBy("fp")))
-        .where("before IS NOT NULL OR after IS NOT NULL")  # alone in its bucket: no candidate
-        .select("variant", "bits", "fp", "before")
+        _variants(fps, segments)
+        .withColumn("before", F.lag("fp").over(bucket))
+        .withColumn("n", F.count("*").over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        .where("n > 1")  # alone in its bucket: no candidate
     )
     indexed = stored(indexed, "variants")
-    near = indexed.where(f"bit_count(fp ^ before) <= {max_bits}").select(F.col("fp").alias("a"), F.col("before").alias("b")).distinct()
-    chained = stored(components(near), "chained")
-    named = indexed.select("variant", "bits", "fp").join(chained.withColumnRenamed("node", "fp"), "fp", "left").select("variant", "bits", "fp", F.coalesce("root", "fp").alias("label"))
-    named = stored(named, "named")
-    sizes = named.groupBy("variant", "bits", "label").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("variant", "bits").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    open_ = stored(named.join(split, ["variant", "bits"]), "open")
-    left = open_.where("label <> largest").select("variant", "bits", "fp", "label")
-    right = open_.select("variant", "bits", F.col("fp").alias("fp2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("in_largest"))
-    reach = F.expr(f"label <> label2 AND bit_count(fp ^ fp2) <= {max_bits} AND (in_largest OR fp < fp2) AND ({_first_key('(fp ^ fp2)', segments)}) = variant")
-    across = left.join(right.hint("merge"), ["variant", "bits"]).where(reach).select(F.col("label").alias("a"), F.col("label2").alias("b"))
-    joined = stored(components(stored(across.distinct(), "across")).select(F.col("node").alias("label"), F.col("root").alias("top")), "joined")
+    pairs = f"flatten(transform(fps, (a, i) -> transform(filter(slice(fps, i + 2, n), b -> {_within('a', 'b', max_bits, segments)}), b -> struct(a AS a, b AS b))))"
+    small = indexed.where(F.col("n") <= SMALL_BUCKET).groupBy("key", "n").agg(F.collect_list("fp").alias("fps")).select(F.explode(F.expr(pairs)).alias("link")).select("link.a", "link.b")
+    large = indexed.where(F.col("n") > SMALL_BUCKET)
+    near = large.where(f"bit_count(fp ^ before) <= {max_bits}").select(F.col("fp").alias("a"), F.col("before").alias("b"))
+    chained = stored(components(small.unionByName(near)), "chained")
+    joined = stored(_across(large, chained, max_bits, segments), "joined")
     roots = chained.select("node", F.col("root").alias("label")).unionByName(
         joined.join(chained.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), "label")
     )
     return roots.join(joined, "label", "left").select("node", F.coalesce("top", "label").alias("root"))
 
 
+def _across(large: DataFrame, chained: DataFrame, max_bits: int, segments) -> DataFrame:
+    """label, top: what the links between different components of large buckets join."""
+    named = large.select("key", "fp").join(chained.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("label"))
+    named = stored(named, "named")
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    open_ = stored(named.join(split, "key"), "open")
+    left = open_.where("label <> largest").select("key", "fp", "label")
+    right = open_.select(F.col("key").alias("key2"), F.col("fp").alias("fp2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("in_largest"))
+    reach = F.expr(f"key = key2 AND label <> label2 AND (in_largest OR fp < fp2) AND {_within('fp', 'fp2', max_bits, segments)}")
+    across = left.join(right.hint("merge"), reach).select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct()
+    return components(across).select(F.col("node").alias("label"), F.col("root").alias("top"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id reachable over links."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = stored(linked(fps, max_bits), "roots")
+    roots = stored(linked(fps.select("fp"), max_bits), "roots")
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = stored(named, "rooted")
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
