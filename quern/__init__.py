@@ -1,0 +1 @@
+"""Semantic retrieval, catalog and chat analytics as PySpark DataFrame operations."""
