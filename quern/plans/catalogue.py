@@ -1,6 +1,6 @@
 """All query modules of the library; importing this registers them."""
 
-from . import relational_queries, search_queries, text_queries  # noqa: F401
+from . import event_queries, relational_queries, search_queries, text_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1 +1 @@
-
+"""Stateful event processing, each as a batch operator and as a streaming query with the same result."""
