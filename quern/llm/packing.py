@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,12 +56,10 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         end, before, own = np.array([end_id], bpe.dtype).tobytes(), 0, {}
         for b in batches:
             row = 0
-            lengths = b.column(2).cast(pa.large_binary())
+            chars = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             while row < len(b):
-                to, chars = row, 0
-                while to < len(b) and (to == row or (to - row < STEP_ROWS and chars < STEP_CHARS)):
-                    chars += len(lengths[to].as_py() or b"")
-                    to += 1
+                to = int(np.searchsorted(chars, chars[row] + STEP_CHARS, "right"))
+                to = min(max(to, row + 1), row + STEP_ROWS)
                 part = b.slice(row, to - row)
                 ids = [x + end for x in bpe.encode([t or "" for t in part.column(2).to_pylist()])]
                 tokens, all_before, own_before = [len(x) // bpe.dtype.itemsize for x in ids], [], []

@@ -15,13 +15,15 @@ from functools import cache
 
 import numpy as np
 
-#: The tokenizer's word rule, for the characters of _PLAIN.
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: The tokenizer's word rule for lower-cased text, ASCII and of the other characters that _OTHER lets pass.
+_ASCII_WORD = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9\s]+", re.A)
+_WORD = re.compile(r"[a-zß-öø-žſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9ß-öø-ž]+")
+_PLAIN_ASCII = bytes([*range(9, 14), *range(32, 127)])
 #: Any character outside these sends the text to the tokenizer whole (their lower case, width and class are beyond doubt).
 _OTHER = re.compile("[^\t-\r -~¡-©«-±´¶-¸»¿-ňŊ-ž]|İ")
 _WORD_END = "</w>"
 #: Words kept between batches; longer words are not kept.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 LONGEST_KEPT = 48
 
 
@@ -58,11 +60,19 @@ class WordBpe:
         for word, a, b in zip(words, at, at[1:]):
             self.known[word] = raw[a:b]
 
+    def _words(self, text: str) -> list[str] | None:
+        """None if the text must go to the tokenizer whole."""
+        if any(s in text for s in self.specials):
+            return None
+        if text.isascii():
+            return None if text.encode().translate(None, _PLAIN_ASCII) else _ASCII_WORD.findall(text.lower())
+        return None if _OTHER.search(text) else _WORD.findall(text.lower())
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _OTHER.search(t) or any(s in t for s in self.specials) else _WORD.findall(t.lower()) for t in texts]
+        split = [self._words(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = {w for words in split if words for w in set(words) if w not in self.known}
+        new = set().union(*filter(None, split)).difference(self.known)
         if new:
             self._learn(sorted(new))
         known = self.known
