@@ -177,4 +177,17 @@ def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_positional_index": op6_positional_index}
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = {
+    "op6_positional_index": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, w, CAST(least({WINDOW}, len(w)) AS BIGINT) AS width FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, width, array_to_string(w[s + 1 : s + width], ' ') AS shingle FROM (SELECT *, unnest(range(len(w) - width + 1)) AS s FROM i)),
+dw AS (SELECT doc_id, width, s, array_to_string(w[s + 1 : s + width], ' ') AS shingle FROM (SELECT doc_id, w, width, unnest(range(greatest(len(w) - width + 1, 0))) AS s FROM d, (SELECT DISTINCT width FROM i))),
+h AS (SELECT doc_id, s, width, item_id FROM dw JOIN iw USING (width, shingle)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + width)) AS p FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+}

@@ -4,8 +4,9 @@ A page is read once into text nodes, each with its root-to-leaf path of block
 tags. Every path gets the mean length and the mean punctuation of its nodes and
 the share of its text that is links. Ratios are smoothed with those of sibling
 paths (same parent), weighted by text; length and punctuation are fused as a
-product of logarithms, lowered by links and raised inside article or main. Paths
-whose fused ratio reaches THRESHOLD of the page's best are content.
+product of logarithms, lowered by links. Paths whose fused ratio reaches a share
+of the page's best are content: LOW where the path is inside article or main (or
+the page has neither: THRESHOLD), HIGH beside them.
 
 What a page says about itself counts first: text in nav, header, footer, aside,
 forms, scripts and the like, or in elements whose class, id or role names such a
@@ -31,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.12
-INSIDE = 3.0
+THRESHOLD, LOW, HIGH = 0.12, 0.02, 0.75
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Fixed values of HTML: elements without content, with raw content, and inside lines.
@@ -46,11 +46,13 @@ _CLOSES = {
 #: Elements and words in class, id or role that tell a part is not the article.
 _NOT_TAGS = frozenset("nav header footer aside form button menu dialog head".split()) | _RAW
 NOT_CONTENT = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "header masthead footer colophon sidebar sidebars side aside widget widgets toolbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments "
-    "commentlist disqus respond reply replies discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager copyright legal "
+    "ad ads adv adbox adslot adunit adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs "
+    "header masthead footer colophon sidebar sidebars rail aside widget widgets toolbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments "
+    "commentlist disqus respond reply replies responses feedback topbar discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager copyright legal "
     "contentinfo complementary hidden".split()
 )
+#: With these words, a header is the article's own.
+_OWN_HEADER = frozenset("entry post article story content".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？¿¡]")
 
 
@@ -69,7 +71,9 @@ def _names(attributes: str) -> tuple[str, bool]:
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id", "role"):
-            barred = barred or any(w in NOT_CONTENT for w in re.split(r"[^a-z]+", value))
+            words = set(re.split(r"[^a-z]+", value))
+            words -= {"header"} if words & _OWN_HEADER else set()
+            barred = barred or not words.isdisjoint(NOT_CONTENT)
             path = path or (f".{value}" if name == "class" else "")
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             barred = True
@@ -164,9 +168,11 @@ def _kept_paths(blocks: list[tuple[Node, str]]) -> set[str]:
     for path, (size, n, marks, links) in sums.items():
         near = groups[about[path].parent]
         length, punctuation = (size / n + near[0] / near[1]) / 2, (marks / n + near[2] / near[1]) / 2
-        fused[path] = math.log1p(length) * math.log1p(1 + punctuation) * (1 - links / size) * (INSIDE if about[path].inside else 1)
-    best = max(fused.values(), default=0)
-    return {path for path, ratio in fused.items() if ratio >= THRESHOLD * best and ratio > 0}
+        fused[path] = math.log1p(length) * math.log1p(1 + punctuation) * (1 - links / size)
+    marked = any(node.inside for node in about.values())
+    best = max((ratio for path, ratio in fused.items() if about[path].inside or not marked), default=0)
+    share = {path: (LOW if about[path].inside else HIGH) if marked else THRESHOLD for path in fused}
+    return {path for path, ratio in fused.items() if ratio >= share[path] * best and ratio > 0}
 
 
 def content(page: str | None) -> list[str]:

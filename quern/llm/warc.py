@@ -242,8 +242,15 @@ def capture_index(pages: DataFrame, path: str) -> DataFrame:
 
 def op4_loser_tree_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = capture_index(spark.read.parquet(f"{sf_dir}/pages.parquet"), shared_path(spark, "warc"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "archive", "record_at")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {"op4_loser_tree_warc": op4_loser_tree_warc}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_loser_tree_warc": f"""
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {REVISIT_FROM} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes >= {REVISIT_FROM} AND page_id <> first THEN first END AS refers_to FROM f
+"""
+}

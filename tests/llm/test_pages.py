@@ -65,8 +65,9 @@ def test_query_matches_the_pages(spark):
     pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
     got = warc.op4_loser_tree_warc(spark, SF).collect()
     assert sorted((tuple(r[c] for c in COLUMNS) for r in got), key=repr) == sorted(expected(pages), key=repr)
-    keys = [(r.urlkey.encode(), r.captured, r.page_id) for r in got]
-    assert keys == sorted(keys)
+    index = warc.capture_index(spark.read.parquet(f"{SF}/pages.parquet"), shared_path(spark, "t"))
+    keys = [(r.urlkey.encode(), r.captured, r.page_id) for r in index.collect()]
+    assert len(keys) == len(pages) and keys == sorted(keys)
 
 
 def test_loser_tree():
@@ -104,3 +105,12 @@ def test_articles(spark):
         assert r.text == " ".join(html.unescape(text).split()) and r.n_chars == len(r.text)
     assert html_text.extract(frame(spark, [])).count() == 0
     assert html_text.extract(frame(spark)).count() == len(PAGES)
+
+
+def test_parts_that_are_no_article():
+    text = "Words of the article, more than a few; they end here."
+    page = f"""<body><div class="site-header">Site name</div><div class="topbar menu"><ul><li>Home</li></ul></div><div class=content>
+    <article class="post"><div class="entry-header"><h1>Title</h1></div><p>{text}</p><ul><li>one</li><li>two</li></ul><table><tr><td>1</td><td>b</td></tr></table>
+    <div class="ad-slot">Buy now, it is cheap. Really, it is.</div><form><p>Your name, please.</p></form><section id="comments"><article class="comment"><p>I disagree, strongly. No!</p></article></section></article>
+    <div class="right-rail">Most read, this week.</div><p>Loose.</p></div><div role="alert">Notice: we moved.</div></body>"""
+    assert html_text.content(page) == ["Title", text, "one", "two", "1", "b"]
