@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.sources.files import stored
+
 
 def latest(rows: DataFrame, by: list[str], n: int, time: str = "created_at", tie: str = "message_id") -> DataFrame:
     """The newest n rows of each group, newest first by column rank."""
@@ -46,16 +48,21 @@ def folded_reactions(events: DataFrame) -> DataFrame:
 
 
 def thread_roots(messages: DataFrame, max_depth: int = 64) -> DataFrame:
-    """message_id, root_id, depth: up the replies by pointer doubling, a join for each doubling.
+    """message_id, root_id, depth: up the replies by pointer doubling until all are at their roots.
 
-    A missing parent ends the walk; a cycle ends it at ``max_depth``.
+    A missing parent ends the walk; a cycle ends it at ``max_depth``. A round is
+    one join over narrow rows, written to the shared folder so that plans do not
+    double with the pointers.
     """
     at = messages.alias("m").join(messages.select(F.col("message_id").alias("p")), F.col("m.reply_to") == F.col("p"), "left")
-    at = at.select(F.col("m.message_id").alias("message_id"), F.coalesce("p", "m.message_id").alias("root_id"), F.when(F.col("p").isNull(), 0).otherwise(1).alias("depth"))
+    at = stored(at.select(F.col("m.message_id").alias("message_id"), F.coalesce("p", "m.message_id").alias("root_id"), F.when(F.col("p").isNull(), 0).otherwise(1).alias("depth")), "threads")
     reach = 1
     while reach < max_depth:
-        up = at.select(F.col("message_id").alias("root_id"), F.col("root_id").alias("next"), F.col("depth").alias("more"))
-        at = at.join(up, "root_id").select("message_id", F.col("next").alias("root_id"), (F.col("depth") + F.col("more")).alias("depth"))
+        up = at.where("depth > 0").select(F.col("message_id").alias("root_id"), F.col("root_id").alias("next"), F.col("depth").alias("more"))
+        moved = stored(at.join(up, "root_id", "left"), "threads")
+        at = moved.select("message_id", F.coalesce("next", "root_id").alias("root_id"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        if moved.where("more > 0").isEmpty():
+            break
         reach *= 2
     return at
 

@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/quern/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Written to the shared folder and read back, so that an iteration's plan stays one round long."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
     """Quoted, trimmed CSV with a header; rows that lack a required field are left out."""
     df = spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(path)
