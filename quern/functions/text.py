@@ -244,5 +244,11 @@ def is_handle(text: Column) -> Column:
     return text.rlike("^[a-z]+-[a-z]+$")
 
 
+def handle(seed: Column, first: list[str], second: list[str]) -> Column:
+    """A word of each list joined by a hyphen, by two hashes of the seed: the same seed gives the same handle."""
+    pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.crc32(F.concat(seed.cast("string"), F.lit(salt)).cast("binary")), F.lit(len(words))) + 1).cast("int"))
+    return F.concat(pick(first, "a"), F.lit("-"), pick(second, "n"))
+
+
 def size_status(mb: Column, yellow: float, red: float) -> Column:
     return F.when(mb >= red, "RED").when(mb >= yellow, "YELLOW").otherwise("GREEN")

@@ -204,3 +204,19 @@ def nearest_by_metric(spark, sf_dir):
     e, q = S.table(spark, sf_dir, "embeddings"), S.query_vectors(spark, sf_dir)
     legs = [retrieval.knn(e, q, 5, metric, id_col="vec_id").select(F.lit(metric).alias("metric"), "query_id", "vec_id", "rank") for metric in ("euclidean", "dot")]
     return legs[0].unionByName(legs[1])
+
+
+@query("v07_similarity_matrix", "SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id < 8")
+def similarity_matrix(spark, sf_dir):
+    v = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return retrieval.similarity_matrix(v, v.where("id < 8")).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("v10_dimension_guard", "SELECT vec_id, CAST(len(embedding) AS INT) AS dims FROM embeddings")
+def dimension_guard(spark, sf_dir):
+    return S.table(spark, sf_dir, "embeddings").select("vec_id", F.size(vectors.checked("embedding", 64)).alias("dims"))
+
+
+@query("j02_batch_knn_blocks", f"{HEAD} SELECT query_id, song_id, CAST(rank AS INT) AS rank, round(distance, 6) AS distance FROM ranked WHERE rank <= 7")
+def batch_knn_blocks(spark, sf_dir):
+    return retrieval.knn_blocks(retrieval.eligible(S.vector_songs(spark, sf_dir)), S.query_vectors(spark, sf_dir), 7).withColumn("distance", F.round("distance", 6))

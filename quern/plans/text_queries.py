@@ -244,3 +244,9 @@ def backoff(spark, sf_dir):
 @query("w08_alternate_scores", f"{REAL} SELECT song_id, CAST(i AS INT) AS i, tag, round(0.8 - 0.1 * i, 6)::DOUBLE AS score FROM (SELECT song_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS i FROM songs)")
 def alternate_scores(spark, sf_dir):
     return S.songs(spark, sf_dir).select("song_id", F.posexplode("tags").alias("i", "tag")).withColumn("score", F.round(scores.alternate_score(F.col("i")), 6))
+
+
+@query("c22_handles", f"WITH {S.USERS} SELECT user_id, true AS valid FROM users")
+def handles(spark, sf_dir):
+    made = T.handle(F.col("user_id"), ["calm", "bright", "quiet"], ["river", "stone", "cloud", "song"])
+    return S.users(spark, sf_dir).select("user_id", T.is_handle(made).alias("valid"))

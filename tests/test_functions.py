@@ -122,3 +122,12 @@ def test_knn_plan_keeps_k_rows_a_task(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_vector array<double>")
     plan = retrieval.knn(songs, q, 3)._jdf.queryExecution().executedPlan().toString()
     assert re.search("WindowGroupLimit.*Partial", plan) and "CartesianProduct" not in plan
+
+
+def test_blocks_equal_pairs(spark):
+    rng = np.random.default_rng(3)
+    songs = spark.createDataFrame([(i, rng.normal(size=6).tolist() if i % 10 else None) for i in range(300)] + [(300, [0.0] * 6)], "song_id long, embedding array<double>").repartition(5)
+    q = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(4)], "query_id long, query_vector array<double>")
+    take = lambda df: sorted((r.query_id, r["rank"], r.song_id, round(r.distance, 9)) for r in df.collect())
+    assert take(retrieval.knn_blocks(songs, q, 8)) == take(retrieval.knn(songs.where("embedding IS NOT NULL"), q, 8))
+    assert retrieval.knn_blocks(songs, q.limit(0), 8).count() == 0 == retrieval.knn_blocks(songs.limit(0), q, 8).count()
