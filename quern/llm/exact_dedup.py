@@ -88,9 +88,11 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def deduplicated(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = stored(dedup(docs, index).where("NOT kept").select(F.col("doc_id").alias("gone"), "text_sha256").distinct(), "dropped")
+    head = lambda sha: F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")  # noqa: E731  60 bits beside the id
+    dropped = dedup(docs, index).where("NOT kept").select(F.col("doc_id").alias("_quern_id"), head("text_sha256").alias("_quern_head")).distinct()
+    dropped = small_side(stored(dropped, "dropped"), BROADCAST_DROPPED)
     digest = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
-    return docs.join(small_side(dropped, BROADCAST_DROPPED), docs["doc_id"].eqNullSafe(F.col("gone")) & (digest == F.col("text_sha256")), "left_anti")
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_quern_id")) & (head(digest) == F.col("_quern_head")), "left_anti")
 
 
 def op10_digest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
