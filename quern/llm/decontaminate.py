@@ -167,9 +167,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns."""
-    hit = stored(phrase_hits(docs, benchmark).where("n_hit > 0").select("doc", "key"), "hits")
+    hit = stored(phrase_hits(docs, benchmark).where("n_hit > 0").select(F.col("doc").alias("_quern_doc"), F.col("key").alias("_quern_key")), "hits")
     key = row_key(docs["doc_id"], docs["text"])
-    return docs.join(small_side(hit, BROADCAST_KEYS), docs["doc_id"].eqNullSafe(F.col("doc")) & (key == F.col("key")), "left_anti")
+    return docs.join(small_side(hit, BROADCAST_KEYS), docs["doc_id"].eqNullSafe(F.col("_quern_doc")) & (key == F.col("_quern_key")), "left_anti")
 
 
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ EPOCHS = 6
 RATE = 0.5
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
+#: The column that scores() adds.
+SCORE = "_quern_quality"
 _WORDS = byte_values("space")
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 #: A word that repeats the one before it is a token of its own: which word it is does not matter.
@@ -91,7 +93,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[n
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """``docs`` as it is (text first cast to string) with a column score."""
+    """``docs`` with all its columns and a further one, SCORE."""
     slot, bias = model
     place = docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -104,9 +106,9 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 n = np.bincount(text, minlength=len(offsets) - 1)
                 means.append(np.bincount(text, slot[at], len(offsets) - 1) / np.maximum(n, 1))
             x = (np.concatenate(means) if means else np.empty(0)) + bias
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(x, -35, 35))))], [*b.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(x, -35, 35))))], [*b.schema.names, SCORE])
 
-    return docs.mapInArrow(run, f"{schema}, quality_score double")
+    return docs.mapInArrow(run, f"{schema}, {SCORE} double")
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
@@ -114,8 +116,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     return scores(docs.select("doc_id", "text"), model).select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
-        F.col("quality_score").alias("score"),
-        (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"),
+        F.col(SCORE).alias("score"),
+        (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"),
     )
 
 

@@ -40,6 +40,8 @@ MAX_BITS = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Buckets of at most so many fingerprints are compared pair by pair where they lie; larger ones by components.
 SMALL_BUCKET = 32
+#: Above so many distinct fingerprints (16 a bucket by chance) keys also hold a part of the other bits.
+MANY = 1 << 24
 #: Most dropped ids that are sent to every executor; beyond it the join shuffles.
 BROADCAST_DROPPED = 500_000
 #: Shingle hashes that are counted at once, however long the text is.
@@ -78,53 +80,84 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _variants(fps: DataFrame, segments=SEGMENTS) -> DataFrame:
-    """fp and key, a row for each of its keys: the wildcard's place above bit 32, below it the segment's other bits."""
+def _parts(width: int, parts: int) -> list[tuple[int, int]]:
+    """First bit and width of the parts into which the bits beside a segment are cut; one empty part if they are not."""
+    rest, cuts = 64 - width, []
+    for j in range(parts):
+        first = rest * j // parts
+        cuts.append((first, rest * (j + 1) // parts - first))
+    return cuts if parts > 1 else [(0, 0)]
+
+
+def _beside(fp: str, at: int, width: int) -> str:
+    """SQL for the bits beside a segment, moved to the low end."""
+    to = (at + width) % 64
+    return f"(shiftrightunsigned({fp}, {to}) | shiftleft({fp}, {64 - to}))" if to else fp
+
+
+def _variants(fps: DataFrame, segments=SEGMENTS, parts: int = 1) -> DataFrame:
+    """fp and key, a row for each of its keys.
+
+    From the top: the wildcard's place, the number of the part, the segment's
+    bits but the wildcard, the part's bits (9 at most).
+    """
     keys = []
     for at, width in segments:
-        for i in range(width):
-            kept = ((1 << width) - 1) & ~(1 << i)
-            keys.append(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit(kept)).bitwiseOR(F.lit((at + i) << 32)))
+        for j, (first, size) in enumerate(_parts(width, parts)):
+            part = f"(shiftrightunsigned({_beside('fp', at, width)}, {first}) & {(1 << size) - 1}L)"
+            for i in range(width):
+                kept = ((1 << width) - 1) & ~(1 << i)
+                keys.append(F.expr(f"(shiftrightunsigned(fp, {at}) & {kept}L) << 9 | {part} | {((at + i) * 8 + j) << 32}L"))
     return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def _first_key(diff: str, segments=SEGMENTS) -> str:
-    """SQL for the wildcard under which a pair that differs in ``diff`` is reported."""
+def _first_key(diff: str, segments=SEGMENTS, parts: int = 1) -> str:
+    """SQL for the wildcard and part under which a pair that differs in ``diff`` is reported."""
     whens = []
     for at, width in segments:
-        part = f"(shiftrightunsigned({diff}, {at}) & {(1 << width) - 1}L)"
-        whens.append(f"WHEN bit_count({part}) = 0 THEN {at} WHEN bit_count({part}) = 1 THEN {at} + bit_count({part} - 1)")
+        own = f"(shiftrightunsigned({diff}, {at}) & {(1 << width) - 1}L)"
+        equal = " ".join(f"WHEN (shiftrightunsigned({_beside(diff, at, width)}, {first}) & {(1 << size) - 1}L) = 0 THEN {j}" for j, (first, size) in enumerate(_parts(width, parts)))
+        part = f"(CASE {equal} END)"
+        whens.append(f"WHEN bit_count({own}) = 0 THEN {at * 8} + {part} WHEN bit_count({own}) = 1 THEN ({at} + bit_count({own} - 1)) * 8 + {part}")
     return "CASE " + " ".join(whens) + " END"
 
 
-def _within(a: str, b: str, max_bits: int, segments) -> str:
+def _within(a: str, b: str, max_bits: int, segments, parts: int) -> str:
     """SQL: the pair links, and ``key`` is the one that reports it."""
-    return f"bit_count({a} ^ {b}) <= {max_bits} AND ({_first_key(f'({a} ^ {b})', segments)}) = shiftrightunsigned(key, 32)"
+    return f"bit_count({a} ^ {b}) <= {max_bits} AND ({_first_key(f'({a} ^ {b})', segments, parts)}) = shiftrightunsigned(key, 32)"
+
 
+def linked(fps: DataFrame, max_bits: int = MAX_BITS, segments=SEGMENTS, parts: int | None = None) -> DataFrame:
+    """node, root for distinct fingerprints (column fp) that have a link; root is the least fp of the component.
 
-def linked(fps: DataFrame, max_bits: int = MAX_BITS, segments=SEGMENTS) -> DataFrame:
-    """node, root for distinct fingerprints (column fp) that have a link; root is the least fp of the component."""
+    ``parts``: how many parts of the bits beside a segment go into its keys, one
+    at a time (1: none; max_bits + 1: all links still share a key, keys are 8 to
+    9 bits longer and so many times more). Above MANY fingerprints the latter is
+    the default, or buckets would fill by chance.
+    """
+    if parts is None:
+        parts = max_bits + 1 if fps.count() > MANY else 1
     bucket = Window.partitionBy("key").orderBy("fp")
     indexed = (
-        _variants(fps, segments)
+        _variants(fps, segments, parts)
         .withColumn("before", F.lag("fp").over(bucket))
         .withColumn("n", F.count("*").over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .where("n > 1")  # alone in its bucket: no candidate
     )
     indexed = stored(indexed, "variants")
-    pairs = f"flatten(transform(fps, (a, i) -> transform(filter(slice(fps, i + 2, n), b -> {_within('a', 'b', max_bits, segments)}), b -> struct(a AS a, b AS b))))"
+    pairs = f"flatten(transform(fps, (a, i) -> transform(filter(slice(fps, i + 2, n), b -> {_within('a', 'b', max_bits, segments, parts)}), b -> struct(a AS a, b AS b))))"
     small = indexed.where(F.col("n") <= SMALL_BUCKET).groupBy("key", "n").agg(F.collect_list("fp").alias("fps")).select(F.explode(F.expr(pairs)).alias("link")).select("link.a", "link.b")
     large = indexed.where(F.col("n") > SMALL_BUCKET)
     near = large.where(f"bit_count(fp ^ before) <= {max_bits}").select(F.col("fp").alias("a"), F.col("before").alias("b"))
     chained = stored(components(small.unionByName(near)), "chained")
-    joined = stored(_across(large, chained, max_bits, segments), "joined")
+    joined = stored(_across(large, chained, max_bits, segments, parts), "joined")
     roots = chained.select("node", F.col("root").alias("label")).unionByName(
         joined.join(chained.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), "label")
     )
     return roots.join(joined, "label", "left").select("node", F.coalesce("top", "label").alias("root"))
 
 
-def _across(large: DataFrame, chained: DataFrame, max_bits: int, segments) -> DataFrame:
+def _across(large: DataFrame, chained: DataFrame, max_bits: int, segments, parts: int) -> DataFrame:
     """label, top: what the links between different components of large buckets join."""
     named = large.select("key", "fp").join(chained.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("label"))
     named = stored(named, "named")
@@ -133,7 +166,7 @@ def _across(large: DataFrame, chained: DataFrame, max_bits: int, segments) -> Da
     open_ = stored(named.join(split, "key"), "open")
     left = open_.where("label <> largest").select("key", "fp", "label")
     right = open_.select(F.col("key").alias("key2"), F.col("fp").alias("fp2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("in_largest"))
-    reach = F.expr(f"key = key2 AND label <> label2 AND (in_largest OR fp < fp2) AND {_within('fp', 'fp2', max_bits, segments)}")
+    reach = F.expr(f"key = key2 AND label <> label2 AND (in_largest OR fp < fp2) AND {_within('fp', 'fp2', max_bits, segments, parts)}")
     across = left.join(right.hint("merge"), reach).select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct()
     return components(across).select(F.col("node").alias("label"), F.col("root").alias("top"))
 
@@ -152,8 +185,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
 
 def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, and those without an id; all columns."""
-    dropped = near_duplicates(docs, max_bits).where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(small_side(stored(dropped, "dropped"), BROADCAST_DROPPED), docs["doc_id"] == F.col("gone"), "left_anti")
+    dropped = near_duplicates(docs, max_bits).where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_quern_id")).distinct()
+    return docs.join(small_side(stored(dropped, "dropped"), BROADCAST_DROPPED), docs["doc_id"] == F.col("_quern_id"), "left_anti")
 
 
 def _hex(fp: str) -> Column:

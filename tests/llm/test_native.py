@@ -94,7 +94,9 @@ def test_links_of_dense_clouds(spark):
         for _ in range(500):
             fps.add(centre ^ sum(1 << b for b in {r.randrange(64) for _ in range(r.randrange(8))}))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {x.node: x.root for x in simhash.linked(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    table = spark.createDataFrame([(f,) for f in signed], "fp long")
+    got = {x.node: x.root for x in simhash.linked(table).collect()}
+    assert {x.node: x.root for x in simhash.linked(table, parts=5).collect()} == got
     parent = {f: f for f in signed}
 
     def find(f):
@@ -113,6 +115,16 @@ def test_links_of_dense_clouds(spark):
     assert {f: got.get(f, f) for f in signed} == want
 
 
+def test_filters_keep_clashing_columns(spark):
+    rows = [(1, "one two three", "d", "k", 1, 2), (2, "ONE two three", "d", "k", 1, 2), (3, None, None, None, None, None), (4, "four five six", "d", "k", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc string, key string, gone int, head int")
+    bench = spark.createDataFrame([(9, "four five")], "item_id long, text string")
+    ids = lambda df: sorted(r.doc_id for r in df.select(*docs.columns).collect())
+    assert ids(exact_dedup.deduplicated(docs, exact_dedup.DigestIndex(spark, shared_path(spark, "t")))) == [2, 3, 4]
+    assert ids(simhash.representatives(docs)) == [1, 3, 4]
+    assert ids(decontaminate.decontaminated(docs, bench)) == [1, 2, 3]
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (None, 4)]
