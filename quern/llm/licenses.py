@@ -50,8 +50,7 @@ TEMPLATES = (
 BROADCAST_KEYS = 500_000
 
 
-def template_words(spark: SparkSession) -> DataFrame:
-    """template, label, base, place, word, is_key: the templates' own postings, a few hundred rows."""
+def _template_rows() -> list[tuple]:
     rows = []
     for t, (label, phrase) in enumerate(BASE):
         rows += [(t, label, True, i, w, True) for i, w in enumerate(phrase.split())]
@@ -59,7 +58,12 @@ def template_words(spark: SparkSession) -> DataFrame:
         words, must = sentence.split(), key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(must)] == must)
         rows += [(t, label, False, i, w, at <= i < at + len(must)) for i, w in enumerate(words)]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, place int, word string, is_key boolean")
+    return rows
+
+
+def template_words(spark: SparkSession) -> DataFrame:
+    """template, label, base, place, word, is_key: the templates' own postings, a few hundred rows."""
+    return spark.createDataFrame(_template_rows(), "template int, label string, base boolean, place int, word string, is_key boolean")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -158,4 +162,17 @@ def op7_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_licence_index": op7_licence_index}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_licence_index": rf"""
+WITH t(template, label, base, place, word, is_key) AS (VALUES {", ".join(f"({t}, '{label}', {base}, {place}, '{word}', {key})" for t, label, base, place, word, key in _template_rows())}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+f AS (SELECT word, count(DISTINCT doc_id) AS df FROM p WHERE word IN (SELECT word FROM t) GROUP BY 1),
+i AS (SELECT t.*, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE)) AS idf FROM t LEFT JOIN f USING (word)),
+k AS (SELECT template, sum(idf) AS whole, count(*) FILTER (WHERE is_key) AS n_key, min(place) FILTER (WHERE is_key) AS key_at FROM i GROUP BY 1),
+a AS (SELECT doc_id, template, label, base, pos - place AS delta, count(*) FILTER (WHERE is_key) AS n_here, sum(idf) AS weight FROM p JOIN i USING (word) GROUP BY ALL),
+h AS (SELECT doc_id, label, base, CAST(delta + key_at AS BIGINT) AS start, round(CASE WHEN whole > 0 THEN least(1.0::DOUBLE, weight / whole) ELSE 1 END, 6) AS score FROM a JOIN k USING (template) WHERE n_here = n_key),
+l AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM h GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN l USING (doc_id)
+"""
+}
