@@ -403,6 +403,6 @@ def audience(spark, sf_dir):
     return chat.audience(members, 3, "click").select("conn_id")
 
 
-@query("k18_rollback", f"WITH {SONGS} SELECT song_id FROM songs WHERE source IS DISTINCT FROM 'kexp'")
+@query("k18_rollback", f"WITH {SONGS} SELECT song_id FROM songs WHERE source IS DISTINCT FROM 'radio'")
 def rollback(spark, sf_dir):
-    return S.songs(spark, sf_dir).where(~F.col("source").eqNullSafe("kexp")).select("song_id")
+    return S.songs(spark, sf_dir).where(~F.col("source").eqNullSafe("radio")).select("song_id")

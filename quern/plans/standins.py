@@ -18,7 +18,7 @@ _SONG = {
     "album": "CASE WHEN p_partkey % 13 <> 0 THEN concat(p_type, ' ', CAST(p_partkey % 7 AS {str})) END",
     "year": "CAST(CASE WHEN p_partkey % 11 <> 0 THEN 1950 + p_partkey % 70 END AS INT)",
     "popularity": "CAST(p_partkey * 37 % 101 AS INT)",
-    "source": "CASE p_partkey % 3 WHEN 0 THEN 'musicbrainz' WHEN 1 THEN 'kexp' ELSE 'manual' END",
+    "source": "CASE p_partkey % 3 WHEN 0 THEN 'musicbrainz' WHEN 1 THEN 'radio' ELSE 'manual' END",
     "mbid": "CASE WHEN p_partkey % 4 = 0 THEN concat('mb-', CAST(p_partkey % 800 AS {str})) END",
     "isrc": "CASE WHEN p_partkey % 5 = 0 THEN concat('us-abc-', CAST(p_partkey AS {str})) END",
     "phrases": "replace(p_name, ' ', ',')",

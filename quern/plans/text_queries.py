@@ -30,9 +30,9 @@ def projection_lookup(spark, sf_dir):
     return S.songs(spark, sf_dir).where("song_id = 42").select(F.col("song_id").alias("id"), F.col("title").alias("name"), "artist", T.decade(F.col("year")).alias("decade"))
 
 
-@query("f03_f05_null_in_range", f"{REAL} SELECT song_id, year, album FROM songs WHERE album IS NOT NULL AND source IN ('kexp', 'manual') AND song_id NOT IN (1, 2, 3) AND year BETWEEN 1960 AND 1989 AND popularity > 20")
+@query("f03_f05_null_in_range", f"{REAL} SELECT song_id, year, album FROM songs WHERE album IS NOT NULL AND source IN ('radio', 'manual') AND song_id NOT IN (1, 2, 3) AND year BETWEEN 1960 AND 1989 AND popularity > 20")
 def null_in_range(spark, sf_dir):
-    return S.songs(spark, sf_dir).where(F.col("album").isNotNull() & F.col("source").isin("kexp", "manual") & ~F.col("song_id").isin(1, 2, 3) & F.col("year").between(1960, 1989) & (F.col("popularity") > 20)).select("song_id", "year", "album")
+    return S.songs(spark, sf_dir).where(F.col("album").isNotNull() & F.col("source").isin("radio", "manual") & ~F.col("song_id").isin(1, 2, 3) & F.col("year").between(1960, 1989) & (F.col("popularity") > 20)).select("song_id", "year", "album")
 
 
 @query("f07_f09_caseless_match", f"{REAL} SELECT song_id, title, artist FROM songs WHERE lower(title) = lower('Small RING') OR title ILIKE '%lue b%' OR lower(trim(artist)) = 'brand#7'")
