@@ -7,10 +7,12 @@ anti-join that does not shuffle the index, and what is new is appended.
 
 Defined results: a null text is the empty text. Of the equal texts of a batch
 the largest doc_id stays; if the digest was indexed by an earlier batch, the
-document recorded there stays and none of the batch does. Rows with a null
-doc_id are counted, and stay only if no row with that text has an id. Rows that
-repeat both id and text carry the same verdict. An empty batch gives an empty result. Columns other than
-doc_id and text are never read.
+document recorded there stays. Rows with a null doc_id are counted, and stay only
+if the digest is new and no row with that text has an id. Rows that repeat both
+id and text carry the same verdict. group_size counts the copies of the batch
+that brought the digest. A batch that is run again after a failure appends
+nothing twice and gets the same verdicts. An empty batch gives an empty result.
+Columns other than doc_id and text are never read.
 """
 
 from __future__ import annotations
@@ -72,7 +74,7 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     plain shuffles, which adaptive execution splits where one digest is hot.
     """
     rows = stored(digests(docs), "digests")
-    groups = stored(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    groups = stored(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups", rows.count())
     fresh = stored(index.unseen(groups), "fresh")
     known = stored(groups.select("digest").hint("merge").join(index.table(), "digest"), "known")
     index.append(fresh)
@@ -81,7 +83,7 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("fresh") & F.col("doc_id").isNull() & F.col("keep_id").isNull()).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
