@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows of text that are handed to Python at once.
+BATCH_ROWS = 1_000
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: What separates words once A-Z are lower-cased: every ASCII code that is neither a digit nor a-z.
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,14 +42,32 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/quern/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder and read back: the lineage ends there, and any executor can be lost."""
+def tasks_for(rows: int) -> int:
+    """Tasks, and so files, for writing a narrow table of about ``rows`` rows."""
+    return 8 + rows // 250_000
+
+
+def stored(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: the lineage ends there, and any executor can be lost.
+
+    ``rows``, if something is known of them, keeps small results of a shuffle
+    from being written as a file for each shuffle partition.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(tasks_for(rows))
     path = shared_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's Arrow batch to ``rows``: Spark's 10,000 rows of long text fill tens of MB on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` marked for broadcast if it was counted to hold at most ``max_rows`` rows, else as it is (shuffle join).
 

@@ -47,7 +47,7 @@ def item_words(benchmark: DataFrame) -> DataFrame:
 
 def word_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Occurrences in all documents of each word that some item has."""
-    vocabulary = stored(items.select("word").distinct(), "vocabulary")
+    vocabulary = stored(items.select("word").distinct(), "vocabulary", 0)
     seen = _tokens(_keyed(docs)).select("word").join(small_side(vocabulary, BROADCAST_WORDS), "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
     return vocabulary.join(seen, "word", "left").select("word", F.coalesce("seen", F.lit(0)).alias("seen"))
 
@@ -78,7 +78,7 @@ def alignments(index: DataFrame, probed: DataFrame) -> DataFrame:
         "item", "q", F.element_at("item_words", F.col("q") + 1).alias("word")
     )
     voted = (
-        index.join(small_side(stored(places, "places"), BROADCAST_WORDS), "word")
+        index.join(small_side(stored(places, "places", 0), BROADCAST_WORDS), "word")
         .groupBy("doc", "key", "item", (F.col("pos") - F.col("q")).alias("delta"))
         .agg(F.collect_set("q").alias("agreed"))
     )
@@ -88,9 +88,9 @@ def alignments(index: DataFrame, probed: DataFrame) -> DataFrame:
 
 def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, probes: int = PROBES) -> DataFrame:
     """doc, key, n_hit, items (sorted distinct ids as strings) for documents in which a window occurs exactly."""
-    items = stored(item_words(benchmark), "items")
-    probed = stored(window_probes(items, stored(word_counts(docs, items), "counts"), window, probes), "probes")
-    probe_words = stored(probed.select(F.explode("windows").alias("w"), "item_words").select(F.explode(F.expr("transform(w, q -> item_words[q])")).alias("word")).distinct(), "probe-words")
+    items = stored(item_words(benchmark), "items", 0)
+    probed = stored(window_probes(items, stored(word_counts(docs, items), "counts", 0), window, probes), "probes", 0)
+    probe_words = stored(probed.select(F.explode("windows").alias("w"), "item_words").select(F.explode(F.expr("transform(w, q -> item_words[q])")).alias("word")).distinct(), "probe-words", 0)
     index = stored(postings(docs, small_side(probe_words, BROADCAST_WORDS)), "postings")
     found = (
         alignments(index, probed)
@@ -127,10 +127,10 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 3, prob
     cut into blocks of slop + 1, and a vote counts in its block and the next, so
     that any two alignments within ``slop`` meet in a block.
     """
-    items = stored(item_words(benchmark), "items")
-    probed = stored(window_probes(items, stored(word_counts(docs, items), "counts"), window, probes), "probes")
+    items = stored(item_words(benchmark), "items", 0)
+    probed = stored(window_probes(items, stored(word_counts(docs, items), "counts", 0), window, probes), "probes", 0)
     places = probed.select("item", F.explode(F.array_distinct(F.flatten("windows"))).alias("q"), "item_words").select("item", "q", F.element_at("item_words", F.col("q") + 1).alias("word"))
-    places = stored(places, "places")
+    places = stored(places, "places", 0)
     votes = postings(docs, small_side(places.select("word").distinct(), BROADCAST_WORDS)).join(small_side(places, BROADCAST_WORDS), "word").withColumn("delta", F.col("pos") - F.col("q"))
     near = (
         votes.withColumn("block", F.explode(F.array(F.floor(F.col("delta") / (slop + 1)), F.floor(F.col("delta") / (slop + 1)) + 1)))

@@ -125,8 +125,9 @@ def placements(docs: DataFrame, found: DataFrame, weighted: DataFrame) -> DataFr
 def scan(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     held = stored(held_words(docs), "licence-words")
-    weighted = stored(weighted_templates(template_words(docs.sparkSession), held), "licence-templates")
-    found = stored(candidates(held, weighted), "licence-candidates")
+    n = held.count()
+    weighted = stored(weighted_templates(template_words(docs.sparkSession), held), "licence-templates", 0)
+    found = stored(candidates(held, weighted), "licence-candidates", n)
     base = F.when(F.col("base"), F.col("start"))
     labels = (
         placements(docs, found, weighted)
@@ -140,7 +141,7 @@ def scan(docs: DataFrame) -> DataFrame:
             F.max("score").alias("score"),
         )
     )
-    labels = stored(labels, "licence-labels")
+    labels = stored(labels, "licence-labels", n)
     return (
         held.alias("h")
         .join(small_side(labels, BROADCAST_KEYS).alias("l"), _same_row("h", "l"), "left")

@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, stored
+from .common import short_batches, small_side, stored
 from .wordbpe import word_bpe
 
 WINDOW = 4096
 END_ID = 2
 BUFFER = 1 << 22
 #: Rows of a tokenizing step, at most, and characters.
-STEP_ROWS, STEP_CHARS = 512, 1 << 21
+STEP_ROWS, STEP_CHARS = 256, 1 << 19
 BROADCAST_LEDGER = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -74,6 +74,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 )
                 row = to
 
+    short_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, "block long, source string, doc_id long, tokens long, ids binary, all_before long, own_before long")
 
@@ -84,7 +85,7 @@ def ledger(tokens: DataFrame, shares: dict[str, float] | None = None) -> DataFra
     ``shares`` gives target proportions by source (others: 0, served when nothing
     else is left); by default each source's share of all tokens is its target.
     """
-    sums = stored(tokens.groupBy("block", "source").agg(F.sum("tokens").alias("tokens")), "ledger")
+    sums = stored(tokens.groupBy("block", "source").agg(F.sum("tokens").alias("tokens")), "ledger", 0)
     blocks = sums.groupBy("block").agg(F.sum("tokens").alias("in_block")).withColumn("all_before", F.sum("in_block").over(Window.orderBy("block")) - F.col("in_block"))
     if shares is None:
         total = sums.agg(F.sum("tokens").alias("total"))  # one row
@@ -170,7 +171,7 @@ class Mixer:
 def pack(docs: DataFrame, path: str | None = None, shares: dict[str, float] | None = None, window: int = WINDOW) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
     ids = stored(tokenized(docs, path or public_tokenizer()), "token-ids")
-    book = stored(ledger(ids, shares), "deficits")
+    book = stored(ledger(ids, shares), "deficits", 0)
     on = (F.col("i.block") == F.col("l.block")) & F.col("i.source").eqNullSafe(F.col("l.source"))
     due = ids.alias("i").join(small_side(book, BROADCAST_LEDGER).alias("l"), on, "left")
     due = due.select("i.source", "doc_id", "ids", "share", (F.col("owed") + F.col("share") * F.col("all_before") - F.col("own_before")).alias("owed"))

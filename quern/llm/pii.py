@@ -21,13 +21,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: The kinds of the base scan, in their order.
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the trees decide on.
@@ -223,6 +228,8 @@ def margins(trees: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def train(rows: int = TRAIN_ROWS, seed: int = 17) -> pd.DataFrame:
     """One row: trees, Platt scale and shift, thresholds in the order of MORE_KINDS."""
+    import pandas as pd
+
     made = _examples(np.random.default_rng(seed))
     sample = [next(made) for _ in range(rows)]
     x = np.array([features(*s[:4]) for s in sample])
@@ -296,6 +303,7 @@ def find(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * len(counts) + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *counts, "base_sha256", "spans"])
 
+    short_batches(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base_sha256 string, spans string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -15,20 +15,24 @@ score is 0.5; repeated rows score alike; an empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import short_batches
 from .labelled import fit, fold, sample
 from .textvec import byte_values, chunks, mix, ngram_hashes, word_hashes
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 BITS = 17
 DIM = 8
 NGRAMS = (3, 4)
-TRAIN_DOCS = 6_000
+TRAIN_DOCS = 4_000
 EPOCHS = 6
 RATE = 0.5
 FOLDS, HELD_OUT = 5, 0
@@ -55,6 +59,8 @@ def slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    import pandas as pd
+
     seen, labels = [], []
     for b in batches:
         labels += b["label"].tolist()
@@ -108,6 +114,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             x = (np.concatenate(means) if means else np.empty(0)) + bias
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(x, -35, 35))))], [*b.schema.names, SCORE])
 
+    short_batches(docs.sparkSession)
     return docs.mapInArrow(run, f"{schema}, {SCORE} double")
 
 

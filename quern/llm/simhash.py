@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, stored
+from .common import short_batches, small_side, stored
 from .components import components
 
 SHINGLE = 4
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             texts = b.column(1).cast(pa.large_binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py() or b"", shingle) for t in texts], pa.int64())], ["doc_id", "fp"])
 
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -135,8 +136,9 @@ def linked(fps: DataFrame, max_bits: int = MAX_BITS, segments=SEGMENTS, parts: i
     9 bits longer and so many times more). Above MANY fingerprints the latter is
     the default, or buckets would fill by chance.
     """
+    n = fps.count()
     if parts is None:
-        parts = max_bits + 1 if fps.count() > MANY else 1
+        parts = max_bits + 1 if n > MANY else 1
     bucket = Window.partitionBy("key").orderBy("fp")
     indexed = (
         _variants(fps, segments, parts)
@@ -149,15 +151,15 @@ def linked(fps: DataFrame, max_bits: int = MAX_BITS, segments=SEGMENTS, parts: i
     small = indexed.where(F.col("n") <= SMALL_BUCKET).groupBy("key", "n").agg(F.collect_list("fp").alias("fps")).select(F.explode(F.expr(pairs)).alias("link")).select("link.a", "link.b")
     large = indexed.where(F.col("n") > SMALL_BUCKET)
     near = large.where(f"bit_count(fp ^ before) <= {max_bits}").select(F.col("fp").alias("a"), F.col("before").alias("b"))
-    chained = stored(components(small.unionByName(near)), "chained")
-    joined = stored(_across(large, chained, max_bits, segments, parts), "joined")
+    chained = stored(components(small.unionByName(near), n), "chained", n)
+    joined = stored(_across(large, chained, max_bits, segments, parts, n), "joined", n)
     roots = chained.select("node", F.col("root").alias("label")).unionByName(
         joined.join(chained.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), "label")
     )
     return roots.join(joined, "label", "left").select("node", F.coalesce("top", "label").alias("root"))
 
 
-def _across(large: DataFrame, chained: DataFrame, max_bits: int, segments, parts: int) -> DataFrame:
+def _across(large: DataFrame, chained: DataFrame, max_bits: int, segments, parts: int, n: int) -> DataFrame:
     """label, top: what the links between different components of large buckets join."""
     named = large.select("key", "fp").join(chained.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("label"))
     named = stored(named, "named")
@@ -168,18 +170,19 @@ def _across(large: DataFrame, chained: DataFrame, max_bits: int, segments, parts
     right = open_.select(F.col("key").alias("key2"), F.col("fp").alias("fp2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("in_largest"))
     reach = F.expr(f"key = key2 AND label <> label2 AND (in_largest OR fp < fp2) AND {_within('fp', 'fp2', max_bits, segments, parts)}")
     across = left.join(right.hint("merge"), reach).select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct()
-    return components(across).select(F.col("node").alias("label"), F.col("root").alias("top"))
+    return components(across, n).select(F.col("node").alias("label"), F.col("root").alias("top"))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id reachable over links."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = stored(linked(fps.select("fp"), max_bits), "roots")
+    n = rows.count()
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints", n)
+    roots = stored(linked(fps.select("fp"), max_bits), "roots", n)
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = stored(named, "rooted")
+    named = stored(named, "rooted", n)
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = stored(named.join(first, "root").select("fp", "component_id"), "classes")
+    classes = stored(named.join(first, "root").select("fp", "component_id"), "classes", n)
     return rows.join(classes.hint("merge"), "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 

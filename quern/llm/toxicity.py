@@ -13,16 +13,20 @@ a null doc_id is never held out; if there are no usable labels every score is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import short_batches
 from .labelled import fit, fold, sample
 from .textvec import byte_values, chunks, mix, word_hashes
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 BITS = 20
 TRAIN_DOCS = 15_000
 EPOCHS = 5
@@ -70,6 +74,8 @@ def _sigmoid(x):
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    import pandas as pd
+
     seen, labels = [], []
     for b in batches:
         labels += b["label"].tolist()
@@ -109,6 +115,7 @@ def score(docs: DataFrame, model: pd.DataFrame) -> DataFrame:
             total = np.concatenate(sums) if sums else np.empty(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_sigmoid(total + w[-1]))], ["doc_id", "score"])
 
+    short_batches(docs.sparkSession)
     scored = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

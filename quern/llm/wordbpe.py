@@ -23,7 +23,7 @@ _PLAIN_ASCII = bytes([*range(9, 14), *range(32, 127)])
 _OTHER = re.compile("[^\t-\r -~¡-©«-±´¶-¸»¿-ňŊ-ž]|İ")
 _WORD_END = "</w>"
 #: Words kept between batches; longer words are not kept.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 LONGEST_KEPT = 48
 
 
@@ -33,22 +33,29 @@ class WordBpe:
     def __init__(self, path: str, dtype: str = "<u2"):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
-        plain = json.loads(self.tokenizer.to_str())  # for words that are cut and lower-cased already
+        self.path, self.dtype = path, np.dtype(dtype)
+        with open(path, encoding="utf-8") as f:
+            plain = json.load(f)
+        self.specials = [t["content"] for t in plain["added_tokens"]]
+        # For words that are cut and lower-cased already:
         cut = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
         plain["normalizer"], plain["pre_tokenizer"]["pretokenizers"][0] = None, cut
-        self.merger = Tokenizer.from_str(json.dumps(plain))
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        if max(vocabulary.values()) > np.iinfo(self.dtype).max:
+        ids = {t["id"] for t in plain["added_tokens"]} | set(plain["model"]["vocab"].values())
+        if max(ids) > np.iinfo(self.dtype).max:
             raise ValueError("ids of this vocabulary need a wider dtype")
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for token, i in vocabulary.items():
+        self.ends = np.zeros(max(ids) + 1, bool)
+        for token, i in plain["model"]["vocab"].items():
             self.ends[i] = token.endswith(_WORD_END)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merger = Tokenizer.from_str(json.dumps(plain))
+        self.whole = None  # the tokenizer as it is, loaded by the first text that needs it
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words in one go; the token that ends a word tells where the next begins."""
