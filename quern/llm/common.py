@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,11 @@ def stored(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_on_disk(df: DataFrame) -> DataFrame:
+    """Kept on the executors' disks for several uses; what is lost with an executor is computed again. Unpersist it."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the session's Arrow batch to ``rows``: Spark's 10,000 rows of long text fill tens of MB on both sides."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -98,11 +98,11 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pro
         .groupBy("doc", "key")
         .agg(F.collect_list(F.struct("item_id", "n", "width", "item_words", "delta")).alias("found"))
     )
-    found = stored(found, "alignments")
+    found = stored(found, "alignments", index.count())
     texts = _keyed(docs).alias("d").join(small_side(found.select("doc", "key"), BROADCAST_KEYS).alias("f"), _same_row("d", "f"), "left_semi")
     texts = texts.dropDuplicates(["doc", "key"])
     checked = texts.alias("d").join(found.alias("f"), _same_row("d", "f")).select("d.doc", "d.key", "found", word_array(F.col("text")).alias("words"))
-    checked = stored(checked, "candidates")
+    checked = stored(checked, "candidates", 20 * found.count())  # whole texts
     same = "transform(sequence(0, c.n - 1), q -> c.delta + q >= 0 AND c.delta + q < size(words) AND get(words, c.delta + q) = c.item_words[q])"
     runs = (
         f"transform(found, c -> struct(c.item_id AS item_id, c.width AS width, c.delta AS delta, {same} AS same, c.n AS n))"

@@ -74,9 +74,10 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     plain shuffles, which adaptive execution splits where one digest is hot.
     """
     rows = stored(digests(docs), "digests")
-    groups = stored(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups", rows.count())
-    fresh = stored(index.unseen(groups), "fresh")
-    known = stored(groups.select("digest").hint("merge").join(index.table(), "digest"), "known")
+    n = rows.count()
+    groups = stored(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups", n)
+    fresh = stored(index.unseen(groups), "fresh", n)
+    known = stored(groups.select("digest").hint("merge").join(index.table(), "digest"), "known", n)
     index.append(fresh)
     verdict = fresh.withColumn("fresh", F.lit(True)).unionByName(known.withColumn("fresh", F.lit(False)))
     return rows.join(verdict.hint("merge"), "digest").select(

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import short_batches, small_side, stored
+from .common import kept_on_disk, short_batches, small_side, stored
 from .components import components
 
 SHINGLE = 4
@@ -146,13 +146,14 @@ def linked(fps: DataFrame, max_bits: int = MAX_BITS, segments=SEGMENTS, parts: i
         .withColumn("n", F.count("*").over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .where("n > 1")  # alone in its bucket: no candidate
     )
-    indexed = stored(indexed, "variants")
+    indexed = kept_on_disk(indexed)
     pairs = f"flatten(transform(fps, (a, i) -> transform(filter(slice(fps, i + 2, n), b -> {_within('a', 'b', max_bits, segments, parts)}), b -> struct(a AS a, b AS b))))"
     small = indexed.where(F.col("n") <= SMALL_BUCKET).groupBy("key", "n").agg(F.collect_list("fp").alias("fps")).select(F.explode(F.expr(pairs)).alias("link")).select("link.a", "link.b")
     large = indexed.where(F.col("n") > SMALL_BUCKET)
     near = large.where(f"bit_count(fp ^ before) <= {max_bits}").select(F.col("fp").alias("a"), F.col("before").alias("b"))
     chained = stored(components(small.unionByName(near), n), "chained", n)
     joined = stored(_across(large, chained, max_bits, segments, parts, n), "joined", n)
+    indexed.unpersist()
     roots = chained.select("node", F.col("root").alias("label")).unionByName(
         joined.join(chained.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), "label")
     )
@@ -162,15 +163,18 @@ def linked(fps: DataFrame, max_bits: int = MAX_BITS, segments=SEGMENTS, parts: i
 def _across(large: DataFrame, chained: DataFrame, max_bits: int, segments, parts: int, n: int) -> DataFrame:
     """label, top: what the links between different components of large buckets join."""
     named = large.select("key", "fp").join(chained.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("label"))
-    named = stored(named, "named")
+    named = kept_on_disk(named)
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    open_ = stored(named.join(split, "key"), "open")
+    open_ = kept_on_disk(named.join(split, "key"))
     left = open_.where("label <> largest").select("key", "fp", "label")
     right = open_.select(F.col("key").alias("key2"), F.col("fp").alias("fp2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("in_largest"))
     reach = F.expr(f"key = key2 AND label <> label2 AND (in_largest OR fp < fp2) AND {_within('fp', 'fp2', max_bits, segments, parts)}")
     across = left.join(right.hint("merge"), reach).select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct()
-    return components(across, n).select(F.col("node").alias("label"), F.col("root").alias("top"))
+    found = components(across, n)  # stored by then
+    open_.unpersist()
+    named.unpersist()
+    return found.select(F.col("node").alias("label"), F.col("root").alias("top"))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
@@ -178,11 +182,10 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     n = rows.count()
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints", n)
-    roots = stored(linked(fps.select("fp"), max_bits), "roots", n)
+    roots = linked(fps.select("fp"), max_bits)
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = stored(named, "rooted", n)
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = stored(named.join(first, "root").select("fp", "component_id"), "classes", n)
+    classes = named.join(first, "root").select("fp", "component_id")
     return rows.join(classes.hint("merge"), "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
