@@ -184,6 +184,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints", n)
     roots = linked(fps.select("fp"), max_bits)
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = stored(named, "rooted", n)  # else aggregate and join share a shuffle that a large component skews
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = named.join(first, "root").select("fp", "component_id")
     return rows.join(classes.hint("merge"), "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
