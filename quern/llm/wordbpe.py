@@ -22,8 +22,8 @@ _PLAIN_ASCII = bytes([*range(9, 14), *range(32, 127)])
 #: Any character outside these sends the text to the tokenizer whole (their lower case, width and class are beyond doubt).
 _OTHER = re.compile("[^\t-\r -~¡-©«-±´¶-¸»¿-ňŊ-ž]|İ")
 _WORD_END = "</w>"
-#: Words kept between batches; longer words are not kept.
-CACHE_WORDS = 100_000
+#: Words of a generation; the one before is kept too, and what is met again moves up. Longer words are not kept.
+CACHE_WORDS = 150_000
 LONGEST_KEPT = 48
 
 
@@ -49,6 +49,7 @@ class WordBpe:
         self.merger = Tokenizer.from_str(json.dumps(plain))
         self.whole = None  # the tokenizer as it is, loaded by the first text that needs it
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         if self.whole is None:
@@ -78,11 +79,13 @@ class WordBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._words(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = set().union(*filter(None, split)).difference(self.known)
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = set().union(*filter(None, split)).difference(known)
+        known.update((w, older[w]) for w in missing.intersection(older))
+        new = missing.difference(known)
         if new:
             self._learn(sorted(new))
-        known = self.known
         out = [self._whole(t) if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split)]
         for w in new:
             if len(w) > LONGEST_KEPT:
