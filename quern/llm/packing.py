@@ -1,13 +1,15 @@
 """Mixture-controlled packing into sequences of at most 4096 tokens.
 
 Every document is tokenized once; its ids (uint16) are written to the shared
-folder with a small ledger of tokens by block (input partition) and source. From
-the ledger each source gets its target share of the tokens and each block the
-deficits with which it starts: what the source was owed by the blocks before
-less what it gave. Blocks are then packed where they lie, without a shuffle:
-deficit round-robin over the source queues fills each window to the target
-shares, carrying deficits from window to window and, by the ledger, from block
-to block. A task holds about BUFFER tokens; longer documents are cut.
+folder with a small ledger of tokens by block (input partition) and source. The
+ledger gives each source its target share of the tokens and each document the
+offset at which it stands among its source's tokens, and so its place in the
+packed stream, in which every source goes on at its share until it is dry. The
+stream is cut into parts of BUFFER tokens at most and the ids are shuffled to
+them (documents across an edge are cut), so that each part holds its share of
+every source however the table is stored. In a part, deficit round-robin over
+the source queues fills each window to the target shares, carrying deficits from
+window to window. A task holds one part.
 
 What is left of a task at the end goes into sequences whose lengths are powers
 of two, which need no padding.
@@ -35,6 +37,7 @@ from .wordbpe import word_bpe
 
 WINDOW = 4096
 END_ID = 2
+#: Tokens of a part, at most.
 BUFFER = 1 << 22
 #: Rows of a tokenizing step, at most, and characters.
 STEP_ROWS, STEP_CHARS = 512, 1 << 21
@@ -79,13 +82,18 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return plain.mapInArrow(run, "block long, source string, doc_id long, tokens long, ids binary, all_before long, own_before long")
 
 
-def ledger(tokens: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
-    """block, source, share, owed: the target share, and the deficit when the block starts.
+def block_sums(tokens: DataFrame) -> DataFrame:
+    return stored(tokens.groupBy("block", "source").agg(F.sum("tokens").alias("tokens")), "ledger", 0)
+
+
+def ledger(tokens: DataFrame, shares: dict[str, float] | None = None, sums: DataFrame | None = None) -> DataFrame:
+    """block, source, share, owed, block_before, of_source: the target share, the deficit when the block starts,
+    the source's tokens before the block, and in all.
 
     ``shares`` gives target proportions by source (others: 0, served when nothing
     else is left); by default each source's share of all tokens is its target.
     """
-    sums = stored(tokens.groupBy("block", "source").agg(F.sum("tokens").alias("tokens")), "ledger", 0)
+    sums = block_sums(tokens) if sums is None else sums
     blocks = sums.groupBy("block").agg(F.sum("tokens").alias("in_block")).withColumn("all_before", F.sum("in_block").over(Window.orderBy("block")) - F.col("in_block"))
     if shares is None:
         total = sums.agg(F.sum("tokens").alias("total"))  # one row
@@ -93,15 +101,70 @@ def ledger(tokens: DataFrame, shares: dict[str, float] | None = None) -> DataFra
     else:
         whole = float(sum(shares.values()))
         share = sums.sparkSession.createDataFrame([(s, w / whole) for s, w in shares.items()], "source string, share double")
+    of_source = sums.groupBy("source").agg(F.sum("tokens").alias("of_source"))
     own = sums.withColumn("own_before", F.sum("tokens").over(Window.partitionBy("source").orderBy("block")) - F.col("tokens")).join(blocks, "block")
     owed = F.coalesce("share", F.lit(0.0)) * F.col("all_before") - F.col("own_before")
     return (
         own.alias("o")
         .join(share.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source")), "left")
-        .select("block", F.col("o.source").alias("source"), F.coalesce("share", F.lit(0.0)).alias("share"), owed.alias("owed"))
+        .join(of_source.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")))
+        .select("block", F.col("o.source").alias("source"), F.coalesce("share", F.lit(0.0)).alias("share"), owed.alias("owed"), F.col("own_before").alias("block_before"), "of_source")
     )
 
 
+class Course:
+    """Where in the packed stream a source's tokens stand.
+
+    Time runs so that a source of share w gives its token o at time o / w; places
+    count the tokens given by all. Sources without a share follow at the end, each
+    in proportion to its tokens.
+    """
+
+    def __init__(self, total: int, totals: dict[str, int] | None = None, shares: dict[str, float] | None = None):
+        """``totals``: tokens of the sources in ``shares``; without them each source's share is that of its tokens."""
+        self.total = total
+        self.rest, self.dry = (0, float(total)) if shares is None else (total, 0.0)
+        times, places = [0.0], [0.0]
+        if shares is None:
+            times, places = [0.0, float(total)], [0.0, float(total)]
+        else:
+            whole = float(sum(shares.values()))
+            ends = sorted((totals[s] / (w / whole), w / whole) for s, w in shares.items() if w > 0 and totals.get(s))
+            rate = sum(w for _, w in ends)
+            for end, w in ends:
+                if end > times[-1]:
+                    places.append(places[-1] + rate * (end - times[-1]))
+                    times.append(end)
+                rate -= w
+            self.rest = total - sum(totals.get(s, 0) for s, w in shares.items() if w > 0)
+            self.dry = times[-1]
+            if self.rest:
+                times.append(times[-1] + self.rest)
+                places.append(places[-1] + self.rest)
+        self.times, self.places = np.array(times), np.array(places)
+        self.parts = max(1, -(-total // BUFFER))
+        self.size = total / self.parts
+
+    def cut(self, share, of_source, before, tokens) -> tuple:
+        """For documents of ``tokens`` tokens at offset ``before``: row, first token, end, part and place of each piece."""
+        rate = np.where(share > 0, share, of_source / max(self.rest, 1))
+        begin = np.where(share > 0, 0.0, self.dry)
+        place = lambda row, offset: np.interp(begin[row] + offset / rate[row], self.times, self.places)
+        part_of = lambda offset: np.minimum((place(slice(None), offset) / self.size).astype(np.int64), self.parts - 1)
+        first, last = part_of(before), part_of(before + tokens - 1)
+        n = last - first + 1
+        row = np.repeat(np.arange(len(n)), n)
+        part = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        edge = np.ceil((np.interp(part * self.size, self.places, self.times) - begin[row]) * rate[row]).astype(np.int64)
+        lo = np.where(part > first[row], np.clip(edge - before[row], 0, tokens[row]), 0)
+        hi = tokens[row]
+        same = row[1:] == row[:-1]
+        hi[:-1][same] = lo[1:][same]
+        some = hi > lo
+        row, lo, hi, part = row[some], lo[some], hi[some], part[some]
+        return row, lo, hi, part, place(row, before[row] + lo)
+
+
 class Mixer:
     """Queues by source, drained window by window by deficit round-robin."""
 
@@ -114,20 +177,21 @@ class Mixer:
         self.turn = 0
         self.out: list[tuple] = []
 
-    def add(self, source, share: float, owed: float, doc_id, ids: np.ndarray) -> None:
+    def add(self, source, share: float, owed: float, doc_id, ids: np.ndarray, start: int = 0, doc_tokens: int | None = None) -> None:
+        """``ids`` are a document's, or those from ``start`` on of one of ``doc_tokens`` tokens."""
         if source not in self.queues:
             self.queues[source], self.shares[source], self.deficits[source] = deque(), share, owed
-        self.queues[source].append([doc_id, ids, 0])
+        self.queues[source].append([doc_id, ids, 0, start, len(ids) if doc_tokens is None else doc_tokens])
         self.waiting += len(ids)
 
     def _take(self, source, most: int, at: int) -> int:
         """Put up to ``most`` tokens of the source's queue at offset ``at`` of the open sequence."""
         queue, taken = self.queues[source], 0
         while queue and taken < most:
-            doc_id, ids, start = entry = queue[0]
+            doc_id, ids, start, first, doc_tokens = entry = queue[0]
             n = min(most - taken, len(ids) - start)
             crc = zlib.crc32(ids[start : start + n].astype("<u4").tobytes())
-            self.out.append((doc_id, start, n, crc, len(ids), self.next_id, at + taken, source))
+            self.out.append((doc_id, first + start, n, crc, doc_tokens, self.next_id, at + taken, source))
             entry[2] += n
             taken += n
             if entry[2] == len(ids):
@@ -171,23 +235,35 @@ class Mixer:
 def pack(docs: DataFrame, path: str | None = None, shares: dict[str, float] | None = None, window: int = WINDOW) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
     ids = stored(tokenized(docs, path or public_tokenizer()), "token-ids")
-    book = stored(ledger(ids, shares), "deficits", 0)
+    sums = block_sums(ids)
+    total = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    totals = None if shares is None else {r.source: r.tokens for r in sums.where(F.col("source").isin(list(shares))).groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+    course = Course(total, totals, shares)
+    book = stored(ledger(ids, shares, sums).drop("owed"), "shares", 0)
     on = (F.col("i.block") == F.col("l.block")) & F.col("i.source").eqNullSafe(F.col("l.source"))
-    due = ids.alias("i").join(small_side(book, BROADCAST_LEDGER).alias("l"), on, "left")
-    due = due.select("i.source", "doc_id", "ids", "share", (F.col("owed") + F.col("share") * F.col("all_before") - F.col("own_before")).alias("owed"))
+    due = ids.alias("i").join(small_side(book, BROADCAST_LEDGER).alias("l"), on)
+    due = due.select("i.source", "share", "doc_id", "ids", "tokens", (F.col("block_before") + F.col("own_before")).alias("before"), "of_source")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            source, share, doc_id, ids, tokens, before, of_source = b.columns
+            row, lo, hi, part, place = course.cut(*(c.to_numpy(zero_copy_only=False) for c in (share, of_source, before, tokens)))
+            plain = len(row) == len(b)
+            take = lambda c: c if plain else c.take(pa.array(row))  # noqa: E731, B023
+            cut = ids if plain else pa.array([ids[r].as_py()[2 * s : 2 * e] for r, s, e in zip(row.tolist(), lo.tolist(), hi.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(place), take(source), take(share), take(doc_id), pa.array(lo), take(tokens), cut], ["part", "place", "source", "share", "doc_id", "start", "doc_tokens", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = Mixer(TaskContext.get().partitionId() << 33, window)
         for b in batches:
-            for source, doc_id, ids, share, owed in zip(*(c.to_pylist() for c in b.columns)):
-                mixer.add(source, share, owed, doc_id, np.frombuffer(ids, "<u2"))
-                if mixer.waiting >= BUFFER:
-                    mixer.drain(BUFFER // 2)
-                    yield mixer.pieces()
+            for source, share, doc_id, start, doc_tokens, ids in zip(*(c.to_pylist() for c in b.columns)):
+                mixer.add(source, share, 0.0, doc_id, np.frombuffer(ids, "<u2"), start, doc_tokens)
         mixer.finish()
         yield mixer.pieces()
 
-    return due.mapInArrow(run, PIECES)
+    pieces = due.mapInArrow(deal, "part int, place double, source string, share double, doc_id long, start long, doc_tokens long, ids binary")
+    dealt = pieces.repartitionById(course.parts, "part").sortWithinPartitions("place", "source", "doc_id", "start")
+    return dealt.select("source", "share", "doc_id", "start", "doc_tokens", "ids").mapInArrow(run, PIECES)
 
 
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,32 @@ def test_mixture_and_deficits(spark):
     for _, _, n, _, _, sequence, _, source in mixer.out:
         share[sequence, source] += n
     assert all(abs(share[s, "a"] - 75) <= 1 for s in range(40))
+
+
+def test_windows_hold_the_shares_of_a_table_stored_by_source(spark, monkeypatch):
+    """A file for each source: every window mixes all of them all the same, in all parts, and no id is lost."""
+    monkeypatch.setattr(packing, "BUFFER", 6 * 4096)
+    rows = [(i, f"word{i % 7} " * (40 + i % 50 * 9), "abc"[0 if i < 240 else 1 if i < 360 else 2]) for i in range(400)]
+    rows.append((400, "long " * 30_000, "c"))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), "doc_id long, text string, source string")
+    tokens = defaultdict(int)
+    for r in packing.tokenized(docs, packing.public_tokenizer()).collect():
+        tokens[r.source] += r.tokens
+    total = sum(tokens.values())
+
+    def mixed(shares):
+        pieces = packing.pack(docs, shares=shares).collect()
+        assert check(pieces, [(i, t) for i, t, _ in rows]) == 0
+        by = defaultdict(lambda: defaultdict(int))
+        for p in pieces:
+            by[p.sequence_id][p.source] += p.length
+        return {s: w for s, w in by.items() if sum(w.values()) == 4096}
+
+    windows = mixed(None)
+    assert all(abs(w[s] / 4096 - n / total) < 0.01 for w in windows.values() for s, n in tokens.items())
+    assert len({s >> 33 for s in windows}) == -(-total // (6 * 4096)) > 5
+    # until "a" is dry, a and b stand 3 to 1; then b is alone, then c, which has no share
+    windows = mixed({"a": 3, "b": 1})
+    both = [w for w in windows.values() if w["a"] > 100 and w["b"] > 100 and not w["c"]]
+    assert sum(abs(w["a"] - 3072) <= 8 for w in both) >= len(both) - 1 and len(both) > 3
+    assert sum(1 for w in windows.values() if (w["a"] or w["b"]) and w["c"]) <= 1
