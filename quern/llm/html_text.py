@@ -10,7 +10,13 @@ the page has neither: THRESHOLD), HIGH beside them.
 
 What a page says about itself counts first: text in nav, header, footer, aside,
 forms, scripts and the like, or in elements whose class, id or role names such a
-part (NOT_CONTENT; not those of html, body and main), is no content.
+part (NOT_CONTENT; not those of html, body and main), is no content. Words after
+one of _STATE (has-sidebar, overflow-hidden) tell how an element looks, not what
+it is. Names around the page's only article, or around most of its text, are
+those of its layout: they bar nothing, and the ratios decide.
+
+Headings and list items inside article or main may be links altogether: their
+share of links is smoothed with that of all the text there.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one space; nothing is cut.
@@ -53,6 +59,10 @@ NOT_CONTENT = frozenset(
     "commentlist disqus respond reply replies responses feedback topbar discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager copyright legal "
     "contentinfo complementary hidden".split()
 )
+#: A listed word after one of these in a class, id or role is a state, not a part.
+_STATE = frozenset("has with without no not overflow".split())
+#: Elements whose text may well be a link inside an article.
+_LINKABLE = frozenset("h1 h2 h3 h4 h5 h6 li dt dd".split())
 #: With these words, a header is the article's own.
 _OWN_HEADER = frozenset("entry post article story content".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？¿¡]")
@@ -61,40 +71,70 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？¿¡]")
 class Node:
     """A block's text: where it stands, its pieces, how much of it is links."""
 
-    __slots__ = ("path", "parent", "barred", "inside", "pieces", "links")
+    __slots__ = ("path", "parent", "barred", "inside", "bars", "linkable", "pieces", "links")
 
-    def __init__(self, path, parent, barred, inside):
+    def __init__(self, path, parent, barred, inside, bars, linkable):
         self.path, self.parent, self.barred, self.inside, self.pieces, self.links = path, parent, barred, inside, [], 0
+        self.bars, self.linkable = bars, linkable
+
+
+def _parts(value: str) -> set[str]:
+    """Words of a class, id or role, without those that tell a state."""
+    words = set()
+    for token in value.split():
+        for word in re.split(r"[^a-z]+", token):
+            if word in _STATE:
+                break
+            words.add(word)
+    return words
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """The class for the path, and whether the attributes bar the element."""
-    path, barred = "", False
+def _names(attributes: str) -> tuple[str, bool, bool]:
+    """The class for the path, whether a name bars the element, and whether it is hidden."""
+    path, barred, hidden = "", False, False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z]+", value))
+            words = _parts(value)
             words -= {"header"} if words & _OWN_HEADER else set()
             barred = barred or not words.isdisjoint(NOT_CONTENT)
             path = path or (f".{value}" if name == "class" else "")
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            barred = True
-    return path, barred
+            hidden = True
+    return path, barred, hidden
+
+
+def _unbar_layout(found: list[Node]) -> None:
+    """Settle which names bar: not those around the only article, nor those around most of the text."""
+    sizes: dict[tuple, int] = defaultdict(int)
+    articles: dict[tuple, int] = defaultdict(int)
+    for node in found:
+        if not node.barred and (size := sum(len(s.strip()) for s in node.pieces)):
+            sizes[node.bars] += size
+            if node.inside:
+                articles[node.bars] += size
+    layout: tuple = ()
+    if () not in articles and sizes:
+        around = [bars for bars, size in articles.items() if not any(within for _, within in bars) and size > sizes.get((), 0)]
+        around += [bars for bars, size in sizes.items() if 2 * size > sum(sizes.values())]
+        layout = min(around, key=lambda bars: (len(bars), -sizes[bars]), default=())
+    for node in found:
+        node.barred = node.barred or not set(node.bars) <= set(layout)
 
 
 def nodes(page: str) -> list[Node]:
     """Blocks of text in page order."""
     found: list[Node] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, barred, inside article or main
-    links, at, node = 0, 0, None
+    stack: list[tuple[str, str, bool, bool, tuple]] = []  # tag, path, barred, inside article or main, elements whose names bar
+    links, at, node, elements = 0, 0, None, 0
 
     def text(s: str) -> None:
         nonlocal node
         if node is None:
             if not s.strip():
                 return
-            tag, path, barred, inside = stack[-1] if stack else ("", "", False, False)
-            node = Node(path, path.rpartition("/")[0], barred, inside)
+            tag, path, barred, inside, bars = stack[-1] if stack else ("", "", False, False, ())
+            node = Node(path, path.rpartition("/")[0], barred, inside, bars, any(s[0] in _LINKABLE for s in stack))
             found.append(node)
         node.pieces.append(s)
         node.links += len(s) if links else 0
@@ -144,11 +184,15 @@ def nodes(page: str) -> list[Node]:
             if stack[i][0] in ("table", "ul", "ol", "div", "article", "section", "body") and tag != "body":
                 break
         node, links = None, 0
-        name, barred = _names(m[3] or "")
-        _, path, above, inside = stack[-1] if stack else ("", "", False, False)
+        name, named, hidden = _names(m[3] or "")
+        _, path, above, inside, bars = stack[-1] if stack else ("", "", False, False, ())
         own_header = tag == "header" and inside
-        barred = barred and tag not in ("html", "body", "main")
-        stack.append((tag, f"{path}/{tag}{name}", above or barred or (tag in _NOT_TAGS and not own_header), inside or tag in ("article", "main")))
+        inside = inside or tag in ("article", "main")
+        exempt = tag in ("html", "body", "main")
+        if named and not exempt:
+            bars, elements = (*bars, (elements, inside)), elements + 1
+        stack.append((tag, f"{path}/{tag}{name}", above or (hidden and not exempt) or (tag in _NOT_TAGS and not own_header), inside, bars))
+    _unbar_layout(found)
     return found
 
 
@@ -161,8 +205,11 @@ def _kept_paths(blocks: list[tuple[Node, str]]) -> set[str]:
     sums: dict[str, list] = defaultdict(lambda: [0, 0, 0, 0])
     groups: dict[str, list] = defaultdict(lambda: [0, 0, 0, 0])
     about = {}
+    within, within_links = 0, 0
     for node, text in blocks:
         about[node.path] = node
+        if node.inside:
+            within, within_links = within + len(text), within_links + min(node.links, len(text))
         for totals in (sums[node.path], groups[node.parent]):
             for i, x in enumerate((len(text), 1, len(_PUNCTUATION.findall(text)), min(node.links, len(text)))):
                 totals[i] += x
@@ -170,7 +217,10 @@ def _kept_paths(blocks: list[tuple[Node, str]]) -> set[str]:
     for path, (size, n, marks, links) in sums.items():
         near = groups[about[path].parent]
         length, punctuation = (size / n + near[0] / near[1]) / 2, (marks / n + near[2] / near[1]) / 2
-        fused[path] = math.log1p(length) * math.log1p(1 + punctuation) * (1 - links / size)
+        linked = links / size
+        if about[path].inside and about[path].linkable:
+            linked = (linked + within_links / within) / 2
+        fused[path] = math.log1p(length) * math.log1p(1 + punctuation) * (1 - linked)
     marked = any(node.inside for node in about.values())
     best = max((ratio for path, ratio in fused.items() if about[path].inside or not marked), default=0)
     share = {path: (LOW if about[path].inside else HIGH) if marked else THRESHOLD for path in fused}

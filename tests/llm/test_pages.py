@@ -114,3 +114,21 @@ def test_parts_that_are_no_article():
     <div class="ad-slot">Buy now, it is cheap. Really, it is.</div><form><p>Your name, please.</p></form><section id="comments"><article class="comment"><p>I disagree, strongly. No!</p></article></section></article>
     <div class="right-rail">Most read, this week.</div><p>Loose.</p></div><div role="alert">Notice: we moved.</div></body>"""
     assert html_text.content(page) == ["Title", text, "one", "two", "1", "b"]
+
+
+def test_names_of_the_layout_bar_nothing():
+    text = "Words of the article, more than a few; they end here."
+    for name in ("container has-sidebar", "layout with-sidebar", "overflow-hidden", "no-comments", "page-with-header", "sidebar-layout", "header-fixed"):
+        for tag in ("article", "main", "div class=post"):
+            page = f"<body><nav>Home</nav><div class='{name}'><div class=inner><{tag}><p>{text}</p></{tag.split()[0]}></div><div class=sidebar>Most read.</div></div><div class=comments><article><p>I disagree, strongly.</p></article></div></body>"
+            assert html_text.content(page) == [text], (name, tag)
+    assert html_text.content(f"<div class=related><div class=item><p>{text}</p></div></div><p>Short.</p>")[0] == text
+    cards = f"<div class=post><p>{text}</p><p>{text}</p></div><div class=related><article><p>Another story.</p></article></div>"
+    assert html_text.content(cards) == [text, text]
+
+
+def test_linked_headings_and_items_of_an_article():
+    text = "Words of the article, more than a few; they end here."
+    page = f"""<body><div class=menu><a href=/>Home</a></div><article><header><h1 class='entry-title'><a href=/t>Title</a></h1></header><p>{text}</p><h2><a href=#s>Part</a></h2><p>{text}</p>
+    <ol><li><a href=/r1>First reference, 2001.</a></li><li><a href=/r2>Second</a></li></ol></article><ul><li><a href=/n>Next page</a></li></ul></body>"""
+    assert html_text.content(page) == ["Title", text, "Part", text, "First reference, 2001.", "Second"]
