@@ -47,33 +47,67 @@ def folded_reactions(events: DataFrame) -> DataFrame:
     return last.where("action = 'add'").groupBy("message_id", "emoji").agg(F.count("*").alias("n"))
 
 
-def thread_roots(messages: DataFrame, max_depth: int = 64) -> DataFrame:
-    """message_id, root_id, depth: up the replies by pointer doubling until all are at their roots.
+def _climbed(parents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """message_id, root_id, depth by pointer doubling; and the message_ids that walk into a cycle, if any.
 
-    A missing parent ends the walk; a cycle ends it at ``max_depth``. A round is
-    one join over narrow rows, written to the shared folder so that plans do not
-    double with the pointers.
+    A round ends the walks of up to twice as many steps. While walks to a root
+    are left, some of them end in each round: those that are left when none does
+    go round in cycles.
     """
-    at = messages.alias("m").join(messages.select(F.col("message_id").alias("p")), F.col("m.reply_to") == F.col("p"), "left")
-    at = stored(at.select(F.col("m.message_id").alias("message_id"), F.coalesce("p", "m.message_id").alias("root_id"), F.when(F.col("p").isNull(), 0).otherwise(1).alias("depth")), "threads")
-    reach = 1
-    while reach < max_depth:
+    at = parents.select("message_id", F.coalesce("parent", "message_id").alias("root_id"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
+    before = None
+    while True:
         up = at.where("depth > 0").select(F.col("message_id").alias("root_id"), F.col("root_id").alias("next"), F.col("depth").alias("more"))
         moved = stored(at.join(up, "root_id", "left"), "threads")
         at = moved.select("message_id", F.coalesce("next", "root_id").alias("root_id"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        if moved.where("more > 0").isEmpty():
-            break
+        left = moved.where("more > 0").count()
+        if not left or left == before:
+            return at, moved.where("more > 0").select("message_id") if left else None
+        before = left
+
+
+def _cycle_tops(links: DataFrame) -> DataFrame:
+    """message_id: the least member of each cycle, of links (message_id, parent) that all lead into one."""
+    at, n, reach = links.select("message_id", F.col("parent").alias("to"), F.col("message_id").alias("least")), links.count(), 1
+    while reach < n:  # least: of the first ``reach`` members of the walk
+        on = at.select(F.col("message_id").alias("to"), F.col("to").alias("next"), F.col("least").alias("other"))
+        at = stored(at.join(on, "to").select("message_id", F.col("next").alias("to"), F.least("least", "other").alias("least")), "threads")
         reach *= 2
+    return at.join(at.select(F.col("to").alias("message_id")).distinct(), "message_id").select(F.col("least").alias("message_id")).distinct()
+
+
+def thread_roots(messages: DataFrame) -> DataFrame:
+    """message_id, root_id, depth: up the replies by pointer doubling until all are at their roots, however deep.
+
+    A missing parent ends the walk; the least message_id of a cycle counts as a
+    root. A round is one join over narrow rows, written to the shared folder so
+    that plans do not double with the pointers.
+    """
+    linked = messages.alias("m").join(messages.select(F.col("message_id").alias("p")), F.col("m.reply_to") == F.col("p"), "left")
+    parents = stored(linked.select(F.col("m.message_id").alias("message_id"), F.col("p").alias("parent")), "threads")
+    at, circling = _climbed(parents)
+    if circling is not None:
+        tops = _cycle_tops(stored(parents.join(circling, "message_id"), "threads")).withColumn("top", F.lit(True))
+        cut = parents.join(tops, "message_id", "left").select("message_id", F.when(F.col("top").isNull(), F.col("parent")).alias("parent"))
+        at, _ = _climbed(stored(cut, "threads"))
     return at
 
 
-def threads(messages: DataFrame, max_depth: int = 64) -> DataFrame:
-    """A row per root in time order: its replies by time; a reply whose parent is not the root names the parent's author."""
-    roots = messages.join(thread_roots(messages, max_depth), "message_id")
+def thread_replies(messages: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """A row per reply: root_id, created_at, message_id, answers (the parent's author, if the parent is not the root)."""
+    roots = messages.join(thread_roots(messages), "message_id") if roots is None else roots
     parents = messages.select(F.col("message_id").alias("reply_to"), F.col("user_id").alias("parent_author"))
     replies = roots.join(parents, "reply_to", "left").where("message_id <> root_id")
-    reply = F.struct("created_at", "message_id", F.when(F.col("reply_to") != F.col("root_id"), F.col("parent_author")).alias("answers"))
-    grouped = replies.groupBy("root_id").agg(F.array_sort(F.collect_list(reply)).alias("replies"))
+    return replies.select("root_id", "created_at", "message_id", F.when(F.col("reply_to") != F.col("root_id"), F.col("parent_author")).alias("answers"))
+
+
+def threads(messages: DataFrame) -> DataFrame:
+    """A row per root in time order: its replies by time; a reply whose parent is not the root names the parent's author.
+
+    A thread is one row here; ``thread_replies`` has a row for each reply.
+    """
+    roots = messages.join(thread_roots(messages), "message_id")
+    grouped = thread_replies(messages, roots).groupBy("root_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "message_id", "answers"))).alias("replies"))
     tops = roots.where("message_id = root_id").select("root_id", F.col("created_at").alias("started"))
     return tops.join(grouped, "root_id", "left").withColumn("n_replies", F.coalesce(F.size("replies"), F.lit(0)))
 

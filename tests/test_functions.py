@@ -92,6 +92,18 @@ def test_threads(spark):
     assert [(x["message_id"], x["answers"]) for x in first.replies] == [(2, None), (3, 8)]
 
 
+def test_deep_threads_and_cycles(spark):
+    """A chain far deeper than 64, a cycle of 70 with a tail of 5, a message that replies to itself."""
+    rows = [(i, 7, i, i - 1 if i else None) for i in range(300)]
+    rows += [(1000 + i, 8, i, 1000 + (i + 1) % 70) for i in range(70)] + [(500 + i, 8, i, 501 + i if i < 4 else 1033) for i in range(5)] + [(2000, 9, 0, 2000)]
+    m = spark.createDataFrame(rows, "message_id long, user_id long, created_at long, reply_to long")
+    got = {r.message_id: (r.root_id, r.depth) for r in chat.thread_roots(m).collect()}
+    want = {i: (0, i) for i in range(300)} | {1000 + i: (1000, -i % 70) for i in range(70)} | {500 + i: (1000, 5 - i + 37) for i in range(5)} | {2000: (2000, 0)}
+    assert got == want
+    assert {r.root_id: r.n_replies for r in chat.threads(m).collect()} == {0: 299, 1000: 74, 2000: 0}
+    assert chat.thread_replies(m).where("root_id = 0").count() == 299
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "user_id long, song_id long")
     assert retrieval.without_recent(empty, empty, 3).count() == 0
