@@ -1,14 +1,15 @@
 """Exact k-nearest-neighbour search and ranking over embedding columns.
 
-A table of query vectors is small and counted before it is broadcast; candidates
-stream past it. Each task keeps its own best k per query before the shuffle
+A table of query vectors is counted before it is broadcast; candidates stream
+past it. A larger one is searched in blocks, one after the other. Each task keeps its own best k per query before the shuffle
 (a bounded aggregate), so what is shuffled is k rows a task and query, not the
 product of queries and candidates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import scores, vectors
+from quern.sources.files import stored
 
-#: Most query rows that are broadcast.
+#: Most query rows that are broadcast at once.
 MAX_QUERIES = 10_000
 
 
@@ -26,15 +28,27 @@ def eligible(songs: DataFrame, vector: str = "embedding") -> DataFrame:
     return songs.where(F.col(vector).isNotNull() & ~F.col("is_placeholder"))
 
 
-def query_table(queries: DataFrame) -> DataFrame:
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search in blocks")
-    return F.broadcast(queries)
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """``queries`` in blocks of about half of MAX_QUERIES rows, by a hash of the row; as it is if it has no more than MAX_QUERIES.
+
+    Equal rows share a block. The table is written once if it is split.
+    """
+    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
+        return [queries]
+    table = stored(queries, "queries")
+    n = -(-2 * table.count() // MAX_QUERIES)
+    block = F.pmod(F.xxhash64("query_id", "query_vector"), F.lit(n))
+    return [table.where(block == i) for i in range(n)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def scored(candidates: DataFrame, queries: DataFrame, metric: str = "cosine", vector: str = "embedding") -> DataFrame:
     """candidates with query_id and distance, a row for each query. ``queries``: query_id, query_vector."""
-    return candidates.join(query_table(queries)).withColumn("distance", vectors.distance(vector, "query_vector", metric)).drop("query_vector")
+    pairs = _union([candidates.join(F.broadcast(block)) for block in query_blocks(queries)])
+    return pairs.withColumn("distance", vectors.distance(vector, "query_vector", metric)).drop("query_vector")
 
 
 def top_k(rows: DataFrame, k: int, by: list[str], order: list[Column], keep: list[str] | None = None) -> DataFrame:
@@ -49,20 +63,39 @@ def top_k(rows: DataFrame, k: int, by: list[str], order: list[Column], keep: lis
 
 def knn(candidates: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vector: str = "embedding", id_col: str = "song_id") -> DataFrame:
     """query_id, id, distance, rank: the k nearest for each query, ties by id."""
-    near = scored(candidates.select(id_col, vector), queries, metric, vector).select("query_id", id_col, "distance")
-    return top_k(near, k, ["query_id"], [F.col("distance"), F.col(id_col)])
+
+    def search(block: DataFrame) -> DataFrame:
+        pairs = candidates.select(id_col, vector).join(F.broadcast(block))
+        return pairs.select("query_id", id_col, vectors.distance(vector, "query_vector", metric).alias("distance"))
+
+    return _nearest(search, queries, k, id_col)
+
+
+def _nearest(search: Callable[[DataFrame], DataFrame], queries: DataFrame, k: int, id_col: str) -> DataFrame:
+    """The k nearest of what ``search`` finds for each block of queries; with several, each block's are written before the next is searched."""
+
+    def best(rows: DataFrame) -> DataFrame:
+        return top_k(rows, k, ["query_id"], [F.col("distance"), F.col(id_col)])
+
+    blocks = query_blocks(queries)
+    if len(blocks) == 1:
+        return best(search(blocks[0]))
+    return best(_union([stored(best(search(block)).drop("rank"), "nearest") for block in blocks]))
 
 
 def knn_blocks(candidates: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", id_col: str = "song_id") -> DataFrame:
     """As ``knn`` by cosine, with one matrix product for each Arrow batch instead of an expression for each pair.
 
-    The counted query table goes to every task as a matrix; a task keeps the best
-    k of each query, so k rows a task and query are shuffled. Ids are long. Last
-    bits of sums may differ from the expression's.
+    A block of the counted query table goes to every task as a matrix; a task
+    keeps the best k of each query, so k rows a task and query are shuffled. Ids
+    are long. Last bits of sums may differ from the expression's.
     """
-    rows = queries.select("query_id", F.col("query_vector").cast("array<double>")).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search in blocks")
+    return _nearest(lambda block: _products(candidates, block, k, vector, id_col), queries, k, id_col)
+
+
+def _products(candidates: DataFrame, queries: DataFrame, k: int, vector: str, id_col: str) -> DataFrame:
+    """query_id, id, distance: the best k of each task for each of some queries."""
+    rows = queries.select("query_id", F.col("query_vector").cast("array<double>")).collect()
     names, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
 
     def unit(m: np.ndarray) -> np.ndarray:
@@ -85,14 +118,13 @@ def knn_blocks(candidates: DataFrame, queries: DataFrame, k: int, vector: str =
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best_id.ravel()), pa.array(best_d.ravel())], ["query_id", id_col, "distance"])
 
     plain = candidates.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vector).cast("array<double>").alias("v"))
-    near = plain.mapInArrow(run, f"query_id long, {id_col} long, distance double") if rows else plain.select(F.lit(0).cast("long").alias("query_id"), id_col, F.lit(0.0).alias("distance")).limit(0)
-    return top_k(near, k, ["query_id"], [F.col("distance"), F.col(id_col)])
+    return plain.mapInArrow(run, f"query_id long, {id_col} long, distance double") if rows else plain.select(F.lit(0).cast("long").alias("query_id"), id_col, F.lit(0.0).alias("distance")).limit(0)
 
 
 def similarity_matrix(rows: DataFrame, others: DataFrame, metric: str = "cosine") -> DataFrame:
-    """a_id, b_id, similarity for every pair of a table and a small, counted one (id, vector)."""
-    small = query_table(others.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")))
-    pairs = rows.join(small).withColumn("d", vectors.distance("vector", "query_vector", metric))
+    """a_id, b_id, similarity for every pair of a table and a counted one (id, vector), block by block of the latter."""
+    blocks = query_blocks(others.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")))
+    pairs = _union([rows.join(F.broadcast(block)) for block in blocks]).withColumn("d", vectors.distance("vector", "query_vector", metric))
     return pairs.select(F.col("id").alias("a_id"), F.col("query_id").alias("b_id"), vectors.similarity_of(F.col("d"), metric).alias("similarity"))
 
 
@@ -131,7 +163,7 @@ def three_signals(meta: DataFrame, emotions: DataFrame, moments: DataFrame, quer
     both = meta.select("query_id", "song_id", F.col("distance").alias("d1")).join(emotions.select("query_id", "song_id", F.col("distance").alias("d2")), ["query_id", "song_id"], "full_outer")
     wanted = both.join(moments, "song_id", "left")
     use = wanted.where(F.col("d2").isNotNull() & F.col("moment_vector").isNotNull()).select("query_id").distinct().withColumn("use", F.lit(True))
-    third = wanted.join(query_table(queries), "query_id").join(use, "query_id", "left").withColumn("d3", F.when(F.col("use"), vectors.cosine_distance("moment_vector", "query_vector")))
+    third = wanted.join(queries, "query_id").join(use, "query_id", "left").withColumn("d3", F.when(F.col("use"), vectors.cosine_distance("moment_vector", "query_vector")))
     total = third.withColumn("score", scores.weighted([F.col("d1"), F.col("d2"), F.col("d3")], weights))
     return top_k(total.select("query_id", "song_id", "d1", "d2", "d3", "score"), keep, ["query_id"], [F.desc("score"), F.col("song_id")])
 

@@ -143,3 +143,18 @@ def test_blocks_equal_pairs(spark):
     take = lambda df: sorted((r.query_id, r["rank"], r.song_id, round(r.distance, 9)) for r in df.collect())
     assert take(retrieval.knn_blocks(songs, q, 8)) == take(retrieval.knn(songs.where("embedding IS NOT NULL"), q, 8))
     assert retrieval.knn_blocks(songs, q.limit(0), 8).count() == 0 == retrieval.knn_blocks(songs.limit(0), q, 8).count()
+
+
+def test_many_queries_are_searched_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    songs = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(60)], "song_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(9)], "query_id long, query_vector array<double>")
+    take = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
+    others = q.select(F.col("query_id").alias("id"), F.col("query_vector").alias("vector"))
+    rows = songs.select(F.col("song_id").alias("id"), F.col("embedding").alias("vector"))
+    calls = (lambda: retrieval.knn(songs, q, 4), lambda: retrieval.knn_blocks(songs, q, 4), lambda: retrieval.similarity_matrix(rows, others))
+    at_once = [take(f()) for f in calls]
+    assert [len(x) for x in at_once] == [36, 36, 540]
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 4)
+    assert len(retrieval.query_blocks(q)) == 5
+    assert [take(f()) for f in calls] == at_once
