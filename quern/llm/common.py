@@ -82,6 +82,22 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def without(docs: DataFrame, gone: DataFrame, id_: Column, key: Column, max_rows: int) -> DataFrame:
+    """``docs`` without the rows that ``gone`` (_quern_id, _quern_head, twin) names by ``id_`` and ``key``.
+
+    A twin names the key of a row that stays: of the rows with that key one is left.
+    """
+    gone = stored(gone.distinct(), "dropped")
+    rows = docs.withColumns({"_quern_row_id": id_, "_quern_row_key": key})
+    on = F.col("_quern_row_id").eqNullSafe(F.col("_quern_id")) & (F.col("_quern_row_key") == F.col("_quern_head"))
+    left = rows.join(small_side(gone.drop("twin"), max_rows), on, "left_anti")
+    twins = small_side(gone.where("twin").drop("twin"), max_rows)
+    if twins.limit(1).count():
+        one = rows.join(twins, on, "left_semi").dropDuplicates(["_quern_row_id", "_quern_row_key"])
+        left = left.unionByName(one)
+    return left.drop("_quern_row_id", "_quern_row_key")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. All-ASCII texts take the byte-wise ``lower``; others a per-character map."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

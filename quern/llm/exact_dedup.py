@@ -6,13 +6,14 @@ per digest with map-side combining, compared with the index by a sort-merge
 anti-join that does not shuffle the index, and what is new is appended.
 
 Defined results: a null text is the empty text. Of the equal texts of a batch
-the largest doc_id stays; if the digest was indexed by an earlier batch, the
-document recorded there stays. Rows with a null doc_id are counted, and stay only
-if the digest is new and no row with that text has an id. Rows that repeat both
-id and text carry the same verdict. group_size counts the copies of the batch
-that brought the digest. A batch that is run again after a failure appends
-nothing twice and gets the same verdicts. An empty batch gives an empty result.
-Columns other than doc_id and text are never read.
+exactly one row stays, that of the largest doc_id; a null doc_id stays only if no
+row with that text has an id, and of rows that tie (same id and text, or several
+without id) one stays. If the digest was indexed by an earlier batch, the
+document recorded there stays: rows of this batch with its id do, those without
+an id do not. group_size counts the copies of the batch that brought the digest.
+A batch that is run again after a failure appends nothing twice and gives rows
+with an id the same verdicts. An empty batch gives an empty result. Columns other
+than doc_id and text are never read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_path, small_side, stored
+from .common import ascii_lower, shared_path, stored, without
 
 BUCKETS = 64
 #: Most dropped rows that are sent to every executor; beyond it the join shuffles.
@@ -63,39 +64,52 @@ class DigestIndex:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)).alias("digest"))
+    """doc_id, digest, and a number that tells rows apart once they are stored."""
+    digest = F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.monotonically_increasing_id().alias("row"))
 
 
-def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``; new digests enter ``index``.
+def _verdicts(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """doc_id, digest, keep_id, group_size, kept, twin for every row of ``docs``; new digests enter ``index``.
 
-    The texts are read once. What is shuffled is a digest and an id a document,
-    and one row a digest and task for the groups. The last join is one of two
-    plain shuffles, which adaptive execution splits where one digest is hot.
+    twin: a row that goes although it has the id and text of one that stays.
     """
     rows = stored(digests(docs), "digests")
     n = rows.count()
-    groups = stored(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups", n)
+    last = F.max(F.struct("doc_id", "row"))  # a null id is the least
+    groups = rows.groupBy("digest").agg(last.alias("last"), F.count("*").alias("group_size"))
+    groups = stored(groups.select("digest", F.col("last.doc_id").alias("keep_id"), F.col("last.row").alias("keep_row"), "group_size"), "groups", n)
     fresh = stored(index.unseen(groups), "fresh", n)
-    known = stored(groups.select("digest").hint("merge").join(index.table(), "digest"), "known", n)
+    known = groups.select("digest", F.col("keep_id").alias("last_id"), "keep_row").hint("merge").join(index.table(), "digest")
+    # keep_row is of use if the recorded document is this batch's last one
+    known = stored(known.withColumn("keep_row", F.when(F.col("last_id") == F.col("keep_id"), F.col("keep_row"))).drop("last_id"), "known", n)
     index.append(fresh)
     verdict = fresh.withColumn("fresh", F.lit(True)).unionByName(known.withColumn("fresh", F.lit(False)))
-    return rows.join(verdict.hint("merge"), "digest").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("fresh") & F.col("doc_id").isNull() & F.col("keep_id").isNull()).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    holder = F.when(F.col("fresh"), F.col("doc_id").eqNullSafe(F.col("keep_id"))).otherwise(F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)))
+    stays = holder & (F.col("row") == F.coalesce("keep_row", "row"))
+    return rows.join(verdict.hint("merge"), "digest").select("doc_id", "digest", "keep_id", "group_size", stays.alias("kept"), (holder & ~stays).alias("twin"))
+
+
+def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``; new digests enter ``index``.
+
+    The texts are read once. What is shuffled is a digest and two numbers a
+    document, and one row a digest and task for the groups. The last join is one
+    of two plain shuffles, which adaptive execution splits where one digest is hot.
+    """
+    return _verdicts(docs, index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    head = lambda sha: F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")  # noqa: E731  60 bits beside the id
-    dropped = dedup(docs, index).where("NOT kept").select(F.col("doc_id").alias("_quern_id"), head("text_sha256").alias("_quern_head")).distinct()
-    dropped = small_side(stored(dropped, "dropped"), BROADCAST_DROPPED)
+    """The rows of ``docs`` that stay, with all their columns: one for each text that is new to ``index``.
+
+    Rows are told by id and 60 bits of the digest. Twins of rows that stay share
+    both, so where there are any they are reduced to one row each.
+    """
+    head = lambda sha: F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")
+    gone = _verdicts(docs, index).where("NOT kept").select(F.col("doc_id").alias("_quern_id"), head(F.hex("digest")).alias("_quern_head"), "twin")
     digest = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_quern_id")) & (head(digest) == F.col("_quern_head")), "left_anti")
+    return without(docs, gone, docs["doc_id"], head(digest), BROADCAST_DROPPED)
 
 
 def op10_digest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +121,7 @@ QUERIES = {"op10_digest_dedup": op10_digest_dedup}
 ORACLE_SQL = {
     "op10_digest_dedup": f"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}', '{"abcdefghijklmnopqrstuvwxyz"}')) AS text_sha256 FROM documents)
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 }

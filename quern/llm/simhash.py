@@ -18,7 +18,9 @@ is skipped is already connected.
 Defined results: null is the empty text; a text without words has fingerprint
 zero. Rows with a null doc_id get the component of their fingerprint (null if
 no row in it has an id). Repeated rows get equal results; an empty table gives
-none. Columns other than doc_id and text are never read.
+none. Columns other than doc_id and text are never read. As a filter
+(``representatives``), exactly one row of each component stays: one with the
+component's id, or any if none has an id.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept_on_disk, short_batches, small_side, stored
+from .common import kept_on_disk, short_batches, small_side, stored, without
 from .components import components
 
 SHINGLE = 4
@@ -69,16 +71,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits * 2 > n, bitorder="little").view(np.int64)[0])
 
 
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: one row for each row of ``docs``."""
+    """doc_id, text_key, fp: one row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py() or b"", shingle) for t in texts], pa.int64())], ["doc_id", "fp"])
+            texts = b.column(2).cast(pa.large_binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([fingerprint(t.as_py() or b"", shingle) for t in texts], pa.int64())], ["doc_id", "text_key", "fp"])
 
     short_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
+    return plain.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def _parts(width: int, parts: int) -> list[tuple[int, int]]:
@@ -160,6 +167,15 @@ def linked(fps: DataFrame, max_bits: int = MAX_BITS, segments=SEGMENTS, parts: i
     return roots.join(joined, "label", "left").select("node", F.coalesce("top", "label").alias("root"))
 
 
+def _finer(segments, parts: int) -> Column:
+    """Parts of the bits beside the segment of a row's key, numbered: rows of a large bucket that link share one of max_bits + 1."""
+    of = []
+    for at, width in segments:
+        cut = (f"{j << 32}L | (shiftrightunsigned({_beside('fp', at, width)}, {first}) & {(1 << size) - 1}L)" for j, (first, size) in enumerate(_parts(width, parts)))
+        of.append(f"WHEN shiftrightunsigned(key, 35) < {at + width} THEN array({', '.join(cut)})")
+    return F.expr("CASE " + " ".join(of) + " END")
+
+
 def _across(large: DataFrame, chained: DataFrame, max_bits: int, segments, parts: int, n: int) -> DataFrame:
     """label, top: what the links between different components of large buckets join."""
     named = large.select("key", "fp").join(chained.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("label"))
@@ -167,9 +183,10 @@ def _across(large: DataFrame, chained: DataFrame, max_bits: int, segments, parts
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
     open_ = kept_on_disk(named.join(split, "key"))
-    left = open_.where("label <> largest").select("key", "fp", "label")
-    right = open_.select(F.col("key").alias("key2"), F.col("fp").alias("fp2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("in_largest"))
-    reach = F.expr(f"key = key2 AND label <> label2 AND (in_largest OR fp < fp2) AND {_within('fp', 'fp2', max_bits, segments, parts)}")
+    finer = open_.withColumn("part", F.explode(_finer(segments, max_bits + 1 if parts == 1 else 1)))
+    left = finer.where("label <> largest").select("key", "part", "fp", "label")
+    right = finer.select(F.col("key").alias("key2"), F.col("part").alias("part2"), F.col("fp").alias("fp2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("in_largest"))
+    reach = F.expr(f"key = key2 AND part = part2 AND label <> label2 AND (in_largest OR fp < fp2) AND bit_count(fp ^ fp2) <= {max_bits}")
     across = left.join(right.hint("merge"), reach).select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct()
     found = components(across, n)  # stored by then
     open_.unpersist()
@@ -177,23 +194,35 @@ def _across(large: DataFrame, chained: DataFrame, max_bits: int, segments, parts
     return found.select(F.col("node").alias("label"), F.col("root").alias("top"))
 
 
+def _classes(rows: DataFrame, max_bits: int) -> DataFrame:
+    """fp, root, component_id for each distinct fingerprint of ``rows`` (doc_id, fp)."""
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints", n := rows.count())
+    # Only what has a link meets by root, and against a stored table: a large component skews neither join nor aggregate.
+    tied = stored(linked(fps.select("fp"), max_bits).withColumnRenamed("node", "fp").join(fps, "fp"), "rooted", n)
+    first = stored(tied.groupBy("root").agg(F.min("first_id").alias("component_id")), "first", n)
+    tied = stored(tied.select("fp", "root").join(small_side(first, BROADCAST_DROPPED), "root"), "tied", n)
+    both = fps.join(tied, "fp", "left")
+    both = both.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return stored(both, "classes", n)  # so that joins with it are of two plain shuffles, which adaptive execution splits
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id reachable over links."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
-    n = rows.count()
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints", n)
-    roots = linked(fps.select("fp"), max_bits)
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = stored(named, "rooted", n)  # else aggregate and join share a shuffle that a large component skews
-    first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(first, "root").select("fp", "component_id")
-    return rows.join(classes.hint("merge"), "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
+    return rows.join(_classes(rows, max_bits).hint("merge"), "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component, and those without an id; all columns."""
-    dropped = near_duplicates(docs, max_bits).where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_quern_id")).distinct()
-    return docs.join(small_side(stored(dropped, "dropped"), BROADCAST_DROPPED), docs["doc_id"] == F.col("_quern_id"), "left_anti")
+    """One row of ``docs`` for each component, that with the component's id; all columns."""
+    rows = stored(fingerprints(docs), "fingerprints")
+    named = rows.join(_classes(rows, max_bits).hint("merge"), "fp").select("doc_id", "text_key", "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("could"))
+    named = stored(named, "named", n := rows.count())
+    several = named.groupBy("root").agg(F.count("*").alias("n"), F.min(F.when(F.col("could"), F.col("text_key"))).alias("stays")).where("n > 1").drop("n")
+    several = small_side(stored(several, "several", n), BROADCAST_DROPPED)
+    told = named.join(several, "root").select("doc_id", "text_key", (F.col("could") & (F.col("text_key") == F.col("stays"))).alias("stays"))
+    told = told.groupBy("doc_id", "text_key", "stays").agg(F.count("*").alias("n")).where("NOT stays OR n > 1")
+    gone = told.select(F.col("doc_id").alias("_quern_id"), F.col("text_key").alias("_quern_head"), F.col("stays").alias("twin"))
+    return without(docs, gone, docs["doc_id"], _text_key(docs["text"]), BROADCAST_DROPPED)
 
 
 def _hex(fp: str) -> Column:

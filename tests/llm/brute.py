@@ -86,5 +86,6 @@ def exact(docs):
     out = []
     for text, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
-        out += [(i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
+        stays = ids.index(keep)
+        out += [(i, keep, len(ids), at == stays, hashlib.sha256(text.encode()).hexdigest()) for at, i in enumerate(ids)]
     return out

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from quern.llm import components, decontaminate, exact_dedup, licenses, simhash
 from quern.llm.common import shared_path
 
@@ -41,7 +43,10 @@ def test_index_persists(spark, odd, empty):
     again = exact_dedup.DigestIndex(spark, path, 4)
     assert exact_dedup.dedup(empty, again).count() == 0
     got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.dedup(odd.where("doc_id < 900008"), again).collect()}
-    assert got[900001] == (900002, False) and got[900002] == (900002, True) and got[900005] == (900005, True) and got[900006] == (900007, False)
+    assert got[900001] == (900002, False) and got[900002] == (900002, True) and got[900006] == (900007, False)
+    twins = exact_dedup.dedup(odd.where("doc_id = 900005"), again)  # known by now
+    assert sorted(r.kept for r in twins.collect()) == [False, True]
+    assert not exact_dedup.dedup(odd.where("doc_id IS NULL AND text = 'one'"), again).where("kept").count()
     once = exact_dedup.DigestIndex(spark, path, 4).table()
     assert once.count() == once.select("digest").distinct().count()
     assert exact_dedup.DigestIndex(spark, path, 4).compact().table().count() == once.count()
@@ -125,6 +130,33 @@ def test_filters_keep_clashing_columns(spark):
     assert ids(decontaminate.decontaminated(docs, bench)) == [1, 2, 3]
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_one_row_of_each_group_stays(spark, monkeypatch, broadcast):
+    """Null and repeated ids, repeated rows: one row a text, one row a component, whichever way the joins go."""
+    if not broadcast:
+        for module in (exact_dedup, simhash, decontaminate):
+            for name in [n for n in vars(module) if n.startswith("BROADCAST_")]:
+                monkeypatch.setattr(module, name, 0)
+        monkeypatch.setattr(licenses, "BROADCAST_KEYS", 0)
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(None, "b"), (None, "B"), (7, "c c"), (7, "c c"), (7, "C c"), (3, "c C"), (None, "c c"), (8, "d"), (8, "e"), (None, None), (None, ""), (1, long), (1, long), (1, long + " x"), (None, long), (2, long.replace("w299", "z"))]
+    docs = spark.createDataFrame([(*r, f"s{i}") for i, r in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    kept = exact_dedup.deduplicated(docs, exact_dedup.DigestIndex(spark, shared_path(spark, "t")))
+    assert kept.columns == docs.columns
+    lower = lambda t: (t or "").lower()
+    assert sorted(lower(r.text) for r in kept.collect()) == sorted({lower(t) for _, t in rows})
+    assert {r.doc_id for r in kept.collect() if lower(r.text) == "c c"} == {7}
+    near = simhash.representatives(docs)
+    fp = {lower(t): brute.fingerprint(t) for _, t in rows}
+    component = {(i, f): c for i, f, c in brute.near_duplicates(rows)}
+    assert near.columns == docs.columns and sorted({lower(r.text)[:3] for r in near.collect()}) == ["", "b", "c c", "d", "e", "w0 "] and near.count() == 6
+    assert all(r.doc_id == component[r.doc_id, f"{fp[lower(r.text)]:016x}"] for r in near.collect())
+    bench = spark.createDataFrame([(9, "c c"), (10, "w3 w4 w5")], "item_id long, text string")
+    assert sorted(r.source for r in decontaminate.decontaminated(docs, bench).collect()) == sorted(f"s{i}" for i, r in enumerate(rows) if lower(r[1]) != "c c" and not lower(r[1]).startswith("w0"))
+    same(((r.doc_id, r.n_hit) for r in decontaminate.contamination(docs, bench).collect()), [(i, n) for i, _, n, *_ in brute.contamination(rows, [(9, "c c"), (10, "w3 w4 w5")])])
+    same(((r.doc_id, r.n_words) for r in licenses.scan(docs).collect()), [(i, n) for i, n, *_ in brute.licences(rows)])
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (None, 4)]
