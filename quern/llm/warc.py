@@ -6,11 +6,14 @@ SHA-256), that of the smallest page_id is a response record and the others are
 revisit records without payload that name it. Spark's text writer makes the
 files: a record is a row, the blank lines between records are its line separator.
 
-Reading: archives are parsed by Content-Length in a stream, one task a file, and
-payload digests are verified. The captures of a file, sorted by URL key, time
-and page_id, are a run. Runs are dealt by ranges of that key, and every range
-merges its parts of the k runs with a loser tree, which gives capture histories
-in global order.
+Reading: archives pass through Spark's text reader piece by piece and are parsed
+by Content-Length, so that a task holds one record, not one archive; payload
+digests are verified. The captures of an archive (RECORDS_PER_FILE at most),
+sorted by URL key, time and page_id, are a run. Runs are dealt by ranges of that
+order, about RANGE_ROWS captures each by count, ties included; Spark sorts a
+range by archive and rank on disk, which lays its parts of the runs one after the
+other, and a loser tree merges them with one head a run. That gives capture
+histories in global order.
 
 Defined results: null html is an empty payload; a null url has no target URI and
 the empty key; of rows with a null page_id none is the record that others
@@ -22,24 +25,29 @@ EPOCH plus page_id seconds stands for it.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import io
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_side, stored
+from .common import shared_path, short_batches, small_side, stored
 
 REVISIT_FROM = 100
 RECORDS_PER_FILE = 5_000
+#: Captures that a range of the merge holds, about: what a task keeps in memory, as Arrow columns of narrow rows.
+RANGE_ROWS = 100_000
+#: Rows of a run that are turned to Python at once when its head is read.
+HEAD_ROWS = 64
 EPOCH = 1_700_000_000
 BROADCAST_REVISITS = 500_000
 #: Fixed values of the format.
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n"
+BLANK_LINES = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RUN = "urlkey string, captured string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_at long"
 
@@ -52,7 +60,8 @@ def _payloads(pages: DataFrame) -> DataFrame:
 def revisits(pages: DataFrame) -> DataFrame:
     """page_id, digest, refers_to of the pages that repeat an earlier payload."""
     narrow = stored(_payloads(pages).where(F.col("bytes") >= REVISIT_FROM).select("page_id", "digest"), "payloads")
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL")
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    first = small_side(stored(first, "first-payloads", narrow.count()), BROADCAST_REVISITS)  # stored: a payload of many pages skews no join
     return narrow.join(first, "digest").where("NOT page_id <=> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
@@ -92,30 +101,42 @@ def records(pages: DataFrame) -> DataFrame:
     return p.select(F.concat(head, F.lit("\r\n\r\n"), F.lit(HTTP_HEAD), F.when(repeat, "").otherwise(F.col("html"))).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> None:
-    """WARC files below ``path``, of at most RECORDS_PER_FILE records each."""
-    (records(pages).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
-
-
-def parse(stream) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of each record of an open archive."""
-    at = 0
-    while True:
-        line = stream.readline()
-        if not line:
-            return
-        start, at = at, at + len(line)
-        if line.strip() == b"":
-            continue
-        headers = {}
-        while (line := stream.readline()).strip():
-            at += len(line)
-            name, _, value = line.decode("utf-8", "surrogateescape").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        at += len(line)
-        block = stream.read(int(headers["content-length"]))
-        at += len(block)
-        yield start, headers, block
+def write_archives(pages: DataFrame, path: str) -> None:
+    """Gzipped WARC files below ``path``, of at most RECORDS_PER_FILE records each."""
+    records(pages).write.option("lineSep", BLANK_LINES).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+
+
+class Parser:
+    """Records of an archive whose bytes come piece by piece; keeps what is open of one record."""
+
+    def __init__(self):
+        self.at, self.pieces, self.held, self.wanted, self.headers = 0, [], 0, None, {}
+
+    def is_open(self) -> bool:
+        """Whether a record has begun and not ended."""
+        return self.wanted is not None or bool(b"".join(self.pieces).strip(b"\r\n"))
+
+    def feed(self, piece: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+        """(offset, headers, block) of each record that ``piece`` completes."""
+        self.pieces.append(piece)
+        self.held += len(piece)
+        while self.held and (self.wanted is None or self.held >= self.wanted):
+            data = b"".join(self.pieces) if len(self.pieces) > 1 else self.pieces[0]
+            if self.wanted is None:
+                begin = len(data) - len(data.lstrip(b"\r\n"))  # the blank lines after the record before
+                end = data.find(b"\r\n\r\n", begin)
+                if end < 0:
+                    self.pieces = [data]
+                    return
+                lines = data[begin:end].decode("utf-8", "surrogateescape").split("\r\n")[1:]
+                self.headers = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
+                self.start, self.block = self.at + begin, end + 4
+                self.wanted = self.block + int(self.headers["content-length"])
+                self.pieces = [data]
+            else:
+                yield self.start, self.headers, data[self.block : self.wanted]
+                self.pieces, self.held, self.at = [data[self.wanted :]], self.held - self.wanted, self.at + self.wanted
+                self.wanted = None
 
 
 def url_key(url: str | None) -> str:
@@ -130,17 +151,15 @@ def url_key(url: str | None) -> str:
     return (",".join(reversed(host.split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")).lower()
 
 
-def _captures(archive: str, data: bytes) -> Iterator[tuple]:
-    stream = gzip.open(io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    for at, headers, block in parse(stream):
-        digest, length = headers["warc-payload-digest"].removeprefix("sha256:"), int(headers["x-payload-length"])
-        if headers["warc-type"] == "response":
-            payload = block.partition(b"\r\n\r\n")[2]
-            length = len(payload)
-            if hashlib.sha256(payload).hexdigest() != digest:
-                raise ValueError(f"{archive} at {at}: the payload does not have its digest")
-        page, first, url = headers.get("x-page-id"), headers.get("x-refers-to-page"), headers.get("warc-target-uri")
-        yield url_key(url), headers["warc-date"], None if page is None else int(page), url, length, digest, headers["warc-type"], None if first is None else int(first), archive, at
+def _capture(archive: str, at: int, headers: dict[str, str], block: bytes) -> tuple:
+    digest, length = headers["warc-payload-digest"].removeprefix("sha256:"), int(headers["x-payload-length"])
+    if headers["warc-type"] == "response":
+        payload = block.partition(b"\r\n\r\n")[2]
+        length = len(payload)
+        if hashlib.sha256(payload).hexdigest() != digest:
+            raise ValueError(f"{archive} at {at}: the payload does not have its digest")
+    page, first, url = headers.get("x-page-id"), headers.get("x-refers-to-page"), headers.get("warc-target-uri")
+    return url_key(url), headers["warc-date"], None if page is None else int(page), url, length, digest, headers["warc-type"], None if first is None else int(first), archive, at
 
 
 def _order(capture: tuple) -> tuple:
@@ -155,16 +174,32 @@ def _batch(rows: list[tuple], extra: str = "") -> pa.RecordBatch:
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of every archive, each archive's sorted, with their rank in it."""
+    """The captures of every archive, each archive's sorted, with their rank in it.
+
+    A gzipped file is one split, so a task sees its pieces in order, one file after the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, parser, found = None, Parser(), []
+
+        def sorted_run() -> pa.RecordBatch:
+            if parser.is_open():
+                raise ValueError(f"{archive} ends inside a record")
+            return _batch([(*c, i) for i, c in enumerate(sorted(found, key=_order))], ", rank long")
+
         for b in batches:
-            for archive, data in zip(b.column(0), b.column(1)):
-                found = sorted(_captures(archive.as_py().rpartition("/")[2], data.as_py()), key=_order)
-                yield _batch([(*c, i) for i, c in enumerate(found)], ", rank long")
+            for name, piece in zip(b.column(0).to_pylist(), b.column(1)):
+                if name != archive:
+                    if archive is not None:
+                        yield sorted_run()
+                    archive, parser, found = name, Parser(), []
+                found += [_capture(archive, *record) for record in parser.feed(piece.as_py() + BLANK_LINES.encode())]
+        if archive is not None:
+            yield sorted_run()
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, RUN + ", rank long")
+    short_batches(spark)
+    pieces = spark.read.option("lineSep", BLANK_LINES).text(path).select(F.col("_metadata.file_name").alias("archive"), F.col("value").cast("binary").alias("piece"))
+    return pieces.mapInArrow(run, RUN + ", rank long")
 
 
 class LoserTree:
@@ -211,27 +246,32 @@ class LoserTree:
             self._play(winner)
 
 
+def _rows(part: pa.Table) -> Iterator[tuple]:
+    """The rows of a sorted part of a run, turned to Python a few at a time."""
+    for at in range(0, len(part), HEAD_ROWS):
+        yield from zip(*(c.to_pylist() for c in part.slice(at, HEAD_ROWS).columns))
+
+
 def merged(sorted_runs: DataFrame, ranges: int | None = None) -> DataFrame:
     """All captures in global order by URL key, time and page_id: partitions are ranges, in order, sorted inside."""
-    n = ranges or int(sorted_runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or 1 + sorted_runs.count() // RANGE_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[tuple]] = {}
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                parts.setdefault(row[8], []).append(row)
-        for part in parts.values():
-            part.sort(key=lambda row: row[-1])  # a shuffle may deliver a run's pieces in any order
+        table = pa.Table.from_batches(list(batches) or [_batch([], ", rank long")]).combine_chunks()
+        archive = table.column("archive").combine_chunks() if len(table) else pa.array([], pa.string())
+        cuts = np.flatnonzero(pc.not_equal(archive[1:], archive[:-1]).to_numpy(zero_copy_only=False)) + 1 if len(table) > 1 else []
+        starts = [0, *cuts] if len(table) else []
         out = []
-        for row in LoserTree(list(parts.values())):
+        for row in LoserTree([_rows(table.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(table)])]):
             out.append(row[:-1])
             if len(out) == 10_000:
                 yield _batch(out)
                 out = []
         yield _batch(out)
 
-    # UTF-8 bytes order as the merge does; nulls first in both.
-    return sorted_runs.repartitionByRange(n, "urlkey", "captured", "page_id").mapInArrow(run, RUN)
+    # UTF-8 bytes order as the merge does; nulls first in both. The last two columns part ties.
+    ranged = sorted_runs.repartitionByRange(n, "urlkey", "captured", "page_id", "archive", "rank")
+    return ranged.sortWithinPartitions("archive", "rank").mapInArrow(run, RUN)
 
 
 def capture_index(pages: DataFrame, path: str) -> DataFrame:

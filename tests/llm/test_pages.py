@@ -3,9 +3,11 @@
 import gzip
 import hashlib
 import html
-import io
 import random
 import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from quern.llm import html_text, warc
 from quern.llm.common import shared_path
@@ -18,6 +20,10 @@ PAGES = [
     (3, "http://a.example.com/", BIG),
     (9, None, BIG),
     (7, "http://a.example.com/", None),
+    (20, "http://a.example.com/", "ends in a line end\r\n"),
+    (21, "http://a.example.com/", "ends in three\r\n\r\n\r\n"),
+    (22, "http://a.example.com/", "\r\n"),
+    (23, "http://a.example.com/", "\r\n\r\n\r\nbegins with them\n\r\n\r"),
     (8, "not a url\r\nX-Evil: 1", "small"),
     (11, "http://[bad", "small"),
     (12, "http://a.example.com/", "line\r\n\r\nWARC/1.1\r\n\r\n" + "ß\U0001f600" * 90),
@@ -53,7 +59,7 @@ def test_round_trip(spark):
     assert sorted((tuple(r[c] for c in COLUMNS) for r in got), key=repr) == sorted(expected(PAGES), key=repr)
     by_id = {i: h for i, _, h in PAGES}
     for file in spark.read.format("binaryFile").load(path).collect():
-        for _, headers, block in warc.parse(gzip.open(io.BytesIO(file.content))):
+        for _, headers, block in warc.Parser().feed(gzip.decompress(file.content)):
             payload = block.partition(b"\r\n\r\n")[2]
             if headers["warc-type"] == "response" and "x-page-id" in headers:
                 assert payload == (by_id[int(headers["x-page-id"])] or "").encode()
@@ -77,6 +83,37 @@ def test_loser_tree():
         assert list(warc.LoserTree(lists, key=lambda x: x)) == sorted(x for part in lists for x in part)
 
 
+def test_records_come_piece_by_piece():
+    """However the bytes are cut, and whatever line ends a payload holds or ends in."""
+    blocks = [b"", b"\r\n", b"x\r\n\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\n", b"a" * 1000]
+    data = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\nN: v:w\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks)
+    rng = random.Random(3)
+    for _ in range(50):
+        parser, got, at = warc.Parser(), [], 0
+        while at < len(data):
+            n = rng.randrange(1, 200)
+            got += parser.feed(data[at : at + n])
+            at += n
+        assert [b for _, _, b in got] == blocks and all(h["n"] == "v:w" for _, h, _ in got)
+        assert all(data[s:].startswith(b"WARC/1.1") for s, _, _ in got)
+
+
+def test_merge_of_many_ranges_and_large_pages(spark, monkeypatch):
+    """Ranges by count, also of captures that tie in URL, time and id; pages of a MB."""
+    monkeypatch.setattr(warc, "RANGE_ROWS", 40)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 30)
+    pages = [(i % 90, "http://hot.example.com/" if i % 3 else f"http://h{i}.example.com/", f"page {i} " * 30) for i in range(300)]
+    pages += [(None, "http://hot.example.com/", f"no id {i}") for i in range(100)] + [(1000, "http://big.example.com/", "<p>line</p>\r\n\r\n" * 70_000)]
+    index = warc.capture_index(frame(spark, pages), shared_path(spark, "t"))
+    got = index.withColumn("range", F.spark_partition_id()).collect()
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in got), key=repr) == sorted(expected(pages), key=repr)
+    keys = [(r.urlkey.encode(), r.captured, r.page_id is not None, r.page_id or 0) for r in got]
+    assert keys == sorted(keys)
+    held = Counter(r.range for r in got)
+    assert len(held) > 5 and max(held.values()) < 120
+    assert len({r.archive for r in got}) > 10
+
+
 def test_url_key():
     assert warc.url_key("http://www.Example.com/A?b=C") == "com,example)/a?b=c"
     assert warc.url_key("http://x.org") == "org,x)/" and warc.url_key(None) == "" and warc.url_key("http://[bad") == "http://[bad"
