@@ -1,22 +1,27 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read once into text nodes, each with its root-to-leaf path of block
-tags. Every path gets the mean length and the mean punctuation of its nodes and
-the share of its text that is links. Ratios are smoothed with those of sibling
-paths (same parent), weighted by text; length and punctuation are fused as a
-product of logarithms, lowered by links. Paths whose fused ratio reaches a share
-of the page's best are content: LOW where the path is inside article or main (or
-the page has neither: THRESHOLD), HIGH beside them.
-
-What a page says about itself counts first: text in nav, header, footer, aside,
-forms, scripts and the like, or in elements whose class, id or role names such a
-part (NOT_CONTENT; not those of html, body and main), is no content. Words after
-one of _STATE (has-sidebar, overflow-hidden) tell how an element looks, not what
-it is. Names around the page's only article, or around most of its text, are
-those of its layout: they bar nothing, and the ratios decide.
-
-Headings and list items inside article or main may be links altogether: their
-share of links is smoothed with that of all the text there.
+tags. Over all nodes of a path, mean length and mean punctuation are fused as a
+product of logarithms, lowered by the share of the text that is links, and
+smoothed with the ratio of all sibling paths (same parent) together.
+
+The ratios decide in three steps. Text that is no link, summed up the paths, finds
+the main part: where the page marks articles or main, those that hold a fair share
+of the text (FAIR); else the walk from the root into the container that holds most
+of what is left (CORE). The heaviest path in it sets the page's ratio. Paths in the
+main part are content from a small share of that ratio on (LOW), but a container
+within it whose running text falls far below it (MID: remarks, adverts) is none.
+Paths elsewhere need nearly the ratio and a fair share of the text (HIGH).
+
+What a page says about itself is a prior. Elements that are by HTML no article (nav,
+header, footer, aside, forms, scripts and the like) and hidden ones are left out.
+Names in class, id or role (NOT_CONTENT) scale a path's ratio and text by PRIOR.
+Words after one of _STATE (has-sidebar, overflow-hidden) tell how an element looks,
+not what it is, and names around the page's only article, or around most of its
+text, are those of its layout: neither counts.
+
+Headings and list items in a marked main part may be links altogether: their share of
+links is smoothed with that of all the text there.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one space; nothing is cut.
@@ -40,7 +45,12 @@ from pyspark.sql import functions as F
 
 from .common import short_batches
 
-THRESHOLD, LOW, HIGH = 0.12, 0.02, 0.75
+#: Shares of the page's ratio, see above.
+LOW, MID, HIGH = 0.02, 0.5, 0.75
+#: Shares of the text: of a container to walk into, of a further part to count.
+CORE, FAIR = 0.6, 0.3
+#: What a name that tells no article leaves of a path's ratio and text.
+PRIOR = 0.01
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Fixed values of HTML: elements without content, with raw content, and inside lines.
@@ -63,6 +73,10 @@ NOT_CONTENT = frozenset(
 _STATE = frozenset("has with without no not overflow".split())
 #: Elements whose text may well be a link inside an article.
 _LINKABLE = frozenset("h1 h2 h3 h4 h5 h6 li dt dd".split())
+#: Elements that hold parts of a page, and more that a layout may use so.
+_CONTAINERS = frozenset("div section article main".split())
+_LAYOUT = _CONTAINERS | frozenset("html body center table tbody tr td".split())
+_TITLES = frozenset("h1 h2".split())
 #: With these words, a header is the article's own.
 _OWN_HEADER = frozenset("entry post article story content".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？¿¡]")
@@ -71,11 +85,11 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？¿¡]")
 class Node:
     """A block's text: where it stands, its pieces, how much of it is links."""
 
-    __slots__ = ("path", "parent", "barred", "inside", "bars", "linkable", "pieces", "links")
+    __slots__ = ("path", "parent", "barred", "inside", "bars", "linkable", "named", "pieces", "links")
 
     def __init__(self, path, parent, barred, inside, bars, linkable):
         self.path, self.parent, self.barred, self.inside, self.pieces, self.links = path, parent, barred, inside, [], 0
-        self.bars, self.linkable = bars, linkable
+        self.bars, self.linkable, self.named = bars, linkable, False
 
 
 def _parts(value: str) -> set[str]:
@@ -105,7 +119,7 @@ def _names(attributes: str) -> tuple[str, bool, bool]:
 
 
 def _unbar_layout(found: list[Node]) -> None:
-    """Settle which names bar: not those around the only article, nor those around most of the text."""
+    """Settle which names count: not those around the only article, nor those around most of the text."""
     sizes: dict[tuple, int] = defaultdict(int)
     articles: dict[tuple, int] = defaultdict(int)
     for node in found:
@@ -119,7 +133,7 @@ def _unbar_layout(found: list[Node]) -> None:
         around += [bars for bars, size in sizes.items() if 2 * size > sum(sizes.values())]
         layout = min(around, key=lambda bars: (len(bars), -sizes[bars]), default=())
     for node in found:
-        node.barred = node.barred or not set(node.bars) <= set(layout)
+        node.named = not set(node.bars) <= set(layout)
 
 
 def nodes(page: str) -> list[Node]:
@@ -196,42 +210,109 @@ def nodes(page: str) -> list[Node]:
     return found
 
 
-def _squeezed(node: Node) -> str:
-    return " ".join(html.unescape("".join(node.pieces)).split())
+class Ratio:
+    """Sums over text nodes, and the fused ratio of them."""
 
+    __slots__ = ("size", "n", "marks", "links")
 
-def _kept_paths(blocks: list[tuple[Node, str]]) -> set[str]:
-    """Paths of unbarred blocks whose smoothed, fused ratio is near the best."""
-    sums: dict[str, list] = defaultdict(lambda: [0, 0, 0, 0])
-    groups: dict[str, list] = defaultdict(lambda: [0, 0, 0, 0])
-    about = {}
-    within, within_links = 0, 0
+    def __init__(self):
+        self.size = self.n = self.marks = self.links = 0
+
+    def add(self, size: int, n: int, marks: int, links: int) -> None:
+        self.size, self.n, self.marks, self.links = self.size + size, self.n + n, self.marks + marks, self.links + links
+
+    def fused(self, linked: float | None = None) -> float:
+        linked = self.links / self.size if linked is None else linked
+        return math.log1p(self.size / self.n) * math.log1p(1 + self.marks / self.n) * (1 - linked)
+
+
+def _above(path: str) -> list[str]:
+    """The paths of the elements around a path's node, itself included, from the root."""
+    cuts = [i for i, c in enumerate(path) if c == "/"][1:]
+    return [path[:i] for i in cuts] + [path] if path else []
+
+
+def _tag(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
+
+
+def _main_parts(mass: dict[str, float], marks: dict[str, float]) -> set[str]:
+    """Paths of the elements that hold the main text, by text that is no link: marked ones, else down the heaviest containers."""
+    if marks:
+        most = max(marks.values())
+        return {path for path, m in marks.items() if m >= FAIR * most}
+    children: dict[str, list[str]] = defaultdict(list)
+    for path in mass:
+        if path:
+            children[path.rpartition("/")[0]].append(path)
+    at = ""
+    while inner := [p for p in list(children[at]) if _tag(p) in _LAYOUT and children.get(p) and mass[p] > CORE * mass[at]]:
+        at = inner[0]
+    beside = at.rpartition("/")[0]  # a title beside the container is its own
+    titles = {p for p in children[beside] if _tag(p) in _TITLES} if _tag(beside) in _CONTAINERS else set()
+    return {at, *titles}
+
+
+def _kept_paths(blocks: list[tuple[Node, str]]) -> set[tuple[str, bool]]:
+    """(path, named) of the blocks whose smoothed, fused ratio is near enough to the page's."""
+    paths: dict[tuple[str, bool], Ratio] = defaultdict(Ratio)
+    groups: dict[tuple[str, bool], Ratio] = defaultdict(Ratio)
+    about: dict[tuple[str, bool], Node] = {}
     for node, text in blocks:
-        about[node.path] = node
-        if node.inside:
-            within, within_links = within + len(text), within_links + min(node.links, len(text))
-        for totals in (sums[node.path], groups[node.parent]):
-            for i, x in enumerate((len(text), 1, len(_PUNCTUATION.findall(text)), min(node.links, len(text)))):
-                totals[i] += x
+        key = node.path, node.named
+        about[key] = node
+        sums = len(text), 1, len(_PUNCTUATION.findall(text)), min(node.links, len(text))
+        paths[key].add(*sums)
+        groups[node.parent, node.named].add(*sums)
+    prior = {key: PRIOR if key[1] else 1.0 for key in paths}
+    own_mass = {key: (r.size - r.links) * prior[key] for key, r in paths.items()}
+    around = {path: _above(path) for path, _ in paths}
+    mass: dict[str, float] = defaultdict(float)
+    marks: dict[str, float] = defaultdict(float)
+    for key, m in own_mass.items():
+        for path in ["", *around[key[0]]]:
+            mass[path] += m
+        if about[key].inside and not key[1]:
+            marks[next(path for path in around[key[0]] if _tag(path) in ("article", "main"))] += m
+    parts = _main_parts(mass, marks)
+    part = {key: next((p for p in ["", *around[key[0]]] if p in parts), None) for key in paths}
+    within = Ratio()
+    boxes: dict[str, Ratio] = defaultdict(Ratio)  # running text of the containers in the main parts
+    for key, r in paths.items():
+        if part[key] is not None:
+            within.add(r.size, r.n, r.marks, r.links)
+            if _tag(key[0]) == "p" or _tag(key[0]) in _CONTAINERS:
+                for path in around[key[0]]:
+                    if len(path) > len(part[key]):
+                        boxes[path].add(r.size, r.n, r.marks, r.links)
     fused = {}
-    for path, (size, n, marks, links) in sums.items():
-        near = groups[about[path].parent]
-        length, punctuation = (size / n + near[0] / near[1]) / 2, (marks / n + near[2] / near[1]) / 2
-        linked = links / size
-        if about[path].inside and about[path].linkable:
-            linked = (linked + within_links / within) / 2
-        fused[path] = math.log1p(length) * math.log1p(1 + punctuation) * (1 - linked)
-    marked = any(node.inside for node in about.values())
-    best = max((ratio for path, ratio in fused.items() if about[path].inside or not marked), default=0)
-    share = {path: (LOW if about[path].inside else HIGH) if marked else THRESHOLD for path in fused}
-    return {path for path, ratio in fused.items() if ratio >= share[path] * best and ratio > 0}
+    for key, r in paths.items():
+        linked = r.links / r.size
+        if part[key] is not None and about[key].inside and about[key].linkable:
+            linked = (linked + within.links / within.size) / 2
+        fused[key] = (r.fused(linked) + groups[about[key].parent, key[1]].fused(linked)) / 2 * prior[key]
+    heaviest = max(paths, key=lambda key: (own_mass[key] if part[key] is not None else -1, key), default=None)
+    if heaviest is None:
+        return set()
+    level = fused[heaviest]
+
+    def is_kept(key: tuple[str, bool]) -> bool:
+        if fused[key] <= 0:
+            return False
+        if part[key] is None:
+            holder = key[0] if _tag(key[0]) in _CONTAINERS or any(p.startswith(about[key].parent) for p in parts) else about[key].parent
+            return fused[key] >= HIGH * level and mass[holder] >= FAIR * sum(mass[p] for p in parts)
+        poor = (path for path in around[key[0]] if len(path) > len(part[key]) and _tag(path) in _CONTAINERS and path in boxes and boxes[path].fused() < MID * level)
+        return fused[key] >= LOW * level and next(poor, None) is None
+
+    return {key for key in paths if is_kept(key)}
 
 
 def content(page: str | None) -> list[str]:
     """The blocks that are the page's main text, in order."""
     blocks = [(n, t) for n in nodes(page or "") if not n.barred and (t := " ".join(html.unescape("".join(n.pieces)).split()))]
     kept = _kept_paths(blocks)
-    return [t for n, t in blocks if n.path in kept]
+    return [t for n, t in blocks if (n.path, n.named) in kept]
 
 
 def extract(pages: DataFrame) -> DataFrame:
