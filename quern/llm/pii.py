@@ -9,7 +9,8 @@ each kind, set for precision on rows held out of training, selects redactions.
 Of overlapping selected spans the likeliest stays, and none overlaps a base span.
 
 No labels of personal data exist, so the trees are trained on a fixed number of
-formats written out from a seed (TRAIN_ROWS), not on the corpus.
+formats written out from a seed (TRAIN_ROWS) between words of random letters, not
+on the corpus. Accounts, tokens and keys may have any length.
 
 Defined results: null and empty texts have no spans (base_sha256 is that of the
 empty string); positions count code points of the whole text; repeated rows give
@@ -48,13 +49,14 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_GENERATORS = {
-    "account": re.compile(r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){8,29}(?![0-9A-Za-z])"),
-    "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![0-9A-Za-z])"),
-    "secret": re.compile(r"(?<![0-9A-Za-z_/+-])(?=[A-Za-z_/+-]{0,64}[0-9])[A-Za-z0-9_/+-]{16,128}(?![0-9A-Za-z_/+-])"),
-    "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "telephone": re.compile(r"(?<![0-9+(])\(?[0-9]{2,5}\)?[ .-]?[0-9]{3,4}[ .-][0-9]{3,5}(?![0-9])"),
-}
+_GENERATORS = (
+    ("account", re.compile(r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){8,}+(?![0-9A-Za-z])")),
+    ("account", re.compile(r"(?<![0-9A-Za-z.])[0-9]{9,}+(?![0-9A-Za-z])")),  # each number of several in a row
+    ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![0-9A-Za-z])")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z_/+-])(?=[A-Za-z_/+-]*+[0-9]|[A-Z]{20})(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,}+")),
+    ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
+    ("telephone", re.compile(r"(?<![0-9+(])\(?[0-9]{2,5}\)?[ .-]?[0-9]{3,4}[ .-][0-9]{3,5}(?![0-9])")),
+)
 #: Words that tell what stands after them.
 _TELLING = {
     "secret": ("token", "secret", "passw", "key", "auth", "bearer"),
@@ -101,7 +103,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """What the generators propose for the trees; spans may overlap."""
-    return [(kind, *m.span()) for kind, rule in _GENERATORS.items() for m in rule.finditer(text)]
+    return list(dict.fromkeys((kind, *m.span()) for kind, rule in _GENERATORS for m in rule.finditer(text)))
 
 
 def _mod97(s: str) -> bool:
@@ -109,6 +111,11 @@ def _mod97(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s)) % 97 == 1
 
 
+def _can_be_ssn(span: str) -> bool:
+    area, group, serial = span.split("-")
+    return area not in ("000", "666") and area[0] != "9" and group != "00" and serial != "0000"
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     span, before, after = text[start:end], text[max(0, start - CONTEXT) : start].lower(), text[end : end + 1]
     digits = "".join(c for c in span if "0" <= c <= "9")
@@ -136,6 +143,9 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(any(w in before for w in _TELLING[kind])),
         float(any(w in before for words in _TELLING.values() for w in words)),
         float("(" in span),
+        float(digits[:1] in "3456"),
+        float(kind == "ssn" and _can_be_ssn(span)),
+        sum(not c.isupper() and not c.isdigit() for c in span) / len(span),
         float(before.rstrip()[-1:].isdigit()),
     ]
 
@@ -149,29 +159,45 @@ def _examples(rng: np.random.Generator) -> Iterator[tuple[str, str, int, int, in
     def pick(*x):
         return x[int(rng.integers(len(x)))]
 
-    words = ["the", "and", "thion", "ander", "of", "gaci", "enti", "vire", "ung", "is", "see", "from"]
+    def word():
+        return "".join(pick(*"abcdefghijklmnopqrstuvwxyz") for _ in range(int(rng.integers(1, 10))))
+
+    def characters(alphabet, n):
+        return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
+
+    def checked(head, n):
+        """``n`` digits that begin with ``head`` and pass the card checksum."""
+        value = head + number(n - 1 - len(head))
+        return next(v for d in "0123456789" if luhn(v := value + d))
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     while True:
+        words = [word() for _ in range(6)]
         lead = " ".join(pick(*words) for _ in range(int(rng.integers(1, 6)))) + pick(" ", ". ", ", ", "\n")
         kind, good = pick(*MORE_KINDS), bool(rng.integers(2))
         tell = f"{pick(*_TELLING[kind])}{pick(' ', ': ', ' = ')}" if rng.random() < (0.5 if good else 0.08) else ""
-        if kind == "account":
-            n = int(rng.integers(13, 20))
-            value = number(n) if rng.random() < 0.7 else " ".join(number(4) for _ in range(4))
+        if kind == "account":  # numbers of cards, whole or mistyped, and of accounts that are named as such
+            n, head = int(rng.integers(13, 20)), pick("3", "4", "5", "6")
+            value = pick(checked(head, n), head + number(15), " ".join(head * (i == 0) + number(4 - (i == 0)) for i in range(4)))
+            if good and tell and rng.random() < 0.4:
+                value = number(int(rng.integers(12, 20)))
             if not good:
-                value = pick(number(int(rng.integers(9, 12))), number(int(rng.integers(21, 29))), pick("0", "1") * n, f"20{number(2)} {number(2)} {number(2)} {number(3)}", "19" + number(2) + "-20" + number(2) + "-" + number(2))
+                value = pick(number(int(rng.integers(9, 12))), number(int(rng.integers(21, 60))), pick("0", "1") * n, pick("0", "1", "7", "8", "9") + number(n), f"20{number(2)} {number(2)} {number(2)} {number(3)}", "19" + number(2) + "-20" + number(2) + "-" + number(2))
         elif kind == "iban":
             value = pick("DE", "FR", "ES", "GB") + "00" + number(18)
             rest = int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
             value = value[:2] + f"{98 - rest:02d}" + value[4:] if good else pick("AB", "XK", "ISO", "PART")[:2] + number(16)
         elif kind == "secret":
-            n = int(rng.integers(24, 48))
-            value = "".join(pick(*"0123456789abcdef") for _ in range(n)) if rng.random() < 0.6 else "".join(pick(*"ABCDEFGHJKLMNPQRSTabcdefghijkmnop0123456789") for _ in range(n))
-            if good and rng.random() < 0.6:
-                tell = f'{pick("token", "secret", "api_key", "password")} = "'
+            n = int(rng.integers(24, 48)) if rng.random() < 0.8 else int(rng.integers(48, 400))
+            form = int(rng.integers(6))
+            key = characters(upper, 4) + characters(upper + "0123456789", 16)
+            value = (characters("0123456789abcdef", n), characters(upper + upper.lower() + "0123456789", n), key, key, characters(upper + upper.lower() + "0123456789/+-_", n), characters("0123456789abcdef", int(rng.integers(16, 25))))[form]
+            if good and (form == 5 or rng.random() < 0.6):
+                tell = pick("token", "secret", "api_key", "password", "key") + pick(' = "', "=", ": ", " ")
             if not good:
-                value = pick("-".join(pick(*words) for _ in range(5)) + "-" + number(2), "_".join(pick(*words) for _ in range(5)) + number(1), pick("", "a", "x") * 3 + "a" * 14 + number(2), "chapter-" + number(1) + "-section-" + number(2), number(17))
+                value = pick("-".join(words[:5]) + "-" + number(2), "_".join(words[:5]) + number(1), "/".join(words) + "/" + number(4), pick("a", "x", "-", "_", "=") * int(rng.integers(15, 60)) + number(2), f"{words[0]}-{number(1)}-{words[1]}-{number(2)}-{words[2]}", number(int(rng.integers(17, 40))), words[0] + words[1] + words[2] + words[3] + number(2))
         elif kind == "ssn":
-            value = f"{number(3)}-{number(2)}-{number(4)}"
+            value = f"{rng.integers(1, 666):03d}-{rng.integers(1, 100):02d}-{rng.integers(1, 10000):04d}"
             if not good:
                 value = f"{pick('000', '666', '978')}-{pick('00', number(2))}-{pick('0000', number(4))}"
         else:
@@ -279,7 +305,7 @@ class Finder:
         return base, sorted(taken, key=lambda c: (MORE_KINDS.index(c[0]), c[1]))
 
 
-_LOOK = re.compile("[0-9@]")
+_LOOK = re.compile("[0-9@]|[A-Z]{20}")
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -287,7 +313,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of ``docs``."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans for every row of ``docs``."""
     model = docs.sparkSession.range(1, numPartitions=1).mapInPandas(lambda it: (train() for _ in it), "trees binary, scale double, shift double, thresholds array<double>").toPandas()
     counts = [f"n_{k}" for k in BASE_KINDS]
 
@@ -298,13 +324,13 @@ def find(docs: DataFrame) -> DataFrame:
             for cell in b.column(1):
                 text = cell.as_py()
                 base, more = finder.spans(text) if text and _LOOK.search(text) else ([], [])
-                rows.append((*(sum(k == kind for k, _, _ in base) for kind in BASE_KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + more)))
-            columns = list(zip(*rows)) if rows else [()] * (len(counts) + 2)
-            kinds = [pa.int64()] * len(counts) + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *counts, "base_sha256", "spans"])
+                rows.append((*(sum(k == kind for k, _, _ in base) for kind in BASE_KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + more), len(base) + len(more)))
+            columns = list(zip(*rows)) if rows else [()] * (len(counts) + 3)
+            kinds = [pa.int64()] * len(counts) + [pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *counts, "base_sha256", "spans", "n_spans"])
 
     short_batches(docs.sparkSession)
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base_sha256 string, spans string"
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base_sha256 string, spans string, n_spans long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 

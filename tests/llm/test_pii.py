@@ -1,9 +1,12 @@
 """The base rules against their plain regular expressions, and what the trees add."""
 
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
+
 from quern.llm import pii
 
 from .conftest import ODD, SF
@@ -54,7 +57,7 @@ def test_query(spark, documents, odd, empty):
 
 def test_trees():
     finder = pii.Finder(pii.train())
-    rng = __import__("numpy").random.default_rng(99)
+    rng = np.random.default_rng(99)
     made = pii._examples(rng)
     hits = [(finder.probabilities(t, [(k, s, e)])[0] >= finder.thresholds[k], y) for t, k, s, e, y in (next(made) for _ in range(1500))]
     found = [y for hit, y in hits if hit]
@@ -65,3 +68,53 @@ def test_trees():
     assert kinds("In 2024 there were 1,000 of them, 3.14159 each; version 1.2.3; 12:30.") == []
     assert kinds("The Apache License, Version 2.0. internationalization-of-everything") == []
     assert pii.redact("mail a@b.de now", finder) == "mail [email] now"
+    for n in (20, 129, 500, 5000):  # of any length, and wherever the first digit stands
+        key = "".join(random.Random(n).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=n)) + "7Q"
+        assert finder.spans(f'the token = "{key}" here')[1] == [("secret", 13, 15 + n)]
+    assert [k for k, *_ in pii.candidates("1" * 3000)] == ["account"] and len(pii.candidates("-" * 100_000 + " " + "a" * 100_000)) == 0
+
+
+def slow_spans(model, text):
+    """Candidates one by one, trees walked one by one."""
+    row, out = model.iloc[0], []
+    trees = np.frombuffer(row["trees"], "<f8").reshape(pii.TREES, -1, 2)
+    base = plain(text)
+    for kind, s, e in pii.candidates(text):
+        if any(s < y and x < e for _, x, y in base):
+            continue
+        x, total = pii.features(text, kind, s, e), 0.0
+        for tree in trees:
+            at = 0
+            while at < len(tree) // 2:
+                at = 2 * at + 1 + (x[int(tree[at][0])] > tree[at][1])
+            total += tree[at][1]
+        p = 1 / (1 + math.exp(-(row["scale"] * total + row["shift"])))
+        if p >= row["thresholds"][pii.MORE_KINDS.index(kind)]:
+            out.append((-p, kind, s, e))
+    taken = []
+    for _, kind, s, e in sorted(out):
+        if all(e <= x or y <= s for _, x, y in taken):
+            taken.append((kind, s, e))
+    return base, sorted(taken, key=lambda c: (pii.MORE_KINDS.index(c[0]), c[1]))
+
+
+#: Formats that stand in the tables' documents and are no base kind.
+PLANTED = re.compile(r'(?<=token = ")[0-9a-f]{40}(?=")|(?<=password=)[0-9a-f]{18}\b|\bAKIA[A-Z0-9]{16}\b')
+
+
+def test_added_spans(spark):
+    """As by walking the trees one by one; the tables' tokens and keys are found, and little else."""
+    model = pii.train()
+    finder = pii.Finder(model)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    found = {r.doc_id: r for r in pii.op9_boosted_pii(spark, "/root/testdata/sf0.01").collect()}
+    planted = hit = other = 0
+    for i, text in docs:
+        base, more = finder.spans(text or "")
+        assert (base, more) == slow_spans(model, text or "")
+        assert found[i].spans == ",".join(f"{k}:{s}:{e}" for k, s, e in base + more) and found[i].n_spans == len(base + more)
+        spans = [m.span() for m in PLANTED.finditer(text or "")]
+        planted += len(spans)
+        hit += sum(any(s <= a and b <= e for _, s, e in more) for a, b in spans)
+        other += sum(k == "secret" and not any(a < e and s < b for a, b in spans) for k, s, e in more)
+    assert planted > 0 and hit >= 0.95 * planted and other <= 0.05 * planted
