@@ -1,12 +1,14 @@
 """Licence scan by a positional rare-token index.
 
-Licence phrases and sentences are templates with a mandatory key phrase each.
-The corpus gives each template word its document frequency. A file is looked up
-by the licence words it holds: it is a candidate for a template if it holds the
-highest-IDF word of the key phrase and then all its words. For candidates, the
-positions of template words in the file minus their places in the template are
-intersected, and an alignment counts if the whole key phrase stands on it.
-Its score is the share of the template's IDF weight on the alignment.
+Licence texts and notices are templates with a mandatory key phrase each. The
+corpus gives each template word its document frequency. A file looks up its
+LOOKED_UP licence words of highest IDF in the postings of the key phrases; further
+words count where they are the highest-IDF word of a phrase, so that no phrase is
+missed however many a file holds. A template found is a candidate if the file holds
+all words of its key phrase. For candidates, the positions of template words in the
+file minus their places in the template are intersected, and an alignment counts if
+the whole key phrase stands on it. Its score is the share of the template's IDF
+weight on the alignment.
 
 Base phrases are templates that are all key phrase, so every place where one
 stands is found exactly. Defined results: a null text is empty; a file without
@@ -29,23 +31,69 @@ BASE = (
     ("cc-by", "cc by"),
     ("mit", "mit license"),
 )
-#: Label, sentence, and the key phrase in it that must stand whole.
+#: Parts that several licences share, in words.
+_MERCHANTABLE = "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {} for more details"
+_GNU_NOTICE = "{} is free software you can redistribute it and or modify it under the terms of the {} as published by the free software foundation either version {} of the license or at your option any later version"
+_CC = "this work is licensed under a creative commons {} license to view a copy of this license visit"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+#: Label, text or notice in words, and the key phrase in it that must stand whole.
 TEMPLATES = (
     ("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
     ("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("gpl-notice", _GNU_NOTICE.format("this program", "gnu general public license", "3") + " this program is distributed in the hope that it will be useful but without any warranty " + _MERCHANTABLE.format("general public license"), "terms of the gnu general public license as published by the free software foundation"),
     ("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
+    ("lgpl-notice", _GNU_NOTICE.format("this library", "gnu lesser general public license", "2 1") + " this library is distributed in the hope that it will be useful but without any warranty " + _MERCHANTABLE.format("lesser general public license"), "terms of the gnu lesser general public license as published by the free software foundation"),
     ("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        "apache license version 2 0",
+    ),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
+    ("cc-by", _CC.format("attribution 4 0 international"), "creative commons attribution 4 0 international license"),
+    ("cc-by-sa", _CC.format("attribution sharealike 4 0 international"), "creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc", _CC.format("attribution noncommercial 4 0 international"), "creative commons attribution noncommercial 4 0 international license"),
     ("cc0", "cc0 1 0 universal public domain dedication", "cc0 1 0"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "copy modify and or distribute this software"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software "
+        "or the use or other dealings in the software",
+        "permission is hereby granted free of charge",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "copy modify and or distribute this software",
+    ),
+    ("bsd", _BSD, "redistribution and use in source and binary forms"),
+    ("bsd-3-clause", _BSD + " neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        "the origin of this software must not be misrepresented",
+    ),
+    ("bsl-1.0", "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "boost software license version 1 0"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "free and unencumbered software"),
 )
+#: Licence words of highest IDF that a file looks up in all postings of key phrases.
+LOOKED_UP = 8
 #: Most document keys that are sent to every executor; beyond it the join shuffles.
 BROADCAST_KEYS = 500_000
 
@@ -94,25 +142,24 @@ def weighted_templates(templates: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def candidates(held: DataFrame, weighted: DataFrame) -> DataFrame:
-    """doc, key, templates: looked up by the rarest key word, then all key words must be held."""
-    keys = (
-        weighted.where("is_key")
-        .groupBy("template")
-        .agg(F.max_by("word", F.struct("idf", "word")).alias("rarest"), F.collect_set("word").alias("key_words"))
-    )
-    looked_up = held.select("doc", "key", "held", F.explode("held").alias("rarest")).join(F.broadcast(keys), "rarest")  # a row a template
-    return looked_up.where(F.size(F.array_except("key_words", "held")) == 0).groupBy("doc", "key").agg(F.collect_set("template").alias("templates"))
+    """doc, key, templates: those that the file's highest-IDF licence words lead to and whose key words it all holds."""
+    phrases = weighted.where("is_key").groupBy("template").agg(F.max_by("word", F.struct("idf", "word")).alias("rarest"), F.collect_set("word").alias("key_words"))
+    index = weighted.where("is_key").select("word", "template").distinct().join(phrases, "template")
+    ranks = weighted.where("is_key").select("word", "idf").distinct().agg(F.map_from_entries(F.collect_list(F.struct("word", "idf"))).alias("idf_of"))
+    by_idf = F.expr("array_sort(filter(held, w -> map_contains_key(idf_of, w)), (a, b) -> CASE WHEN idf_of[a] <> idf_of[b] THEN IF(idf_of[a] > idf_of[b], -1, 1) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)")
+    looked_up = held.where(F.size("held") > 0).join(F.broadcast(ranks)).select("doc", "key", "held", F.posexplode(by_idf).alias("place", "word"))  # one row of key words is broadcast
+    found = looked_up.join(F.broadcast(index), "word").where((F.col("place") < LOOKED_UP) | (F.col("word") == F.col("rarest")))  # a row a template and key word
+    return found.where(F.size(F.array_except("key_words", "held")) == 0).groupBy("doc", "key").agg(F.collect_set("template").alias("templates"))
 
 
 def placements(docs: DataFrame, found: DataFrame, weighted: DataFrame) -> DataFrame:
     """doc, key, label, base, start, score: alignments on which the whole key phrase stands; start is its first word."""
     texts = _keyed(docs).alias("d").join(small_side(found, BROADCAST_KEYS).alias("f"), _same_row("d", "f")).select("d.doc", "d.key", "templates", word_array(F.col("text")).alias("words"))
     texts = texts.dropDuplicates(["doc", "key"])
-    words = texts.select("doc", "key", "templates", F.posexplode("words").alias("pos", "word"))
+    words = texts.select("doc", "key", "words", F.explode("templates").alias("template")).select("doc", "key", "template", F.posexplode("words").alias("pos", "word"))
     whole = F.broadcast(weighted.groupBy("template").agg(F.sum("idf").alias("full"), F.count_if("is_key").alias("n_key"), F.min(F.when(F.col("is_key"), F.col("place"))).alias("key_at")))
     aligned = (
-        words.join(F.broadcast(weighted), "word")
-        .where(F.array_contains("templates", F.col("template")))
+        words.join(F.broadcast(weighted), ["template", "word"])
         .groupBy("doc", "key", "template", "label", "base", (F.col("pos") - F.col("place")).alias("delta"))
         .agg(F.count_if("is_key").alias("n_here"), F.sum("idf").alias("weight"))
         .join(whole, "template")

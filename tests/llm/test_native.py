@@ -85,6 +85,20 @@ def test_licences(spark, documents, odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licence_texts(spark, monkeypatch):
+    """Whole texts among other words: each template's own label, the full score, also with one word looked up only."""
+    rows = [(t, f"preamble {label} of the file {text.upper()}, and more of it") for t, (label, text, _) in enumerate(licenses.TEMPLATES)]
+    rows.append((100, " ".join(text for _, text, _ in licenses.TEMPLATES)))
+    rows.append((101, "permission is hereby granted but not free of charge; the software is provided as is"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for t, (label, *_) in enumerate(licenses.TEMPLATES):
+        assert label in got[t].labels.split(",") and got[t].score == 1
+    assert set(got[100].labels.split(",")) >= {label for label, *_ in licenses.TEMPLATES} and got[101].labels == "" and got[101].score == 0
+    monkeypatch.setattr(licenses, "LOOKED_UP", 1)
+    assert {r.doc_id: r for r in licenses.scan(docs).collect()} == got
+
+
 def test_near_duplicates(spark, documents, odd, empty):
     same(rows(simhash.op8_simhash_variants(spark, SF), *NEAR), brute.near_duplicates(documents))
     same(rows(simhash.near_duplicates(odd), *NEAR), brute.near_duplicates(ODD))
