@@ -22,6 +22,8 @@ from .common import row_key, small_side, stored, word_array
 
 WINDOW = 10
 PROBES = 3
+#: Words of an item, about: only how many tasks write small tables depends on it.
+PLACES = 50
 #: Most rows of a table of benchmark words, or of document keys, that is sent to every executor; beyond it the join shuffles.
 BROADCAST_WORDS = 200_000
 BROADCAST_KEYS = 500_000
@@ -47,7 +49,7 @@ def item_words(benchmark: DataFrame) -> DataFrame:
 
 def word_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Occurrences in all documents of each word that some item has."""
-    vocabulary = stored(items.select("word").distinct(), "vocabulary", 0)
+    vocabulary = stored(items.select("word").distinct(), "vocabulary", items.count())
     seen = _tokens(_keyed(docs)).select("word").join(small_side(vocabulary, BROADCAST_WORDS), "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
     return vocabulary.join(seen, "word", "left").select("word", F.coalesce("seen", F.lit(0)).alias("seen"))
 
@@ -78,7 +80,7 @@ def alignments(index: DataFrame, probed: DataFrame) -> DataFrame:
         "item", "q", F.element_at("item_words", F.col("q") + 1).alias("word")
     )
     voted = (
-        index.join(small_side(stored(places, "places", 0), BROADCAST_WORDS), "word")
+        index.join(small_side(stored(places, "places", probed.count() * PLACES), BROADCAST_WORDS), "word")
         .groupBy("doc", "key", "item", (F.col("pos") - F.col("q")).alias("delta"))
         .agg(F.collect_set("q").alias("agreed"))
     )
@@ -86,37 +88,39 @@ def alignments(index: DataFrame, probed: DataFrame) -> DataFrame:
     return with_windows.where("exists(windows, w -> forall(w, q -> array_contains(agreed, q)))").select("doc", "key", "item", "delta")
 
 
+def _probes(docs: DataFrame, benchmark: DataFrame, window: int, probes: int) -> tuple[DataFrame, DataFrame]:
+    """item_words and window_probes of a benchmark, stored."""
+    items = stored(item_words(benchmark), "items", benchmark.count() * PLACES)
+    n = items.count()
+    return items, stored(window_probes(items, stored(word_counts(docs, items), "counts", n), window, probes), "probes", n)
+
+
 def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, probes: int = PROBES) -> DataFrame:
     """doc, key, n_hit, items (sorted distinct ids as strings) for documents in which a window occurs exactly."""
-    items = stored(item_words(benchmark), "items", 0)
-    probed = stored(window_probes(items, stored(word_counts(docs, items), "counts", 0), window, probes), "probes", 0)
-    probe_words = stored(probed.select(F.explode("windows").alias("w"), "item_words").select(F.explode(F.expr("transform(w, q -> item_words[q])")).alias("word")).distinct(), "probe-words", 0)
-    index = stored(postings(docs, small_side(probe_words, BROADCAST_WORDS)), "postings")
+    items, probed = _probes(docs, benchmark, window, probes)
+    probe_words = probed.select(F.explode("windows").alias("w"), "item_words").select(F.explode(F.expr("transform(w, q -> item_words[q])")).alias("word")).distinct()
+    index = stored(postings(docs, small_side(stored(probe_words, "probe-words", items.count()), BROADCAST_WORDS)), "postings")
     found = (
         alignments(index, probed)
+        .groupBy("doc", "key", "item")
+        .agg(F.collect_list("delta").alias("deltas"))  # numbers only: an item of one frequent word has one for each place
         .join(small_side(probed.select("item", "item_id", "n", "width", "item_words"), BROADCAST_WORDS), "item")
         .groupBy("doc", "key")
-        .agg(F.collect_list(F.struct("item_id", "n", "width", "item_words", "delta")).alias("found"))
+        .agg(F.collect_list(F.struct("item_id", "n", "width", "item_words", "deltas")).alias("found"))
     )
     found = stored(found, "alignments", index.count())
     texts = _keyed(docs).alias("d").join(small_side(found.select("doc", "key"), BROADCAST_KEYS).alias("f"), _same_row("d", "f"), "left_semi")
     texts = texts.dropDuplicates(["doc", "key"])
     checked = texts.alias("d").join(found.alias("f"), _same_row("d", "f")).select("d.doc", "d.key", "found", word_array(F.col("text")).alias("words"))
     checked = stored(checked, "candidates", 20 * found.count())  # whole texts
-    same = "transform(sequence(0, c.n - 1), q -> c.delta + q >= 0 AND c.delta + q < size(words) AND get(words, c.delta + q) = c.item_words[q])"
-    runs = (
-        f"transform(found, c -> struct(c.item_id AS item_id, c.width AS width, c.delta AS delta, {same} AS same, c.n AS n))"
-    )
-    starts = "transform(runs, c -> struct(c.item_id AS item_id, c.width AS width, filter(transform(sequence(0, c.n - c.width), s -> IF(forall(slice(c.same, s + 1, c.width), x -> x), c.delta + s, NULL)), x -> x IS NOT NULL) AS starts))"
-    return (
-        checked.withColumn("runs", F.expr(runs))
-        .withColumn("hits", F.expr(f"filter({starts}, c -> size(c.starts) > 0)"))
-        .select(
-            "doc",
-            "key",
-            F.expr("size(array_distinct(flatten(transform(hits, c -> flatten(transform(c.starts, s -> sequence(s, s + c.width - 1)))))))").cast("long").alias("n_hit"),
-            F.expr("array_sort(array_distinct(hits.item_id))").alias("items"),
-        )
+    same = "transform(sequence(0, c.n - 1), q -> d + q >= 0 AND d + q < size(words) AND get(words, d + q) = c.item_words[q])"
+    starts = "filter(transform(sequence(0, c.n - c.width), s -> IF(forall(slice(a.same, s + 1, c.width), x -> x), a.delta + s, NULL)), x -> x IS NOT NULL)"
+    verified = f"transform(found, c -> struct(c.item_id AS item_id, c.width AS width, flatten(transform(transform(c.deltas, d -> struct(d AS delta, {same} AS same)), a -> {starts})) AS starts))"
+    return checked.withColumn("hits", F.expr(f"filter({verified}, c -> size(c.starts) > 0)")).select(
+        "doc",
+        "key",
+        F.expr("size(array_distinct(flatten(transform(hits, c -> flatten(transform(c.starts, s -> sequence(s, s + c.width - 1)))))))").cast("long").alias("n_hit"),
+        F.expr("array_sort(array_distinct(hits.item_id))").alias("items"),
     )
 
 
@@ -127,10 +131,9 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 3, prob
     cut into blocks of slop + 1, and a vote counts in its block and the next, so
     that any two alignments within ``slop`` meet in a block.
     """
-    items = stored(item_words(benchmark), "items", 0)
-    probed = stored(window_probes(items, stored(word_counts(docs, items), "counts", 0), window, probes), "probes", 0)
+    items, probed = _probes(docs, benchmark, window, probes)
     places = probed.select("item", F.explode(F.array_distinct(F.flatten("windows"))).alias("q"), "item_words").select("item", "q", F.element_at("item_words", F.col("q") + 1).alias("word"))
-    places = stored(places, "places", 0)
+    places = stored(places, "places", items.count())
     votes = postings(docs, small_side(places.select("word").distinct(), BROADCAST_WORDS)).join(small_side(places, BROADCAST_WORDS), "word").withColumn("delta", F.col("pos") - F.col("q"))
     near = (
         votes.withColumn("block", F.explode(F.array(F.floor(F.col("delta") / (slop + 1)), F.floor(F.col("delta") / (slop + 1)) + 1)))

@@ -173,7 +173,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     held = stored(held_words(docs), "licence-words")
     n = held.count()
-    weighted = stored(weighted_templates(template_words(docs.sparkSession), held), "licence-templates", 0)
+    weighted = stored(weighted_templates(template_words(docs.sparkSession), held), "licence-templates", 8)
     found = stored(candidates(held, weighted), "licence-candidates", n)
     base = F.when(F.col("base"), F.col("start"))
     labels = (
