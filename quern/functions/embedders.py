@@ -43,6 +43,19 @@ class HashEmbedder:
         return np.divide(out, norm, out=out, where=norm > 0)
 
 
+class Down:
+    """An embedder that cannot serve: it says so, or fails when asked. For tests of fallbacks."""
+
+    def __init__(self, dimensions: int, says_available: bool = False):
+        self.dimensions, self.says_available = dimensions, says_available
+
+    def available(self) -> bool:
+        return self.says_available
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        raise ConnectionError("no model")
+
+
 class FirstAvailable:
     """The first embedder that is available and does not fail."""
 

@@ -79,5 +79,6 @@ def share_of_total(rows: DataFrame, by: list[str]) -> DataFrame:
     return counts.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 1).cast("double"))
 
 
-def coverage(rows: DataFrame, column: str) -> DataFrame:
-    return rows.agg(F.count("*").alias("total"), F.count(column).alias("covered"), F.round(F.count(column) * 100.0 / F.count("*"), 1).cast("double").alias("percent"))
+def coverage(rows: DataFrame, column: str, *more: Column) -> DataFrame:
+    """One row: all rows, those with the column, their percentage, and further aggregates."""
+    return rows.agg(F.count("*").alias("total"), F.count(column).alias("covered"), F.round(F.count(column) * 100.0 / F.count("*"), 1).cast("double").alias("percent"), *more)

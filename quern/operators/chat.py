@@ -113,7 +113,7 @@ def threads(messages: DataFrame) -> DataFrame:
 
 
 def room_statistics(messages: DataFrame) -> DataFrame:
-    return messages.groupBy("room_id").agg(F.count("*").alias("n_messages"), F.countDistinct("user_id").alias("n_users"), F.max("created_at").alias("last_activity"))
+    return messages.groupBy("room_id").agg(F.count("*").alias("n_messages"), F.countDistinct("user_id").alias("n_users"), F.max("created_at").alias("last_activity"), F.min("created_at").alias("first_activity"))
 
 
 def user_statistics(users: DataFrame, messages: DataFrame, now: Column) -> DataFrame:
@@ -124,11 +124,11 @@ def user_statistics(users: DataFrame, messages: DataFrame, now: Column) -> DataF
 
 def analytics(messages: DataFrame, users: DataFrame) -> DataFrame:
     """One row: messages, distinct devices, success rate, mean confidence of the ten newest scored messages."""
-    totals = messages.agg(F.count("*").alias("n_messages"), F.count("confidence").alias("n_scored"))
+    rate = F.when(F.count("*") > 0, F.round(F.count_if("scored") / F.count("*") * 100, 1)).otherwise(0.0)
+    totals = messages.agg(F.count("*").alias("n_messages"), F.count("confidence").alias("n_scored"), rate.alias("success_rate"))
     devices = users.agg(F.countDistinct("ip_hash").alias("n_devices"))
     newest = messages.where("scored").orderBy(F.desc("created_at"), F.desc("message_id")).limit(10).agg(F.round(F.avg(F.coalesce("confidence", F.lit(0.0))), 2).alias("mean_confidence"))
-    success = messages.agg(F.when(F.count("*") > 0, F.round(F.count_if("scored") / F.count("*") * 100, 1)).otherwise(0.0).alias("success_rate"))
-    return totals.join(devices).join(newest).join(success)  # four tables of one row
+    return totals.join(devices).join(newest)  # three tables of one row
 
 
 def audience(members: DataFrame, sender_conn: int, room: int) -> DataFrame:

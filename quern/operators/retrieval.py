@@ -1,9 +1,9 @@
 """Exact k-nearest-neighbour search and ranking over embedding columns.
 
 A table of query vectors is counted before it is broadcast; candidates stream
-past it. A larger one is searched in blocks, one after the other. Each task keeps its own best k per query before the shuffle
-(a bounded aggregate), so what is shuffled is k rows a task and query, not the
-product of queries and candidates.
+past it. A larger one is searched in blocks, one after the other. Each task keeps
+its own best k per query before the shuffle (a bounded aggregate), so what is
+shuffled is k rows a task and query, not the product of queries and candidates.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import scores, vectors
+from quern.functions.text import is_explicit
 from quern.sources.files import stored
 
 #: Most query rows that are broadcast at once.
@@ -61,12 +62,12 @@ def top_k(rows: DataFrame, k: int, by: list[str], order: list[Column], keep: lis
     return out.select(*keep, "rank") if keep else out
 
 
-def knn(candidates: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vector: str = "embedding", id_col: str = "song_id") -> DataFrame:
-    """query_id, id, distance, rank: the k nearest for each query, ties by id."""
+def knn(candidates: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vector: str = "embedding", id_col: str = "song_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, id, distance, the columns ``keep``, rank: the k nearest for each query, ties by id."""
 
     def search(block: DataFrame) -> DataFrame:
-        pairs = candidates.select(id_col, vector).join(F.broadcast(block))
-        return pairs.select("query_id", id_col, vectors.distance(vector, "query_vector", metric).alias("distance"))
+        pairs = candidates.select(id_col, vector, *keep).join(F.broadcast(block))
+        return pairs.select("query_id", id_col, vectors.distance(vector, "query_vector", metric).alias("distance"), *keep)
 
     return _nearest(search, queries, k, id_col)
 
@@ -131,13 +132,13 @@ def similarity_matrix(rows: DataFrame, others: DataFrame, metric: str = "cosine"
 def find_similar(songs: DataFrame, query: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
     """The 2k nearest eligible songs; of these at most k whose similarity reaches the threshold."""
     near = knn(eligible(songs), query, 2 * k).withColumn("similarity", 1 - F.col("distance"))
-    return top_k(near.where(F.col("similarity") >= threshold).drop("rank"), k, ["query_id"], [F.desc("similarity"), F.col("song_id")])
+    return near.where((F.col("similarity") >= threshold) & (F.col("rank") <= k))  # the threshold cuts ranks from the end only
 
 
 def search(songs: DataFrame, query: DataFrame, limit: int, threshold: float = 0.3) -> DataFrame:
     """The ``limit`` nearest, then those strictly above the threshold that are not explicit."""
     near = knn(eligible(songs), query, limit).withColumn("similarity", 1 - F.col("distance")).where(F.col("similarity") > threshold)
-    return near
+    return near.join(songs.where(is_explicit(F.col("tags"))).select("song_id"), "song_id", "left_anti")
 
 
 def similar_in_context(songs: DataFrame, query: DataFrame, k: int, preferred: Column, excluded: DataFrame, years: tuple[int, int], min_popularity: int) -> DataFrame:

@@ -25,21 +25,27 @@ def _actions(spark, sf_dir):
     return S.table(spark, sf_dir, "events").selectExpr("event_id", "ts", "user_id", "event_type AS room_id", "event_id div 10 AS message_id", "CASE event_type WHEN 'error' THEN 'leave' WHEN 'view' THEN 'remove' ELSE 'add' END AS action", "CASE WHEN event_id % 5 = 0 THEN 'me' ELSE 'other' END AS instance_id")
 
 
-@query(
-    "x01_token_bucket",
-    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, epoch_us(ts) / 1000000.0 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
-    b(key, event_id, s, r, t) AS (SELECT key, event_id, s, r, CAST(3.0 AS DOUBLE) FROM e WHERE r = 1 UNION ALL SELECT e.key, e.event_id, e.s, e.r, least(CAST(3.0 AS DOUBLE), (CASE WHEN b.t >= 1 THEN b.t - 1 ELSE b.t END) + (e.s - b.s) * 0.00005) FROM b JOIN e ON e.key = b.key AND e.r = b.r + 1)
-    SELECT key, event_id, round(CASE WHEN t >= 1 THEN t - 1 ELSE t END, 4) AS tokens, t >= 1 AS allowed FROM b""",
-)
-def token_bucket(spark, sf_dir):
+ORACLE_BUCKETS = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, epoch_us(ts) / 1000000.0 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+    b(key, event_id, s, r, t) AS (SELECT key, event_id, s, r, CAST(3.0 AS DOUBLE) FROM e WHERE r = 1 UNION ALL SELECT e.key, e.event_id, e.s, e.r, least(CAST(3.0 AS DOUBLE), (CASE WHEN b.t >= 1 THEN b.t - 1 ELSE b.t END) + (e.s - b.s) * 0.00005) FROM b JOIN e ON e.key = b.key AND e.r = b.r + 1)"""
+
+
+def _buckets(spark, sf_dir):
     e = S.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0)).alias("seconds"))
-    return rate_limit.limited(e, 3.0, 0.00005).select("key", "event_id", F.round("tokens", 4).alias("tokens"), "allowed")
+    return rate_limit.limited(e, 3.0, 0.00005)
+
 
+@query("x01_token_bucket", ORACLE_BUCKETS + " SELECT key, event_id, round(CASE WHEN t >= 1 THEN t - 1 ELSE t END, 4) AS tokens, t >= 1 AS allowed FROM b")
+def token_bucket(spark, sf_dir):
+    return _buckets(spark, sf_dir).select("key", "event_id", F.round("tokens", 4).alias("tokens"), "allowed")
 
-@query("x02_evicted_buckets", "SELECT user_id, max(epoch_us(ts)) / 1000000.0 AS last FROM events GROUP BY 1 HAVING 1706659200.0 - last > 3600 AND user_id % 31 >= 27")
+
+@query("x02_evicted_buckets", ORACLE_BUCKETS + ", l AS (SELECT key, max(s) AS last, arg_max(CASE WHEN t >= 1 THEN t - 1 ELSE t END, r) AS left_ FROM b GROUP BY 1) SELECT CAST(key AS BIGINT) AS user_id, last FROM l WHERE 1706659200.0 - last > 3600 AND least(3.0, left_ + (1706659200.0 - last) * 0.00005) >= 2.7")
 def evicted_buckets(spark, sf_dir):
-    last = S.table(spark, sf_dir, "events").groupBy("user_id").agg((F.unix_micros(F.max("ts").cast("timestamp")) / F.lit(1000000.0)).alias("last"))
-    return X.evicted(last.withColumn("tokens", (F.col("user_id") % 31).cast("double")), 1706659200.0).select("user_id", "last")
+    """The buckets of x01 that have been idle for an hour and have filled up again."""
+    now = 1706659200.0
+    state = _buckets(spark, sf_dir).groupBy("key").agg(F.max("seconds").alias("last"), F.max_by("tokens", F.struct("seconds", "event_id")).alias("left"))
+    filled = state.withColumn("tokens", F.least(F.lit(3.0), F.col("left") + (F.lit(now) - F.col("last")) * 0.00005))
+    return X.evicted(filled, now, 3.0).select(F.col("key").cast("long").alias("user_id"), "last")
 
 
 @query("x03_presence", f"WITH {ACTIONS} SELECT room_id, user_id FROM actions QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND action <> 'leave'")
@@ -113,10 +119,10 @@ def json_lines(spark, sf_dir):
     return rows.withColumn("bad", F.lit(0)).unionByName(bad.agg(F.count("*").cast("int").alias("bad")), allowMissingColumns=True)
 
 
-@query("s06_k15_snapshot", f"WITH {SONGS} SELECT song_id, title FROM songs WHERE song_id % 3 = 0")
+@query("s06_k15_snapshot", f"WITH {SONGS} SELECT song_id, title FROM songs")
 def snapshot(spark, sf_dir):
     path = files.scratch(spark, "snapshot")
-    files.write_snapshot(S.songs(spark, sf_dir).where("song_id % 3 = 0").select("song_id", "title"), path, "2024-01-31T00:00:00Z")
+    files.write_snapshot(S.songs(spark, sf_dir).select("song_id", "title"), path, "2024-01-31T00:00:00Z")
     back = files.read_json_array(spark, path, "timestamp string, count long, songs array<struct<song_id: long, title: string>>")
     return back.select(F.explode("songs").alias("s")).select("s.song_id", "s.title")
 
@@ -128,21 +134,24 @@ def quarantine_text(spark, sf_dir):
     return spark.read.text(path)
 
 
-@query("s07_s09_paged_source", f"WITH {SONGS} SELECT song_id, title FROM songs WHERE song_id < 400")
+@query("s07_s09_paged_source", f"WITH {SONGS}, r AS (SELECT *, row_number() OVER (ORDER BY song_id DESC) - 1 AS i FROM songs) SELECT song_id, title, i // 40 AS page FROM r WHERE i // 40 >= 1 AND song_id > 17")
 def paged_source(spark, sf_dir):
-    """A recorded service: pages of 40 songs made of their numbers, read by the data source API."""
+    """A recorded service, newest songs first, 40 a page: from the second page on, until the cursor of the last run."""
     import json
 
     from quern.sources.paged import paged_source
 
+    total = S.songs(spark, sf_dir).agg(F.max("song_id")).first()[0] or 0
+
     def fetch(n: int) -> str:
-        rows = [{"song_id": i} for i in range(40 * n, min(400, 40 * n + 40))]
-        return json.dumps({"results": rows, "next": "more" if 40 * n + 40 < 400 else None})
+        rows = [{"song_id": i, "at": f"{i:012d}"} for i in range(total - 40 * n, max(0, total - 40 * n - 40), -1)]
+        return json.dumps({"results": rows, "next": "more" if total > 40 * n + 40 else None})
 
     spark.dataSource.register(paged_source("recorded_pages", fetch))
-    rows = spark.read.format("recorded_pages").options(pages=12, pagesPerTask=5).load()
-    ids = rows.select(F.get_json_object("row", "$.song_id").cast("long").alias("song_id"))
-    return ids.join(S.songs(spark, sf_dir).select("song_id", "title"), "song_id")
+    options = {"pages": -(-total // 40), "pagesPerTask": 25, "offset": 1, "stopField": "at", "stopAt": f"{17:012d}"}
+    rows = spark.read.format("recorded_pages").options(**options).load()
+    ids = rows.select(F.get_json_object("row", "$.song_id").cast("long").alias("song_id"), F.col("page").cast("long").alias("page"))
+    return ids.join(S.songs(spark, sf_dir).select("song_id", "title"), "song_id").select("song_id", "title", "page")
 
 
 @query("s12_catalog_scan", "SELECT 'songs_view' AS name, 2 AS columns")
@@ -153,8 +162,8 @@ def catalog_scan(spark, sf_dir):
 
 @query("p01_p04_embedder")
 def embedder(spark, sf_dir):
-    """Vectors of titles by the deterministic test embedder; no SQL twin."""
-    first = embedders.FirstAvailable(embedders.HashEmbedder(16))
+    """Vectors of titles by the deterministic test embedder, after one that is down and one that fails; no SQL twin."""
+    first = embedders.FirstAvailable(embedders.Down(16), embedders.Down(16, says_available=True), embedders.HashEmbedder(16))
     return S.songs(spark, sf_dir).select("song_id", embedders.embedding(F.col("title"), first).alias("v")).select("song_id", F.size("v").alias("dims"), F.round(F.element_at("v", 1).cast("double"), 5).alias("first"))
 
 
@@ -163,31 +172,47 @@ def embedder(spark, sf_dir):
 
 @query(
     "e01_match",
-    f"""{HEAD}, top AS (SELECT query_id, song_id, rank, similarity FROM ranked WHERE rank <= 40 AND similarity >= 0), ok AS (SELECT top.*, title, artist, year FROM top JOIN vsongs USING (song_id) WHERE NOT list_contains(tags, 'Explicit')),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, song_id) AS place FROM ok), c AS (SELECT query_id, max(CASE WHEN place = 1 THEN similarity END) AS a, max(CASE WHEN place = 2 THEN similarity END) AS b, count(*) FILTER (WHERE place <= 10) AS n FROM r GROUP BY 1),
-    m AS (SELECT doc_id AS query_id, {MOOD_CASE.replace("(t,", "(lower(text),")} AS mood FROM documents WHERE doc_id < 5)
-    SELECT query_id, song_id, title, mood, CAST(n AS BIGINT) AS n_matches, round(greatest(0.1, least(0.99, 1 / (1 + exp(-5 * (a - b))))), 6) AS confidence FROM r JOIN c USING (query_id) JOIN m USING (query_id) WHERE place = 1""",
+    f"""{HEAD}, {MESSAGES}, top AS (SELECT query_id, song_id, rank, similarity FROM ranked WHERE rank <= 40 AND similarity >= 0), ok AS (SELECT top.*, title, artist, year FROM top JOIN vsongs USING (song_id) WHERE NOT list_contains(tags, 'Explicit')),
+    rec AS (SELECT DISTINCT user_id AS query_id, song_id, true AS seen FROM (SELECT user_id, song_id FROM messages WHERE song_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, message_id DESC) <= 10)),
+    k AS (SELECT *, count(*) FILTER (WHERE seen IS NULL) OVER (PARTITION BY query_id) AS rest FROM ok LEFT JOIN rec USING (query_id, song_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, song_id) AS place, lower(artist) AS who, CAST(floor(year / 10) * 10 AS INT) AS decade FROM k WHERE seen IS NULL OR rest < 5), p AS (SELECT query_id, who AS pa, decade AS pd FROM r WHERE place = 1),
+    a1 AS (SELECT r.*, pa, pd FROM r JOIN p USING (query_id) WHERE place BETWEEN 2 AND 10 AND who <> pa AND (decade IS NULL OR pd IS NULL OR decade <> pd) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place) = 1),
+    a2 AS (SELECT r.* FROM r JOIN a1 USING (query_id) WHERE r.place > a1.place AND r.place <= 10 AND r.who <> pa AND (r.decade IS NULL OR pd IS NULL OR r.decade <> pd) AND r.who <> a1.who AND (r.decade IS NULL OR a1.decade IS NULL OR r.decade <> a1.decade) QUALIFY row_number() OVER (PARTITION BY r.query_id ORDER BY r.place) = 1), c AS (SELECT query_id, max(CASE WHEN place = 1 THEN similarity END) AS a, max(CASE WHEN place = 2 THEN similarity END) AS b, count(*) FILTER (WHERE place <= 10) AS n FROM r GROUP BY 1),
+    m AS (SELECT doc_id AS query_id, {MOOD_CASE.replace("(t,", "(lower(text),")} AS mood, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(trim(text)) > 500 THEN 'too long' END AS problem, regexp_matches(text, '(?i)\\b(idiot|gnu|the license)\\b') AS gated FROM documents)
+    SELECT query_id, r.song_id, r.title, mood, problem, gated, CAST(n AS BIGINT) AS n_matches, round(greatest(0.1, least(0.99, 1 / (1 + exp(-5 * (a - b))))), 6) AS confidence, concat_ws(',', a1.song_id, a2.song_id) AS alternates
+    FROM r JOIN c USING (query_id) JOIN m USING (query_id) LEFT JOIN a1 USING (query_id) LEFT JOIN a2 USING (query_id) WHERE r.place = 1""",
 )
 def match(spark, sf_dir):
-    """Text to song: neighbours, hydration, explicit filter, confidence, mood: one plan."""
+    """Text to song: checks of the message, neighbours, explicit and recent filters, confidence, alternates, mood: one plan."""
     songs, queries = S.vector_songs(spark, sf_dir), S.query_vectors(spark, sf_dir)
-    near = retrieval.knn(retrieval.eligible(songs), queries, 40).withColumn("similarity", 1 - F.col("distance")).where("similarity >= 0").drop("rank")
-    clean = near.join(songs.select("song_id", "title", "tags"), "song_id").where(~T.is_explicit(F.col("tags")))
+    near = retrieval.knn(retrieval.eligible(songs), queries, 40, keep=("title", "artist", "year", "tags")).withColumn("similarity", 1 - F.col("distance"))
+    clean = near.where((F.col("similarity") >= 0) & ~T.is_explicit(F.col("tags"))).drop("rank", "tags").withColumnRenamed("query_id", "user_id")
+    recent = chat.latest(S.messages(spark, sf_dir).where("song_id IS NOT NULL").select("user_id", "song_id", "created_at", "message_id"), ["user_id"], 10)
+    clean = retrieval.without_recent(clean, recent, 5).withColumnRenamed("user_id", "query_id")
     ten = retrieval.top_k(clean, 10, ["query_id"], [F.desc("similarity"), F.col("song_id")])
     sure = retrieval.confidence_by_query(ten, "similarity").select("query_id", "n_matches", F.round("confidence", 6).alias("confidence"))
-    mood = S.table(spark, sf_dir, "documents").where("doc_id < 5").select(F.col("doc_id").alias("query_id"), T.mood(F.col("text")).alias("mood"))
-    return ten.where("rank = 1").select("query_id", "song_id", "title").join(sure, "query_id").join(mood, "query_id")
+    others = retrieval.alternates(ten, F.lit(False)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", "song_id"))).alias("a"))  # two at most
+    others = others.select("query_id", F.array_join(F.transform("a.song_id", lambda i: i.cast("string")), ",").alias("alternates"))
+    text, n = F.col("text"), F.length(F.trim(F.col("text")))
+    message = S.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("query_id"), T.mood(text).alias("mood"), F.when(n == 0, "empty").when(n > 500, "too long").alias("problem"), T.matches_keyword(text, ["idiot", "gnu", "the license"]).alias("gated")
+    )
+    full = ten.where("rank = 1").select("query_id", "song_id", "title").join(sure, "query_id").join(message, "query_id").join(others, "query_id", "left")
+    return full.select("query_id", "song_id", "title", "mood", "problem", "gated", "n_matches", "confidence", F.coalesce("alternates", F.lit("")).alias("alternates"))
 
 
 @query(
     "e04_e06_room_page",
-    f"WITH {MESSAGES}, {REACTIONS}, {USERS}, {SONGS}, p AS (SELECT * FROM messages WHERE room_id = 'click' ORDER BY created_at DESC, message_id DESC LIMIT 25) SELECT p.message_id, ip_hash, title, coalesce(n, 0) AS n_reactions FROM p JOIN users USING (user_id) LEFT JOIN songs USING (song_id) LEFT JOIN (SELECT message_id, count(*) AS n FROM reactions GROUP BY 1) x ON x.message_id = p.message_id",
+    f"WITH {MESSAGES}, {REACTIONS}, {USERS}, {SONGS}, p AS (SELECT * FROM messages WHERE room_id = 'click' ORDER BY created_at DESC, message_id DESC LIMIT 25), g AS (SELECT message_id, emoji, count(*) AS n, string_agg(CAST(user_id AS VARCHAR), ' ' ORDER BY created_at, user_id) AS whose, bool_or(user_id = 7) AS mine FROM reactions GROUP BY 1, 2), x AS (SELECT message_id, sum(n) AS n, string_agg(concat(emoji, ':', CAST(n AS VARCHAR), ':', CAST(mine AS VARCHAR), ':', whose), ',' ORDER BY emoji) AS reactions FROM g GROUP BY 1) SELECT p.message_id, ip_hash, title, CAST(coalesce(n, 0) AS BIGINT) AS n_reactions, coalesce(reactions, '') AS reactions, (SELECT count(*) > 25 FROM messages WHERE room_id = 'click') AS has_more, (SELECT arg_min(message_id, (created_at, message_id)) FROM p) AS oldest_id FROM p JOIN users USING (user_id) LEFT JOIN songs USING (song_id) LEFT JOIN x ON x.message_id = p.message_id",
 )
 def room_page(spark, sf_dir):
     page = chat.page_before(S.messages(spark, sf_dir).where("room_id = 'click'"), None, 25)
-    counts = S.reactions(spark, sf_dir).groupBy("message_id").agg(F.count("*").alias("n"))
-    full = page.join(S.users(spark, sf_dir).select("user_id", "ip_hash"), "user_id").join(S.songs(spark, sf_dir).select("song_id", "title"), "song_id", "left").join(counts, "message_id", "left")
-    return full.select("message_id", "ip_hash", "title", F.coalesce("n", F.lit(0)).alias("n_reactions"))
+    of_page = S.reactions(spark, sf_dir).join(F.broadcast(page.select("message_id")), "message_id", "left_semi")  # 25 ids
+    g = chat.grouped_reactions(of_page, 7)
+    line = F.concat_ws(":", "emoji", F.col("n").cast("string"), F.col("has_reacted").cast("string"), F.array_join(F.transform("users", lambda u: u.cast("string")), " "))
+    reactions = g.groupBy("message_id").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(line)), ",").alias("reactions"))
+    full = page.join(S.users(spark, sf_dir).select("user_id", "ip_hash"), "user_id").join(S.songs(spark, sf_dir).select("song_id", "title"), "song_id", "left").join(reactions, "message_id", "left")
+    return full.select("message_id", "ip_hash", "title", F.coalesce("n", F.lit(0)).alias("n_reactions"), F.coalesce("reactions", F.lit("")).alias("reactions"), "has_more", "oldest_id")
 
 
 @query("e05_connection_list", f"WITH {MESSAGES} SELECT room_id, count(DISTINCT message_id % 40) AS connections, count(DISTINCT user_id) AS users, round(count(DISTINCT user_id) / count(DISTINCT message_id % 40), 4) AS per_connection FROM messages GROUP BY 1")
@@ -196,33 +221,51 @@ def connection_list(spark, sf_dir):
     return g.withColumn("per_connection", F.round(F.col("users") / F.col("connections"), 4))
 
 
-@query("e07_catalog_report", f"WITH {S.VECTOR_SONGS} SELECT 'songs' AS metric, CAST(count(*) AS DOUBLE) AS value FROM vsongs UNION ALL SELECT 'vector coverage', CAST(round(100.0 * count(embedding) / count(*), 1) AS DOUBLE) FROM vsongs UNION ALL SELECT 'artists', CAST(count(DISTINCT artist) AS DOUBLE) FROM vsongs UNION ALL SELECT 'placeholders', CAST(count(*) FILTER (WHERE is_placeholder) AS DOUBLE) FROM vsongs UNION ALL SELECT 'without year', CAST(count(*) FILTER (WHERE year IS NULL) AS DOUBLE) FROM vsongs")
+@query("e07_catalog_report", f"WITH {S.VECTOR_SONGS} SELECT 'songs' AS metric, CAST(count(*) AS DOUBLE) AS value FROM vsongs UNION ALL SELECT 'vector coverage', CAST(round(100.0 * count(embedding) / count(*), 1) AS DOUBLE) FROM vsongs UNION ALL SELECT 'artists', CAST(count(DISTINCT artist) AS DOUBLE) FROM vsongs UNION ALL SELECT 'placeholders', CAST(count(*) FILTER (WHERE is_placeholder) AS DOUBLE) FROM vsongs UNION ALL SELECT 'without year', CAST(count(*) FILTER (WHERE year IS NULL) AS DOUBLE) FROM vsongs UNION ALL SELECT 'duplicates', CAST(count(*) AS DOUBLE) FROM (SELECT title FROM vsongs GROUP BY title, artist HAVING count(*) > 1) UNION ALL SELECT concat('source ', source), CAST(count(*) AS DOUBLE) FROM vsongs GROUP BY source UNION ALL SELECT concat('share of ', source), CAST(round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS DOUBLE) FROM vsongs GROUP BY source UNION ALL SELECT CASE WHEN year IS NULL THEN 'Unknown' ELSE concat(CAST(CAST(floor(year / 10) * 10 AS INT) AS VARCHAR), 's') END, CAST(count(*) AS DOUBLE) FROM vsongs GROUP BY 1 UNION ALL SELECT concat('tag ', tag), CAST(count(*) AS DOUBLE) FROM (SELECT unnest(tags) AS tag FROM vsongs) GROUP BY 1")
 def catalog_report(spark, sf_dir):
+    songs = S.songs(spark, sf_dir)
+
+    def each(name, groups, value="n"):
+        return groups.select(name.alias("metric"), F.col(value).cast("double").alias("value"))
+
+    def counts(by):
+        return songs.groupBy(by.alias("g")).agg(F.count("*").alias("n"))
+
+    shares = catalog.share_of_total(songs, ["source"])
+    again = songs.groupBy("title", "artist").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n"))
+    tags = songs.select(F.explode("tags").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
     one = S.vector_songs(spark, sf_dir).agg(
         F.count("*").cast("double").alias("songs"), F.round(F.count("embedding") * 100.0 / F.count("*"), 1).cast("double").alias("vector coverage"), F.countDistinct("artist").cast("double").alias("artists"),
         F.count_if("is_placeholder").cast("double").alias("placeholders"), F.count_if(F.col("year").isNull()).cast("double").alias("without year"),
     )
-    return one.unpivot([], one.columns, "metric", "value")
+    rows = one.unpivot([], one.columns, "metric", "value")
+    for more in (each(F.lit("duplicates"), again), each(F.concat(F.lit("source "), "source"), shares), each(F.concat(F.lit("share of "), "source"), shares, "percent"), each(F.col("g"), counts(T.decade_label(F.col("year")))), each(F.concat(F.lit("tag "), "g"), tags)):
+        rows = rows.unionByName(more)
+    return rows
 
 
 @query(
     "e09_import",
-    f"""WITH {SONGS}, {TITLES}, new AS (SELECT t.*, s.album, s.isrc, s.arrival FROM titles t JOIN songs s USING (song_id) WHERE song_id % 2 = 1), have AS (SELECT * FROM songs WHERE song_id % 4 = 0),
+    f"""WITH {SONGS}, {TITLES}, new AS (SELECT t.*, s.album, s.isrc, s.arrival FROM titles t JOIN songs s USING (song_id) WHERE s.source <> 'radio'), have AS (SELECT * FROM songs WHERE source = 'radio'),
     ok AS (SELECT * FROM new WHERE song_id % 11 NOT IN (0, 1, 2, 3, 4)), fresh AS (SELECT * FROM ok n WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.isrc = n.isrc) AND NOT EXISTS (SELECT 1 FROM have h WHERE h.mbid = n.mbid) AND NOT EXISTS (SELECT 1 FROM have h WHERE lower(h.title) = lower(n.title) AND lower(h.artist) = lower(n.artist))),
     a AS (SELECT *, row_number() OVER (PARTITION BY artist, album ORDER BY arrival) AS x FROM fresh), b AS (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY arrival) AS y FROM a WHERE album IS NULL OR x <= 1) SELECT song_id FROM b WHERE y <= 12""",
 )
 def import_songs(spark, sf_dir):
     """Quality gate, duplicates against the catalog by any key, caps."""
-    new = _titles(spark, sf_dir).where("song_id % 2 = 1").withColumn("phrases", F.lit("")).withColumn("source", F.lit("manual"))
+    new = _titles(spark, sf_dir).where("source <> 'radio'").withColumn("phrases", F.lit("")).withColumn("source", F.lit("manual"))
     clean, _ = catalog.quality_split(new)
-    known = catalog.known_by_any(clean, S.songs(spark, sf_dir).where("song_id % 4 = 0"))
+    known = catalog.known_by_any(clean, S.songs(spark, sf_dir).where("source = 'radio'"))
     return catalog.capped(clean.join(known, "song_id", "left_anti"), 12, 1).select("song_id")
 
 
-@query("e10_find_or_create_user", f"WITH {USERS} SELECT user_id, sha256(concat('sub-', CAST(user_id AS VARCHAR))) AS token_hash FROM users WHERE user_id < 500 UNION ALL SELECT user_id, 'new' FROM users WHERE user_id BETWEEN 500 AND 599")
+@query("e10_find_or_create_user", f"WITH {USERS}, s AS (SELECT o_custkey AS user_id, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1) SELECT user_id, CASE WHEN joined_at < TIMESTAMP '2023-08-01' THEN sha256(concat('sub-', CAST(user_id AS VARCHAR))) ELSE 'new' END AS token_hash, coalesce(n, 0) AS live_sessions FROM users LEFT JOIN s USING (user_id)")
 def find_or_create_user(spark, sf_dir):
-    u = S.users(spark, sf_dir).select("user_id", F.sha2(F.concat(F.lit("sub-"), F.col("user_id").cast("string")), 256).alias("token_hash"))
-    return catalog.upsert_new(u.where("user_id < 500"), u.where("user_id BETWEEN 450 AND 599").withColumn("token_hash", F.lit("new")), ["user_id"])
+    """Known users stay, others are made; with the sessions of each that have not expired."""
+    u = S.users(spark, sf_dir)
+    have = u.where("joined_at < TIMESTAMP_NTZ '2023-08-01'").select("user_id", F.sha2(F.concat(F.lit("sub-"), F.col("user_id").cast("string")), 256).alias("token_hash"))
+    all_ = catalog.upsert_new(have, u.select("user_id", F.lit("new").alias("token_hash")), ["user_id"])
+    live = S.table(spark, sf_dir, "orders").where("o_orderdate >= TIMESTAMP_NTZ '1998-01-01'").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("n"))
+    return all_.join(live, "user_id", "left").select("user_id", "token_hash", F.coalesce("n", F.lit(0)).alias("live_sessions"))
 
 
 @query("e11_health", "SELECT CASE WHEN n >= 100000 THEN 'RED' WHEN n >= 5000 THEN 'YELLOW' ELSE 'GREEN' END AS status, n FROM (SELECT count(*) AS n FROM events)")

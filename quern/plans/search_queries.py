@@ -79,11 +79,8 @@ def find_similar(spark, sf_dir):
 
 @query("t02_search", f"{HEAD} SELECT query_id, ranked.song_id, round(similarity, 6) AS similarity FROM ranked JOIN songs2 USING (song_id) WHERE rank <= 15 AND similarity > 0.3 AND NOT list_contains(tags, 'Explicit')".replace("ranked AS", "songs2 AS (SELECT song_id, tags FROM vsongs), ranked AS", 1))
 def search(spark, sf_dir):
-    songs = S.vector_songs(spark, sf_dir)
-    from quern.functions.text import is_explicit
-
-    near = retrieval.search(songs, S.query_vectors(spark, sf_dir), 15)
-    return near.join(songs.where(~is_explicit(F.col("tags"))).select("song_id"), "song_id").select("query_id", "song_id", F.round("similarity", 6).alias("similarity"))
+    near = retrieval.search(S.vector_songs(spark, sf_dir), S.query_vectors(spark, sf_dir), 15)
+    return near.select("query_id", "song_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(
@@ -175,7 +172,7 @@ def strength(spark, sf_dir):
 @query(
     "w07_alternates",
     f"""{HEAD}, m AS (SELECT query_id, rank, song_id, lower(artist) AS artist, CAST(floor(year / 10) * 10 AS INT) AS decade FROM ranked JOIN vsongs USING (song_id) WHERE rank <= 30),
-    p AS (SELECT query_id, artist AS pa, decade AS pd, query_id % 2 = 1 AS spans FROM m WHERE rank = 1),
+    p AS (SELECT query_id, artist AS pa, decade AS pd, query_id % 100 = 50 AS spans FROM m WHERE rank = 1),
     a1 AS (SELECT m.*, spans, pa, pd FROM m JOIN p USING (query_id) WHERE rank > 1 AND (spans OR artist <> pa) AND (spans OR decade IS NULL OR pd IS NULL OR decade <> pd) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1),
     a2 AS (SELECT m.* FROM m JOIN a1 USING (query_id) WHERE m.rank > a1.rank AND (spans OR m.artist <> pa) AND (spans OR m.decade IS NULL OR pd IS NULL OR m.decade <> pd) AND m.artist <> a1.artist AND (spans OR m.decade IS NULL OR a1.decade IS NULL OR m.decade <> a1.decade) QUALIFY row_number() OVER (PARTITION BY m.query_id ORDER BY m.rank) = 1)
     SELECT query_id, 0 AS index, song_id, 0.8::DOUBLE AS score FROM a1 UNION ALL SELECT query_id, 1, song_id, 0.7::DOUBLE FROM a2""",
@@ -183,20 +180,20 @@ def strength(spark, sf_dir):
 def alternates(spark, sf_dir):
     songs = S.vector_songs(spark, sf_dir)
     near = retrieval.knn(retrieval.eligible(songs), S.query_vectors(spark, sf_dir), 30).join(songs.select("song_id", "artist", "year"), "song_id")
-    return retrieval.alternates(near, F.col("query_id") % 2 == 1).withColumn("score", F.round("score", 6))
+    return retrieval.alternates(near, F.col("query_id") % 100 == 50).withColumn("score", F.round("score", 6))
 
 
 @query(
     "f14_without_recent",
     f"WITH {S.MESSAGES}, {S.SONGS}, recent AS (SELECT user_id, song_id FROM messages WHERE song_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, message_id DESC) <= 10), "
-    "matches AS (SELECT DISTINCT user_id, song_id FROM messages WHERE song_id IS NOT NULL AND message_id % 4 = 1), seen AS (SELECT DISTINCT user_id, song_id, true AS seen FROM recent), "
+    "matches AS (SELECT DISTINCT user_id, song_id FROM messages WHERE song_id IS NOT NULL), seen AS (SELECT DISTINCT user_id, song_id, true AS seen FROM recent), "
     "j AS (SELECT m.user_id, m.song_id, seen, count(*) FILTER (WHERE seen IS NULL) OVER (PARTITION BY m.user_id) AS rest FROM matches m LEFT JOIN seen USING (user_id, song_id)) SELECT user_id, song_id FROM j WHERE seen IS NULL OR rest < 17",
 )
 def without_recent(spark, sf_dir):
     from quern.operators.chat import latest
 
     messages = S.messages(spark, sf_dir).where("song_id IS NOT NULL")
-    return retrieval.without_recent(messages.where("message_id % 4 = 1").select("user_id", "song_id").distinct(), latest(messages, ["user_id"], 10), 17)
+    return retrieval.without_recent(messages.select("user_id", "song_id").distinct(), latest(messages, ["user_id"], 10), 17)
 
 
 @query("t08_nearest_by_metric", "WITH " + Q + ", d AS (SELECT query_id, vec_id, list_distance(CAST(embedding AS DOUBLE[]), qv) AS e, -list_dot_product(CAST(embedding AS DOUBLE[]), qv) AS p FROM embeddings, queries) SELECT 'euclidean' AS metric, query_id, vec_id, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY e, vec_id) AS r FROM d) WHERE r <= 5 UNION ALL SELECT 'dot', query_id, vec_id, CAST(r AS INT) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, vec_id) AS r FROM d) WHERE r <= 5")
@@ -206,10 +203,10 @@ def nearest_by_metric(spark, sf_dir):
     return legs[0].unionByName(legs[1])
 
 
-@query("v07_similarity_matrix", "SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id < 8")
+@query("v07_similarity_matrix", "SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0")
 def similarity_matrix(spark, sf_dir):
     v = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return retrieval.similarity_matrix(v, v.where("id < 8")).withColumn("similarity", F.round("similarity", 6))
+    return retrieval.similarity_matrix(v, v.where("id % 50 = 0")).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("v10_dimension_guard", "SELECT vec_id, CAST(len(embedding) AS INT) AS dims FROM embeddings")

@@ -51,7 +51,7 @@ VECTOR_SONGS = f"vsongs AS (SELECT {_sql(_SONG, 'VARCHAR')}, {_TAGS['duck']} AS
 MESSAGES = f"messages AS (SELECT {_sql(_MESSAGE, 'VARCHAR')} FROM events)"
 REACTIONS = "reactions AS (SELECT event_id // 10 AS message_id, event_type AS emoji, user_id, min(ts) AS created_at FROM events GROUP BY 1, 2, 3)"
 USERS = "users AS (SELECT c_custkey AS user_id, CAST(floor(c_acctbal / 500) AS BIGINT) AS ip_hash, TIMESTAMP '2023-01-01' + to_days(CAST(c_custkey % 300 AS INT)) AS joined_at FROM customer)"
-QUERY_VECTORS = "queries AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 5)"
+QUERY_VECTORS = "queries AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0)"
 PLAYS = "plays AS (SELECT event_id AS play_id, concat('  ', upper(replace(p_name, ' ', '   '))) AS title, lower(p_brand) AS artist, CASE WHEN event_id % 2 = 0 THEN concat('mb-', CAST(event_id % 1500 AS VARCHAR)) END AS mbid, ts AS airdate, event_type AS play_type FROM events JOIN part ON event_id % 2000 = p_partkey)"
 
 
@@ -77,7 +77,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vector"))
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vector"))
 
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,17 +89,17 @@ PHRASES = [p for g in T.MODERATE_PHRASES.values() for p in g]
 RANK = f"CASE WHEN list_has_any(w, {list(T.EXPLICIT_WORDS)}) THEN 3 WHEN list_has_any(w, {list(T.MODERATE_WORDS)}) OR regexp_matches(low, '{alternation(PHRASES)}') THEN 2 WHEN list_has_any(w, {list(T.MILD_WORDS)}) THEN 1 ELSE 0 END"
 
 
-@query("c16_f20_severity", f"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat(CASE doc_id % 4 WHEN 0 THEN 'Damn ' WHEN 1 THEN 'shit ' WHEN 2 THEN 'gun ' ELSE 'Fuck ' END, substr(text, 1, 100)) ELSE substr(text, 1, 200) END AS text FROM documents), s AS (SELECT doc_id, lower(text) AS low, regexp_split_to_array(lower(text), '\\s+') AS w FROM t), r AS (SELECT doc_id, {RANK} AS r FROM s) SELECT doc_id, ['clean', 'mild', 'moderate', 'explicit'][r + 1] AS severity, CASE WHEN doc_id % 2 = 0 THEN r = 3 ELSE r >= 2 END AS blocked FROM r")
+@query("c16_f20_severity", f"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat(CASE doc_id % 4 WHEN 0 THEN 'Damn ' WHEN 1 THEN 'shit ' WHEN 2 THEN 'gun ' ELSE 'Fuck ' END, text) ELSE text END AS text FROM documents), s AS (SELECT doc_id, lower(text) AS low, regexp_split_to_array(lower(text), '\\s+') AS w FROM t), r AS (SELECT doc_id, {RANK} AS r FROM s) SELECT doc_id, ['clean', 'mild', 'moderate', 'explicit'][r + 1] AS severity, CASE WHEN doc_id % 2 = 0 THEN r = 3 ELSE r >= 2 END AS blocked FROM r")
 def severity(spark, sf_dir):
     lead = F.when(F.col("doc_id") % 4 == 0, "Damn ").when(F.col("doc_id") % 4 == 1, "shit ").when(F.col("doc_id") % 4 == 2, "gun ").otherwise("Fuck ")
-    text = F.when(F.col("doc_id") % 5 == 0, F.concat(lead, F.substring("text", 1, 100))).otherwise(F.substring("text", 1, 200))
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(lead, "text")).otherwise(F.col("text"))
     rank = S.table(spark, sf_dir, "documents").select("doc_id", T.severity_rank(text).alias("r"))
     return rank.select("doc_id", T.severity(F.col("r")).alias("severity"), T.blocked_in_room(F.col("r"), F.col("doc_id") % 2 == 0).alias("blocked"))
 
 
-@query("c01_c04_normalising", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(trim(s)), '[^a-zA-Z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS cleaned, regexp_replace(trim(lower(s)), '\\s+', ' ', 'g') AS name, regexp_replace(regexp_replace(trim(s), '\\s+', ' ', 'g'), '^[\"'']|[\"'']$', '', 'g') AS stripped, upper(regexp_replace(concat('us-', CAST(doc_id AS VARCHAR), ' - abc'), '[-\\s]', '', 'g')) AS isrc FROM (SELECT doc_id, concat('\"', substr(text, 1, 80), '\"') AS s FROM documents)")
+@query("c01_c04_normalising", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(trim(s)), '[^a-zA-Z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS cleaned, regexp_replace(trim(lower(s)), '\\s+', ' ', 'g') AS name, regexp_replace(regexp_replace(trim(s), '\\s+', ' ', 'g'), '^[\"'']|[\"'']$', '', 'g') AS stripped, upper(regexp_replace(concat('us-', CAST(doc_id AS VARCHAR), ' - abc'), '[-\\s]', '', 'g')) AS isrc FROM (SELECT doc_id, concat('\"', text, '\"') AS s FROM documents)")
 def normalising(spark, sf_dir):
-    s = F.concat(F.lit('"'), F.substring("text", 1, 80), F.lit('"'))
+    s = F.concat(F.lit('"'), "text", F.lit('"'))
     return S.table(spark, sf_dir, "documents").select("doc_id", T.clean_text(s).alias("cleaned"), T.normalize_name(s).alias("name"), T.normalize_text(s).alias("stripped"), T.normalize_isrc(F.concat(F.lit("us-"), F.col("doc_id").cast("string"), F.lit(" - abc"))).alias("isrc"))
 
 
@@ -130,12 +130,15 @@ def _titles(spark, sf_dir):
     return S.songs(spark, sf_dir).withColumn("title", t)
 
 
+EXPECTED = "e AS (SELECT *, list_concat(regexp_split_to_array(lower(title), '\\s+'), regexp_split_to_array(lower(artist), '\\s+')) AS expected, string_split(lower(phrases), ',') AS given FROM titles)"
+REASON = f"""CASE WHEN title IN {EXACT} THEN 'Exact match' WHEN regexp_matches(title, '(?i)^({ADJ})\\s+({TYPE})(\\s+[0-9]+)?$') THEN 'Adjective+Type pattern' WHEN NOT {VERIFIED} AND regexp_matches(title, '^\\S+\\s+({TYPE})$') THEN 'Simple type suffix'
+    WHEN regexp_matches(title, '(?i)^({PRE})\\s+({TYPE})\\s+[0-9]+$') THEN 'Numbered placeholder' WHEN NOT {VERIFIED} AND regexp_matches(title, '(?i)^({TYPE})\\s+[0-9]+$') THEN 'Numbered placeholder'
+    WHEN list_has_all(expected, given) AND len(given) = len(expected) AND len(given) <= 4 THEN 'Trivial phrases' END"""
+
+
 @query(
     "c08_placeholders",
-    f"""{REAL}, {TITLES}, e AS (SELECT *, list_concat(regexp_split_to_array(lower(title), '\\s+'), regexp_split_to_array(lower(artist), '\\s+')) AS expected, string_split(lower(phrases), ',') AS given FROM titles)
-    SELECT song_id, CASE WHEN title IN {EXACT} THEN 'Exact match' WHEN regexp_matches(title, '(?i)^({ADJ})\\s+({TYPE})(\\s+[0-9]+)?$') THEN 'Adjective+Type pattern' WHEN NOT {VERIFIED} AND regexp_matches(title, '^\\S+\\s+({TYPE})$') THEN 'Simple type suffix'
-    WHEN regexp_matches(title, '(?i)^({PRE})\\s+({TYPE})\\s+[0-9]+$') THEN 'Numbered placeholder' WHEN NOT {VERIFIED} AND regexp_matches(title, '(?i)^({TYPE})\\s+[0-9]+$') THEN 'Numbered placeholder'
-    WHEN list_has_all(expected, given) AND len(given) = len(expected) AND len(given) <= 4 THEN 'Trivial phrases' END AS reason,
+    f"""{REAL}, {TITLES}, {EXPECTED} SELECT song_id, {REASON} AS reason,
     title IN {EXACT} OR regexp_matches(title, '(?i)^({ADJ})\\s+({TYPE})(\\s+[0-9]+)?$') OR regexp_matches(title, '(?i)^[a-zA-Z0-9_]+\\s+(Song|Track)$') OR regexp_matches(title, '(?i)^[A-Za-z]+\\s+({TYPE})\\s+[0-9]+$') AS flagged FROM e""",
 )
 def placeholders(spark, sf_dir):
@@ -143,13 +146,13 @@ def placeholders(spark, sf_dir):
     return _titles(spark, sf_dir).select("song_id", T.placeholder_reason(c("title"), c("artist"), c("phrases"), c("source"), c("mbid")).alias("reason"), T.is_placeholder_stored(c("title")).alias("flagged"))
 
 
-TAGGED = "t AS (SELECT doc_id, concat(substr(text, 1, CAST(doc_id % 130 AS INT)), CASE doc_id % 4 WHEN 0 THEN ' [confidence: HIGH]' WHEN 1 THEN ' [Confidence: low] ' WHEN 2 THEN ' [confidence: none]' ELSE '' END) AS s FROM documents)"
+TAGGED = "t AS (SELECT doc_id, concat(CASE WHEN doc_id % 7 = 0 THEN lang ELSE text END, CASE doc_id % 4 WHEN 0 THEN ' [confidence: HIGH]' WHEN 1 THEN ' [Confidence: low] ' WHEN 2 THEN ' [confidence: none]' ELSE '' END) AS s FROM documents)"
 
 
 def _tagged(spark, sf_dir):
     d = F.col("doc_id") % 4
     tag = F.when(d == 0, " [confidence: HIGH]").when(d == 1, " [Confidence: low] ").when(d == 2, " [confidence: none]").otherwise("")
-    return S.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 130).cast("int")), tag).alias("s"))
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 7 == 0, F.col("lang")).otherwise(F.col("text")), tag).alias("s"))
 
 
 @query(

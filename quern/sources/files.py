@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CORRUPT = "_corrupt_record"
+#: Rows of one object of a snapshot.
+SNAPSHOT_ROWS = 10_000
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -43,6 +45,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).options(header=True, quote='"', escape='"', quoteAll=True).csv(path)
 
 
+def append_new_csv(df: DataFrame, path: str, schema: str, keys: list[str]) -> None:
+    """Append the rows whose keys, in any case, the CSV at ``path`` lacks."""
+    low = [F.lower(c).alias(c) for c in keys]
+    have = read_csv(df.sparkSession, path, schema, keys).select(*low).distinct()
+    fresh = df.join(have, [F.lower(df[c]) == have[c] for c in keys], "left_anti")
+    write_csv(stored(fresh, "csv-append"), path, "append")  # read before the folder changes
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad lines as text) of a file of JSON objects, one a line."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
@@ -60,8 +70,10 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_snapshot(df: DataFrame, path: str, taken: str) -> None:
-    """One JSON object a partition: when, how many, and the rows. Bounded by the partition, not the table."""
-    packed = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("count"), F.collect_list(F.struct(*df.columns)).alias("songs"))
+    """JSON objects of at most SNAPSHOT_ROWS rows: when, how many, and the rows."""
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())  # partition, then row
+    block = F.floor(F.col("_row") / 2**33).alias("part"), F.floor(F.col("_row") % 2**33 / SNAPSHOT_ROWS).alias("block")
+    packed = numbered.groupBy(*block).agg(F.count("*").alias("count"), F.collect_list(F.struct(*df.columns)).alias("songs"))
     packed.select(F.lit(taken).alias("timestamp"), "count", "songs").write.json(path)
 
 

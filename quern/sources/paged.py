@@ -2,7 +2,10 @@
 
 Pages are asked for in ranges of offsets, a partition each; transport is a
 function, so that tests and replays read recorded pages and a live run passes
-one that calls the service. Failures are retried with doubling waits.
+one that calls the service. Failures are retried with doubling waits. Options:
+pages (how many there are), offset (the first to read), maxPages (at most so
+many), pagesPerTask; stopField and stopAt end a task's reading at the first row
+whose field is not above the cursor of the last run (pages come newest first).
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ class Pages(InputPartition):
 class PagedReader(DataSourceReader):
     def __init__(self, fetch: Callable[[int], str], options: dict):
         self.fetch = fetch
-        self.pages, self.per_task = int(options.get("pages", 1)), int(options.get("pagesPerTask", 10))
+        self.first, self.per_task = int(options.get("offset", 0)), int(options.get("pagesPerTask", 10))
+        self.last = min(int(options.get("pages", 1)), self.first + int(options.get("maxPages", 1 << 62)))
+        self.stop_field, self.stop_at = options.get("stopField"), options.get("stopAt")
         self.retries, self.wait_ms = int(options.get("retries", 3)), int(options.get("waitMs", 1000))
 
     def partitions(self) -> list[InputPartition]:
-        return [Pages(a, min(self.pages, a + self.per_task)) for a in range(0, self.pages, self.per_task)]
+        return [Pages(a, min(self.last, a + self.per_task)) for a in range(self.first, self.last, self.per_task)]
 
     def _page(self, n: int) -> str:
         for attempt in range(self.retries + 1):
@@ -42,6 +47,8 @@ class PagedReader(DataSourceReader):
         for n in range(partition.first, partition.last):
             page = json.loads(self._page(n))
             for row in page.get("results", []):
+                if self.stop_field and str(row.get(self.stop_field) or "") <= self.stop_at:
+                    return
                 yield n, json.dumps(row)
             if not page.get("next"):
                 return
