@@ -42,6 +42,8 @@ MAX_BITS = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Buckets of at most so many fingerprints are compared pair by pair where they lie; larger ones by components.
 SMALL_BUCKET = 32
+#: Buckets with more fingerprints beside their largest component are cut by further bits before these are compared.
+FEW = 256
 #: Above so many distinct fingerprints (16 a bucket by chance) keys also hold a part of the other bits.
 MANY = 1 << 24
 #: Most dropped ids that are sent to every executor; beyond it the join shuffles.
@@ -176,18 +178,26 @@ def _finer(segments, parts: int) -> Column:
     return F.expr("CASE " + " ".join(of) + " END")
 
 
+def _meet(rows: DataFrame, by: list[str], max_bits: int) -> DataFrame:
+    """a, b: labels of fingerprints that share ``by`` and link, those of the largest component on one side only."""
+    left = rows.where("label <> largest").select(*by, "fp", "label")
+    right = rows.select(*(F.col(c).alias(f"{c}2") for c in by), F.col("fp").alias("fp2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("in_largest"))
+    same = " AND ".join(f"{c} = {c}2" for c in by)
+    reach = F.expr(f"{same} AND label <> label2 AND (in_largest OR fp < fp2) AND bit_count(fp ^ fp2) <= {max_bits}")
+    return left.join(right.hint("merge"), reach).select(F.col("label").alias("a"), F.col("label2").alias("b"))
+
+
 def _across(large: DataFrame, chained: DataFrame, max_bits: int, segments, parts: int, n: int) -> DataFrame:
     """label, top: what the links between different components of large buckets join."""
     named = large.select("key", "fp").join(chained.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("label"))
     named = kept_on_disk(named)
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    open_ = kept_on_disk(named.join(split, "key"))
-    finer = open_.withColumn("part", F.explode(_finer(segments, max_bits + 1 if parts == 1 else 1)))
-    left = finer.where("label <> largest").select("key", "part", "fp", "label")
-    right = finer.select(F.col("key").alias("key2"), F.col("part").alias("part2"), F.col("fp").alias("fp2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("in_largest"))
-    reach = F.expr(f"key = key2 AND part = part2 AND label <> label2 AND (in_largest OR fp < fp2) AND bit_count(fp ^ fp2) <= {max_bits}")
-    across = left.join(right.hint("merge"), reach).select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct()
+    split = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels"), (F.sum("n") - F.max("n")).alias("rest"))
+    open_ = kept_on_disk(named.join(split.where("labels > 1").drop("labels"), "key"))
+    many = open_.where(F.col("rest") > FEW) if parts == 1 else open_.limit(0)  # with more parts, keys are fine already
+    finer = many.withColumn("part", F.explode(_finer(segments, max_bits + 1)))
+    few = open_.where(F.col("rest") <= FEW) if parts == 1 else open_
+    across = _meet(few, ["key"], max_bits).unionByName(_meet(finer, ["key", "part"], max_bits)).distinct()
     found = components(across, n)  # stored by then
     open_.unpersist()
     named.unpersist()
