@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,9 +40,39 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/quern/{what}-{uuid.uuid4().hex}"
+#: What the innermost open ``scratch`` will undo.
+_UNDO: list[list[Callable[[], object]]] = []
+
+
+def on_leaving(undo: Callable[[], object]) -> None:
+    """Run ``undo`` when the innermost open ``scratch`` is left; without one, never."""
+    if _UNDO:
+        _UNDO[-1].append(undo)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a path in whatever store it is."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is stored inside is deleted on leaving. Store what shall last outside, but read it to its end inside."""
+    _UNDO.append([])
+    try:
+        yield
+    finally:
+        for undo in reversed(_UNDO.pop()):
+            undo()
+
+
+def shared_path(spark: SparkSession, what: str, lasting: bool = False) -> str:
+    """A fresh path below the shared folder; unless ``lasting``, an open ``scratch`` deletes it."""
+    path = f"{shared_dir(spark)}/quern/{what}-{uuid.uuid4().hex}"
+    if not lasting:
+        on_leaving(lambda: delete(spark, path))
+    return path
 
 
 def tasks_for(rows: int) -> int:

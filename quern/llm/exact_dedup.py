@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_path, stored, without
+from .common import ascii_lower, on_leaving, shared_path, stored, without
 
 BUCKETS = 64
 #: Most dropped rows that are sent to every executor; beyond it the join shuffles.
@@ -34,7 +34,8 @@ class DigestIndex:
     """Digests seen so far, with the document that stays for each.
 
     ``path`` holds the files; opening it again, from any session, continues the
-    index. ``buckets`` belongs to the files: give the same number each time.
+    index. ``buckets`` belongs to the files: give the same number each time. The
+    table's name in the session's catalog is dropped with an open ``scratch``.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
@@ -44,6 +45,7 @@ class DigestIndex:
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
+        on_leaving(lambda: spark.sql(f"DROP TABLE IF EXISTS {self.name}"))
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
