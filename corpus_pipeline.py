@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontaminate, exact_dedup, packing, quality, simhash
-from quern.llm.common import shared_path, stored
+from quern.llm.common import delete, on_leaving, scratch, shared_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +49,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over the documents of ``sf_dir``."""
+    """The stages in turn over the documents of ``sf_dir``. What they store on the way is deleted; the last result stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with scratch():  # the stages' results
+        for i, (name, stage) in enumerate(STAGES, 1):
+            with scratch():  # a stage's own tables
+                out = stage(spark, docs, sf_dir)
+                path = shared_path(spark, name.replace(" ", "-"), lasting=True)
+                out.write.parquet(path)
+            if i < len(STAGES):
+                on_leaving(lambda path=path: delete(spark, path))
+            docs = spark.read.schema(out.schema).parquet(path)
     return docs
 
 
