@@ -14,13 +14,14 @@ score is 0.5; repeated rows score alike; an empty table gives none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import short_batches
 from .labelled import fit, fold, sample
@@ -45,17 +46,30 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 _AGAIN = np.uint64(0x5851F42D4C957F2D)
 
 
-def slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and slot of each word, word pair and n-gram."""
-    h, text = word_hashes(data, offsets, _WORDS)
-    together = text[:-1] == text[1:]
-    pair = np.where(h[:-1] == h[1:], _AGAIN, mix(h[:-1] * np.uint64(0x9FB21C651E98DF25) + h[1:]))
-    found = [(text, h), (text[:-1][together], pair[together])]
+def slots(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text number and slot of each word, word pair and n-gram of a chunk, in parts."""
+    for h, text, repeated in word_hashes(data, offsets, _WORDS, again=1):
+        together = text[:-1] == text[1:]
+        pair = np.where(h[:-1] == h[1:], _AGAIN, mix(h[:-1] * np.uint64(0x9FB21C651E98DF25) + h[1:]))
+        yield text[repeated:], _slot(h[repeated:])
+        yield text[:-1][together], _slot(pair[together])
     for n in NGRAMS:
-        g, t = ngram_hashes(data, offsets, n, _BYTES)
-        found.append((t, g ^ np.uint64(n)))
-    text, h = (np.concatenate(x) for x in zip(*found))
-    return text, (h >> np.uint64(64 - BITS)).astype(np.int64)
+        for h, text in ngram_hashes(data, offsets, n, _BYTES):
+            yield text, _slot(h ^ np.uint64(n))
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _counted(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """text << BITS | slot, sorted, each once; and how often each occurs."""
+    keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    for text, at in parts:
+        more, m = np.unique(text << BITS | at, return_counts=True)
+        keys, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        n = np.bincount(where, np.concatenate([n, m]), len(keys)).astype(np.int64)
+    return keys, n
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -65,8 +79,7 @@ def _train(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     for b in batches:
         labels += b["label"].tolist()
         for data, offsets in chunks(pa.array(b["text"], pa.large_string())):
-            text, at = slots(data, offsets)
-            both, n = np.unique(text << BITS | at, return_counts=True)
+            both, n = _counted(slots(data, offsets))
             cut = np.searchsorted(both, np.arange(1, len(offsets) - 1) << BITS)
             for own, count in zip(np.split(both & ((1 << BITS) - 1), cut), np.split(n, cut)):
                 seen.append((own.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)))
@@ -98,24 +111,47 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[n
     return np.frombuffer(row["slot"], "<f4"), row["bias"]
 
 
+def _log_odds(texts: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
+    slot, bias = model
+    found = [np.empty(0)]
+    for data, offsets in chunks(texts):
+        total, n = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
+        for text, at in slots(data, offsets):
+            n += np.bincount(text, minlength=len(n))
+            total += np.bincount(text, slot[at], len(n))
+        found.append(total / np.maximum(n, 1))
+    return np.clip(np.concatenate(found) + bias, -35, 35)
+
+
+def _numbered(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *more: StructField) -> DataFrame:
+    """``docs`` through ``run`` with numbers for names, as Spark looks columns up by name there; then its names again."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = [StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields)]
+    short_batches(docs.sparkSession)
+    return docs.toDF(*names).mapInArrow(run, StructType([*plain, *more])).toDF(*docs.columns, *(f.name for f in more))
+
+
 def scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """``docs`` with all its columns and a further one, SCORE."""
-    slot, bias = model
     place = docs.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            means = []
-            for data, offsets in chunks(b.column(place)):
-                text, at = slots(data, offsets)
-                n = np.bincount(text, minlength=len(offsets) - 1)
-                means.append(np.bincount(text, slot[at], len(offsets) - 1) / np.maximum(n, 1))
-            x = (np.concatenate(means) if means else np.empty(0)) + bias
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(x, -35, 35))))], [*b.schema.names, SCORE])
+            p = 1 / (1 + np.exp(-_log_odds(b.column(place), model)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, SCORE])
 
-    short_batches(docs.sparkSession)
-    return docs.mapInArrow(run, f"{schema}, {SCORE} double")
+    return _numbered(docs, run, StructField(SCORE, DoubleType()))
+
+
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with their columns whatever these are named."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(1 / (1 + np.exp(-_log_odds(b.column(place), model))) >= threshold))
+
+    return _numbered(docs, run)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

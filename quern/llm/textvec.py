@@ -1,8 +1,9 @@
 """Hashes of words and of byte n-grams of many texts at once, with numpy.
 
 Works on an Arrow text column's own buffers. Texts are taken whole, in chunks of
-about CHUNK bytes (a longer text is a chunk by itself, at some 60 bytes of
-memory a byte of text). Nulls are empty texts.
+at most CHUNK bytes; a longer text is a chunk by itself and is hashed block by
+block, so that beside the column only some 60 bytes of memory a byte of a block
+are used, however long a text or a word is. Nulls are empty texts.
 """
 
 from __future__ import annotations
@@ -66,10 +67,8 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of each word, in order."""
-    if not len(data):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+def _words(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash (not yet spread) of each word, in order."""
     v = values[data]
     inside = v != 0
     first, last = inside.copy(), inside.copy()
@@ -82,17 +81,46 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tu
     power, inverse = _powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(v * power[: len(v)], out=total[1:])
-    return mix((total[e] - total[s]) * inverse[s]), np.searchsorted(offsets, s, "right") - 1
-
-
-def ngram_hashes(data: np.ndarray, offsets: np.ndarray, n: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of each run of n bytes inside a text."""
-    m = len(data) - n + 1
-    if m <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = np.zeros(m, np.uint64)
-    for k in range(n):
-        h = h * np.uint64(_R) + values[data[k : k + m]]
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    whole = text[:m] == text[n - 1 :]
-    return mix(h[whole]), text[:m][whole]
+    return s, e, (total[e] - total[s]) * inverse[s]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray, again: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Hash and text number of each word of a chunk, in order, and how many words of the part before come first.
+
+    A chunk is one part. A long text has a part for each block; each begins
+    with the last ``again`` words (fewer at first) of the parts before, so that
+    neighbours meet.
+    """
+    if len(data) <= CHUNK:
+        s, _, raw = _words(data, offsets, values) if len(data) else (np.empty(0, np.int64), None, np.empty(0, np.uint64))
+        yield mix(raw), np.searchsorted(offsets, s, "right") - 1, 0
+        return
+    before, open_ = np.empty(0, np.uint64), None  # open_: hash and length of a word that the block before did not end
+    for at in range(0, len(data), CHUNK):
+        block = data[at : at + CHUNK]
+        s, e, raw = _words(block, np.array([0, len(block)]), values)
+        lengths = e - s
+        if open_ and len(s) and s[0] == 0:
+            raw[:1] = open_[0] + raw[:1] * np.uint64(pow(_R, open_[1], 1 << 64))
+            lengths[0] += open_[1]
+        elif open_:
+            raw, lengths, e = (np.append(x, y).astype(y.dtype) for x, y in ((open_[0], raw), (open_[1], lengths), (0, e)))
+        open_ = None
+        if len(e) and e[-1] == len(block) and at + CHUNK < len(data):
+            open_, raw = (raw[-1], int(lengths[-1])), raw[:-1]
+        h = np.append(before, mix(raw))
+        yield h, np.zeros(len(h), np.int64), len(before)
+        before = h[max(0, len(h) - again) :]
+
+
+def ngram_hashes(data: np.ndarray, offsets: np.ndarray, n: int, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hash and text number of each run of n bytes inside a text of a chunk; a long text has a part for each block."""
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) if len(data) <= CHUNK else np.zeros(CHUNK + n - 1, np.int64)
+    for at in range(0, len(data) - n + 1, CHUNK):
+        block = data[at : at + CHUNK + n - 1]
+        m = len(block) - n + 1
+        h = np.zeros(m, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(_R) + values[block[k : k + m]]
+        whole = text[:m] == text[n - 1 : n - 1 + m]
+        yield mix(h[whole]), text[:m][whole]

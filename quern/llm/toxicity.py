@@ -36,16 +36,27 @@ THRESHOLD = 0.3
 _VALUES = byte_values("lower")
 
 
-def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and feature of each word, neighbouring pair and skip pair."""
-    h, text = word_hashes(data, offsets, _VALUES)
-    found = [(text, h)]
-    for gap, salt in ((1, 0x9FB21C651E98DF25), (2, 0xD3A2646CAB3487E3)):
-        together = text[:-gap] == text[gap:]
-        pair = h[:-gap] * np.uint64(salt) + (h[gap:] ^ np.uint64(salt))
-        found.append((text[:-gap][together], mix(pair[together])))
-    text, h = (np.concatenate(x) for x in zip(*found))
-    return text, (h >> np.uint64(64 - bits)).astype(np.int64)
+def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text number and feature of each word, neighbouring pair and skip pair, in parts if a chunk is one long text.
+
+    Parts overlap by two words, which does not matter: features are present or not.
+    """
+    for h, text, _ in word_hashes(data, offsets, _VALUES, again=2):
+        found = [(text, h)]
+        for gap, salt in ((1, 0x9FB21C651E98DF25), (2, 0xD3A2646CAB3487E3)):
+            together = text[:-gap] == text[gap:]
+            pair = h[:-gap] * np.uint64(salt) + (h[gap:] ^ np.uint64(salt))
+            found.append((text[:-gap][together], mix(pair[together])))
+        text, h = (np.concatenate(x) for x in zip(*found))
+        yield text, (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _once(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """text << BITS | feature, sorted, each once."""
+    found = np.empty(0, np.int64)
+    for text, at in parts:
+        found = np.union1d(found, text << BITS | at)
+    return found
 
 
 class Ftrl:
@@ -80,10 +91,9 @@ def _train(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     for b in batches:
         labels += b["label"].tolist()
         for data, offsets in chunks(pa.array(b["text"], pa.large_string())):
-            text, at = features(data, offsets)
-            order = np.argsort(text, kind="stable")
-            for own in np.split(at[order], np.searchsorted(text[order], np.arange(1, len(offsets) - 1))):
-                seen.append(np.unique(own).astype(np.int32))
+            once = _once(features(data, offsets))
+            for own in np.split(once & ((1 << BITS) - 1), np.searchsorted(once, np.arange(1, len(offsets) - 1) << BITS)):
+                seen.append(own.astype(np.int32))
     model = Ftrl(1 << BITS)
     for _ in range(EPOCHS if len(set(labels)) > 1 else 0):
         for at, y in zip(seen, labels):
@@ -108,9 +118,7 @@ def score(docs: DataFrame, model: pd.DataFrame) -> DataFrame:
         for b in batches:
             sums = []
             for data, offsets in chunks(b.column(1)):
-                text, at = features(data, offsets)
-                heavy = w[at] != 0
-                once = np.unique(text[heavy] << BITS | at[heavy])
+                once = _once((text[w[at] != 0], at[w[at] != 0]) for text, at in features(data, offsets))
                 sums.append(np.bincount(once >> BITS, w[once & ((1 << BITS) - 1)], len(offsets) - 1))
             total = np.concatenate(sums) if sums else np.empty(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_sigmoid(total + w[-1]))], ["doc_id", "score"])

@@ -1,6 +1,7 @@
 """Plain Python versions of what the operators must return, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -89,3 +90,62 @@ def exact(docs):
         stays = ids.index(keep)
         out += [(i, keep, len(ids), at == stays, hashlib.sha256(text.encode()).hexdigest()) for at, i in enumerate(ids)]
     return out
+
+
+def ftrl(examples, epochs, alpha, beta, l1, l2):
+    """FTRL-proximal over (set of features, label), coordinate by coordinate; {feature: weight}, the bias under None."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        least = 0 if i is None else l1
+        if abs(z[i]) <= least:
+            return 0.0
+        return (math.copysign(least, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for found, label in examples:
+            w = {i: weight(i) for i in [*found, None]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in w:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z)}
+
+
+def toxic_features(text):
+    """Words, neighbours and pairs around one word, as they read, repeats included."""
+    w = words(text)
+    return [*w, *(("next", *p) for p in zip(w, w[1:])), *(("skip", *p) for p in zip(w, w[2:]))]
+
+
+def subword_sgd(examples, vectors, orders, rate):
+    """Softmax over the mean of learned vectors, one text and one number at a time: out, bias after training.
+
+    ``examples``: ({slot: share}, label); ``vectors``: {slot: list}, trained in place; ``orders``: the texts' order in each epoch.
+    """
+    dim = len(next(iter(vectors.values())))
+    out, bias, done, steps = [[0.0] * dim, [0.0] * dim], [0.0, 0.0], 0, len(examples) * len(orders)
+    for i in (i for order in orders for i in order):
+        (share, label), now = examples[i], rate * (1 - done / steps)
+        done += 1
+        mean = [sum(s * vectors[k][d] for k, s in share.items()) for d in range(dim)]
+        x = [sum(o * m for o, m in zip(out[c], mean)) + bias[c] for c in (0, 1)]
+        p = [math.exp(v) / (math.exp(x[0]) + math.exp(x[1])) for v in x]
+        miss = [p[c] - (c == label) for c in (0, 1)]
+        back = [miss[0] * out[0][d] + miss[1] * out[1][d] for d in range(dim)]
+        for c in (0, 1):
+            out[c] = [o - now * miss[c] * m for o, m in zip(out[c], mean)]
+            bias[c] -= now * 0.1 * miss[c]
+        square = sum(s * s for s in share.values())
+        for k, s in share.items():
+            vectors[k] = [v - now / square * s * g for v, g in zip(vectors[k], back)]
+    return out, bias
+
+
+def quality_tokens(text):
+    """Words, neighbours (any word twice in a row is one token) and runs of 3 and 4 bytes of a text, repeats included."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+    b = (text or "").encode()
+    pairs = [("again",) if p == q else (p, q) for p, q in zip(w, w[1:])]
+    return [*w, *pairs, *(b[i : i + n] for n in (3, 4) for i in range(len(b) - n + 1))]
