@@ -16,7 +16,7 @@ from quern.llm.common import delete, on_leaving, scratch, shared_path
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects; it learns from the labelled ones among ``docs``."""
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scores(docs, model).where(f"{quality.SCORE} >= {quality.THRESHOLD}").drop(quality.SCORE)
+    return quality.accepted(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
