@@ -8,7 +8,7 @@ tests. It does not understand language.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -37,7 +37,7 @@ class HashEmbedder:
         out = np.zeros((len(texts), self.dimensions))
         for row, text in zip(out, texts):
             for word in text.lower().split():
-                h = zlib.crc32(word.encode())
+                h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
                 row[h % self.dimensions] += 1 if h >> 31 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)

@@ -240,13 +240,34 @@ def rolling_hash36(text: Column) -> Column:
     return F.lower(F.conv(F.abs(signed).cast("string"), 10, 36))
 
 
+def avatar_bucket(text: Column, buckets: int) -> Column:
+    """A number below ``buckets`` by FNV-1a over the codes of ``text``.
+
+    Each step multiplies by the prime as shifts of signed 32-bit numbers, whose
+    sum is only cut to 32 bits by the next step's xor; so the last sum is not.
+    """
+    int32 = lambda x: F.pmod(x + 2147483648, F.lit(4294967296).cast("bigint")) - 2147483648
+
+    def step(h: Column, code: Column) -> Column:
+        x = int32(h).bitwiseXOR(code)
+        return x + sum((int32(x * (1 << k)) for k in (1, 4, 7, 8, 24)), F.lit(0))
+
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+    return F.abs(F.aggregate(codes, F.lit(2166136261).cast("bigint"), step)) % buckets
+
+
 def is_handle(text: Column) -> Column:
     return text.rlike("^[a-z]+-[a-z]+$")
 
 
+def _md5_number(text: Column) -> Column:
+    """The first 32 bits of the MD5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def handle(seed: Column, first: list[str], second: list[str]) -> Column:
     """A word of each list joined by a hyphen, by two hashes of the seed: the same seed gives the same handle."""
-    pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.crc32(F.concat(seed.cast("string"), F.lit(salt)).cast("binary")), F.lit(len(words))) + 1).cast("int"))
+    pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (_md5_number(F.concat(seed.cast("string"), F.lit(salt))) % len(words) + 1).cast("int"))
     return F.concat(pick(first, "a"), F.lit("-"), pick(second, "n"))
 
 

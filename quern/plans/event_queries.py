@@ -154,17 +154,33 @@ def paged_source(spark, sf_dir):
     return ids.join(S.songs(spark, sf_dir).select("song_id", "title"), "song_id").select("song_id", "title", "page")
 
 
-@query("s12_catalog_scan", "SELECT 'songs_view' AS name, 2 AS columns")
+SCANNED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+
+@query("s12_catalog_scan", f"SELECT table_name AS name, count(*) AS columns, string_agg(column_name, ',' ORDER BY ordinal_position) AS names FROM (SELECT DISTINCT table_name, column_name, ordinal_position FROM information_schema.columns WHERE table_name IN ({', '.join(map(repr, SCANNED))})) GROUP BY 1")
 def catalog_scan(spark, sf_dir):
-    S.songs(spark, sf_dir).select("song_id", "title").createOrReplaceTempView("songs_view")
-    return spark.createDataFrame([(t.name, len(spark.catalog.listColumns(t.name))) for t in spark.catalog.listTables() if t.name == "songs_view"], "name string, columns int")
+    """What the session's catalog says of the tables: a row for each, from metadata alone."""
+    for name in SCANNED:
+        S.table(spark, sf_dir, name).createOrReplaceTempView(f"scanned_{name}")
+    names = sorted(t.name for t in spark.catalog.listTables() if t.name.startswith("scanned_"))
+    columns = {name: [c.name for c in spark.catalog.listColumns(name)] for name in names}
+    return spark.createDataFrame([(n.removeprefix("scanned_"), len(c), ",".join(c)) for n, c in columns.items()], "name string, columns long, names string")
+
 
+#: Sums of signed words by the hash of each, as HashEmbedder(16) makes them.
+WORD_SUMS = "list_transform(range(16), lambda d: coalesce(list_sum(list_transform(list_filter(list_transform(regexp_split_to_array(trim(lower(title)), '\\s+'), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT)), lambda h: h % 16 = d), lambda h: CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)), 0))"
 
-@query("p01_p04_embedder")
+
+@query(
+    "p01_p04_embedder",
+    f"WITH {SONGS}, e AS (SELECT song_id, {WORD_SUMS} AS v FROM songs), n AS (SELECT song_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM e) SELECT song_id, CAST(len(v) AS INT) AS dims, unnest(range(1, 17)) AS place, round(CASE WHEN l > 0 THEN unnest(v) / l ELSE 0.0 END, 5)::DOUBLE AS value FROM n",
+)
 def embedder(spark, sf_dir):
-    """Vectors of titles by the deterministic test embedder, after one that is down and one that fails; no SQL twin."""
+    """Vectors of titles by the deterministic test embedder, after one that is down and one that fails."""
     first = embedders.FirstAvailable(embedders.Down(16), embedders.Down(16, says_available=True), embedders.HashEmbedder(16))
-    return S.songs(spark, sf_dir).select("song_id", embedders.embedding(F.col("title"), first).alias("v")).select("song_id", F.size("v").alias("dims"), F.round(F.element_at("v", 1).cast("double"), 5).alias("first"))
+    vectors_ = S.songs(spark, sf_dir).select("song_id", embedders.embedding(F.col("title"), first).alias("v"))
+    placed = vectors_.select("song_id", F.size("v").alias("dims"), F.posexplode("v").alias("at", "x"))
+    return placed.select("song_id", "dims", (F.col("at") + 1).cast("long").alias("place"), F.round(F.col("x").cast("double"), 5).alias("value"))
 
 
 # Whole requests

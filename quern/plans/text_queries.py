@@ -204,10 +204,27 @@ def hashes_masks(spark, sf_dir):
     return u.select("user_id", T.hashed_ip(F.col("ip"), "salt").alias("ip_hash"), F.sha2(F.concat(F.lit("token"), F.col("user_id").cast("string")), 256).alias("token_hash"), T.masked(F.col("ip")).alias("masked"), T.is_handle(F.col("handle")).alias("valid"), F.when(T.is_handle(F.col("handle")), F.split_part("handle", F.lit("-"), F.lit(2))).alias("noun"))
 
 
-@query("c20_rolling_hash")
+CODES = "list_transform(string_split(s, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+
+
+def _int32(x: str) -> str:
+    return f"((({x}) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648"
+
+
+XORED = f"xor({_int32('h')}, c)"
+
+
+@query(
+    "c20_rolling_hash",
+    f"""WITH a AS (SELECT c_custkey, unnest(['10.' || c_custkey, c_name, c_mktsegment]) AS s FROM customer),
+    h AS (SELECT c_custkey, s, abs({_int32(f"list_reduce({CODES}, lambda h, c: (h * 31 + c) % 4294967296, CAST(0 AS BIGINT))")}) AS r,
+      abs(list_reduce({CODES}, lambda h, c: {XORED} + {' + '.join(_int32(f'{XORED} * {1 << k}') for k in (1, 4, 7, 8, 24))}, 2166136261)) % 60 AS avatar FROM a)
+    SELECT c_custkey, s, coalesce(nullif(ltrim(list_aggregate(list_transform([60466176, 1679616, 46656, 1296, 36, 1], lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(r // p % 36 AS INT) + 1, 1)), 'string_agg', ''), '0'), ''), '0') AS bucket, avatar FROM h""",
+)
 def rolling_hash(spark, sf_dir):
-    """Base 36 of a 32-bit rolling hash: no SQL twin (tested against plain Python)."""
-    return S.table(spark, sf_dir, "nation").select("n_nationkey", T.rolling_hash36(F.col("n_name")).alias("bucket"))
+    """Labels of addresses in base 36 and avatars of names."""
+    texts = S.table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(F.concat(F.lit("10."), "c_custkey"), "c_name", "c_mktsegment")).alias("s"))
+    return texts.select("c_custkey", "s", T.rolling_hash36(F.col("s")).alias("bucket"), T.avatar_bucket(F.col("s"), 60).alias("avatar"))
 
 
 @query("c24_c25_times", f"WITH {S.USERS} SELECT user_id, CAST(floor(epoch_us(TIMESTAMP '2024-02-01' - joined_at) / 86400000000.0) AS INT) AS age_days, strftime(joined_at, '%Y-%m-%dT%H:%M:%SZ') AS iso, joined_at >= TIMESTAMP '2024-02-01' - INTERVAL 200 DAY AS recent, CAST(ceil((user_id % 97) / 10.0) AS BIGINT) AS retry_after FROM users")
@@ -249,7 +266,14 @@ def alternate_scores(spark, sf_dir):
     return S.songs(spark, sf_dir).select("song_id", F.posexplode("tags").alias("i", "tag")).withColumn("score", F.round(scores.alternate_score(F.col("i")), 6))
 
 
-@query("c22_handles", f"WITH {S.USERS} SELECT user_id, true AS valid FROM users")
+FIRST_WORDS, SECOND_WORDS = ["calm", "bright", "quiet"], ["river", "stone", "cloud", "song"]
+
+
+def _picked(words: list[str], salt: str) -> str:
+    return f"{words}[CAST(CAST('0x' || substr(md5(CAST(user_id AS VARCHAR) || '{salt}'), 1, 8) AS BIGINT) % {len(words)} AS INT) + 1]"
+
+
+@query("c22_handles", f"WITH {S.USERS} SELECT user_id, {_picked(FIRST_WORDS, 'a')} || '-' || {_picked(SECOND_WORDS, 'n')} AS handle, true AS valid, {_picked(SECOND_WORDS, 'n')} AS noun FROM users")
 def handles(spark, sf_dir):
-    made = T.handle(F.col("user_id"), ["calm", "bright", "quiet"], ["river", "stone", "cloud", "song"])
-    return S.users(spark, sf_dir).select("user_id", T.is_handle(made).alias("valid"))
+    made = T.handle(F.col("user_id"), FIRST_WORDS, SECOND_WORDS)
+    return S.users(spark, sf_dir).select("user_id", made.alias("handle")).withColumns({"valid": T.is_handle(F.col("handle")), "noun": F.split_part("handle", F.lit("-"), F.lit(2))})

@@ -64,6 +64,21 @@ def test_rolling_hash(spark):
     assert one(spark, *(T.rolling_hash36(F.lit(t)) for t in texts)) == tuple(map(plain, texts))
 
 
+def test_avatar_bucket(spark):
+    def int32(x):
+        return (x + (1 << 31)) % (1 << 32) - (1 << 31)
+
+    def plain(s):
+        h = 2166136261
+        for c in s:
+            h = int32(h) ^ ord(c)
+            h += sum(int32(h << k) for k in (1, 4, 7, 8, 24))
+        return abs(h) % 60
+
+    texts = ["", "a", "calm-river", "bright-stone", "zzzzzzzzzzzzzzzz-zzzzzzzz"]
+    assert one(spark, *(T.avatar_bucket(F.lit(t), 60) for t in texts)) == tuple(map(plain, texts))
+
+
 def test_salted_hash(spark):
     assert one(spark, T.hashed_ip(F.lit("1.2.3.4"), "s"))[0] == hashlib.sha256(b"1.2.3.4s").hexdigest()[:32]
 
