@@ -118,7 +118,7 @@ def score(docs: DataFrame, model: pd.DataFrame) -> DataFrame:
         for b in batches:
             sums = []
             for data, offsets in chunks(b.column(1)):
-                once = _once((text[w[at] != 0], at[w[at] != 0]) for text, at in features(data, offsets))
+                once = _once((text[heavy], at[heavy]) for text, at in features(data, offsets) for heavy in [w[at] != 0])
                 sums.append(np.bincount(once >> BITS, w[once & ((1 << BITS) - 1)], len(offsets) - 1))
             total = np.concatenate(sums) if sums else np.empty(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_sigmoid(total + w[-1]))], ["doc_id", "score"])
