@@ -37,7 +37,8 @@ def test_stages(spark):
     keep = {(i, sha) for i, _, _, stays, sha in brute.exact(rows) if stays}
     docs = step("exact dedup", docs, {(i, t) for i, t in rows if (i, brute.exact([(i, t)])[0][4]) in keep})  # a set: of repeated rows one stays
     rows = kept(docs)
-    docs = step("SimHash near-dedup", docs, [(i, t) for i, t in rows if (i, i) in {(a, c) for a, _, c in brute.near_duplicates(rows)}])
+    first = {(a, c) for a, _, c in brute.near_duplicates(rows)}
+    docs = step("SimHash near-dedup", docs, [(i, t) for i, t in rows if (i, i) in first])
     rows = kept(docs)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = step("benchmark decontamination", docs, [(i, t) for i, t in rows if not brute.contamination([(i, t)], items)[0][5]])
