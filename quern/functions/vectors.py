@@ -6,6 +6,8 @@ would give null; where the caller must know, ``checked`` raises instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row: inside a lambda it would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def dims(v) -> Column:
     return F.size(v)
 
@@ -38,8 +45,7 @@ def magnitude(a) -> Column:
 
 def normalize(a) -> Column:
     """Unit vector; the zero vector stays as it is."""
-    m = magnitude(a)
-    return F.when(m == 0, _double(a)).otherwise(F.transform(_double(a), lambda x: x / m))
+    return _once(magnitude(a), lambda m: F.when(m == 0, _double(a)).otherwise(F.transform(_double(a), lambda x: x / m)))
 
 
 def cosine(a, b) -> Column:
@@ -77,8 +83,7 @@ def mean(a) -> Column:
 
 
 def stddev_pop(a) -> Column:
-    m = mean(a)
-    return F.sqrt(_sum(F.transform(_double(a), lambda x: (x - m) * (x - m))) / F.size(a))
+    return _once(mean(a), lambda m: F.sqrt(_sum(F.transform(_double(a), lambda x: (x - m) * (x - m))) / F.size(a)))
 
 
 def statistics(a, tiny: float = 1e-6, huge: float = 1e3) -> dict[str, Column]:

@@ -210,7 +210,8 @@ def match(spark, sf_dir):
     others = retrieval.alternates(ten, F.lit(False)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", "song_id"))).alias("a"))  # two at most
     others = others.select("query_id", F.array_join(F.transform("a.song_id", lambda i: i.cast("string")), ",").alias("alternates"))
     text, n = F.col("text"), F.length(F.trim(F.col("text")))
-    message = S.table(spark, sf_dir, "documents").select(
+    asked = S.table(spark, sf_dir, "documents").join(queries, F.col("doc_id") == F.col("query_id"), "left_semi")  # no other text is judged
+    message = asked.select(
         F.col("doc_id").alias("query_id"), T.mood(text).alias("mood"), F.when(n == 0, "empty").when(n > 500, "too long").alias("problem"), T.matches_keyword(text, ["idiot", "gnu", "the license"]).alias("gated")
     )
     full = ten.where("rank = 1").select("query_id", "song_id", "title").join(sure, "query_id").join(message, "query_id").join(others, "query_id", "left")
