@@ -77,10 +77,10 @@ def knn(candidates: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
         d = 1.0 - vectors.dot("vector", "query_vector") if cosine else vectors.distance("vector", "query_vector", metric)
         return pairs.select("query_id", id_col, d.alias("distance"), *keep)
 
-    return _nearest(search, queries, k, id_col)
+    return nearest(search, queries, k, id_col)
 
 
-def _nearest(search: Callable[[DataFrame], DataFrame], queries: DataFrame, k: int, id_col: str) -> DataFrame:
+def nearest(search: Callable[[DataFrame], DataFrame], queries: DataFrame, k: int, id_col: str) -> DataFrame:
     """The k nearest of what ``search`` finds for each block of queries; with several, each block's are written before the next is searched."""
 
     def best(rows: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def knn_blocks(candidates: DataFrame, queries: DataFrame, k: int, vector: str =
     keeps the best k of each query, so k rows a task and query are shuffled. Ids
     are long. Last bits of sums may differ from the expression's.
     """
-    return _nearest(lambda block: _products(candidates, block, k, vector, id_col), queries, k, id_col)
+    return nearest(lambda block: _products(candidates, block, k, vector, id_col), queries, k, id_col)
 
 
 def _products(candidates: DataFrame, queries: DataFrame, k: int, vector: str, id_col: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import scores, vectors
 from quern.operators import retrieval
+from quern.operators.inverted_lists import InvertedLists, recall
+from quern.sources.files import scratch
 
 from . import standins as S
 from .registry import query
@@ -217,3 +219,31 @@ def dimension_guard(spark, sf_dir):
 @query("j02_batch_knn_blocks", f"{HEAD} SELECT query_id, song_id, CAST(rank AS INT) AS rank, round(distance, 6) AS distance FROM ranked WHERE rank <= 7")
 def batch_knn_blocks(spark, sf_dir):
     return retrieval.knn_blocks(retrieval.eligible(S.vector_songs(spark, sf_dir)), S.query_vectors(spark, sf_dir), 7).withColumn("distance", F.round("distance", 6))
+
+
+def _indexed(spark, sf_dir):
+    rows = S.table(spark, sf_dir, "embeddings")
+    return rows, InvertedLists.build(rows, scratch(spark, "inverted-lists"), "vec_id")
+
+
+@query("t01_j02_inverted_lists")
+def inverted_lists(spark, sf_dir):
+    """The ten nearest of all vectors for every query by the stored approximate index."""
+    near = _indexed(spark, sf_dir)[1].search(S.query_vectors(spark, sf_dir), 10, id_col="vec_id")
+    return near.withColumn("distance", F.round("distance", 6))
+
+
+@query("t01_j02_all_lists", f"WITH {Q} SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INT) AS rank, round(d, 6) AS distance FROM (SELECT query_id, vec_id, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv) AS d FROM embeddings, queries) QUALIFY rank <= 10")
+def all_lists(spark, sf_dir):
+    """The same index with every list probed is exact."""
+    _, index = _indexed(spark, sf_dir)
+    near = index.search(S.query_vectors(spark, sf_dir), 10, probes=len(index.centroids), id_col="vec_id")
+    return near.withColumn("distance", F.round("distance", 6))
+
+
+@query("t01_j02_recall")
+def inverted_lists_recall(spark, sf_dir):
+    """What share of the ten exact neighbours of all queries the approximate index finds."""
+    rows, index = _indexed(spark, sf_dir)
+    queries = S.query_vectors(spark, sf_dir)
+    return recall(retrieval.knn_blocks(rows, queries, 10, id_col="vec_id"), index.search(queries, 10, id_col="vec_id"), "vec_id")
