@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import embedders
 from quern.functions import text as T
-from quern.operators import catalog, chat, retrieval
+from quern.operators import catalog, chat, first_come, retrieval
 from quern.sources import files
 from quern.streaming import events as X
 from quern.streaming import rate_limit
@@ -275,6 +275,26 @@ def import_songs(spark, sf_dir):
     return catalog.capped(clean.join(known, "song_id", "left_anti"), 12, 1).select("song_id")
 
 
+BATCH = "song_id, arrival, title, artist, album, CASE WHEN song_id % 5 < 2 THEN concat('c', CAST(song_id * 7 % 900 AS {str})) END AS isrc, CASE WHEN song_id % 4 = 0 THEN concat('mb-', CAST(song_id % 800 AS {str})) END AS mbid"
+
+
+@query(
+    "e09_w04_first_come",
+    f"""WITH RECURSIVE {SONGS}, have AS (SELECT {BATCH.format(str='VARCHAR')} FROM songs WHERE source = 'radio' AND year < 1970), new AS (SELECT {BATCH.format(str='VARCHAR')} FROM songs WHERE NOT (source = 'radio' AND coalesce(year, 0) < 1970 AND year IS NOT NULL)),
+    fresh AS (SELECT row_number() OVER (ORDER BY arrival, song_id) AS n, song_id, lower(artist) AS artist, concat(lower(artist), '|', lower(album)) AS on_album, album IS NULL AS bare, list_filter([concat('i', isrc), concat('m', mbid), concat('n', lower(title), '|', lower(artist))], lambda x: length(x) > 1) AS keys FROM new n WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.isrc = n.isrc) AND NOT EXISTS (SELECT 1 FROM have h WHERE h.mbid = n.mbid) AND NOT EXISTS (SELECT 1 FROM have h WHERE lower(h.title) = lower(n.title) AND lower(h.artist) = lower(n.artist))),
+    s(n, song_id, ok, keys, artists, albums) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) UNION ALL
+    SELECT n, song_id, ok, CASE WHEN ok THEN list_concat(had, keys) ELSE had END, CASE WHEN ok THEN list_append(artists, artist) ELSE artists END, CASE WHEN ok AND NOT bare THEN list_append(albums, on_album) ELSE albums END FROM (SELECT f.n, CAST(f.song_id AS BIGINT) AS song_id, f.keys, f.artist, f.on_album, f.bare, s.keys AS had, s.artists, s.albums,
+    NOT list_has_any(s.keys, f.keys) AND len(list_filter(s.artists, lambda x: x = f.artist)) < 12 AND (f.bare OR len(list_filter(s.albums, lambda x: x = f.on_album)) < 2) AS ok FROM s JOIN fresh f ON f.n = s.n + 1))
+    SELECT song_id FROM s WHERE ok""",
+)
+def first_come_import(spark, sf_dir):
+    """A batch whose rows repeat each other's keys, taken in order of arrival, with at most 12 songs of an artist and 2 of an album."""
+    songs = S.songs(spark, sf_dir)
+    old = F.coalesce((F.col("source") == "radio") & (F.col("year") < 1970), F.lit(False))
+    columns = [c.strip() for c in BATCH.format(str="STRING").split(", CASE")[0].split(",")] + ["CASE" + c for c in BATCH.format(str="STRING").split(", CASE")[1:]]
+    return first_come.import_batch(songs.where(~old).selectExpr(*columns), songs.where(old).selectExpr(*columns), 12, 2).select("song_id")
+
+
 @query("e10_find_or_create_user", f"WITH {USERS}, s AS (SELECT o_custkey AS user_id, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1) SELECT user_id, CASE WHEN joined_at < TIMESTAMP '2023-08-01' THEN sha256(concat('sub-', CAST(user_id AS VARCHAR))) ELSE 'new' END AS token_hash, coalesce(n, 0) AS live_sessions FROM users LEFT JOIN s USING (user_id)")
 def find_or_create_user(spark, sf_dir):
     """Known users stay, others are made; with the sessions of each that have not expired."""

@@ -33,6 +33,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(df: DataFrame) -> None:
+    """Remove the files that ``stored`` wrote for ``df``, once nothing reads them any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
     """Quoted, trimmed CSV with a header; rows that lack a required field are left out."""
     df = spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(path)
