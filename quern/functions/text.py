@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.phrases import PhraseDictionary, found_labels
+
 #: Moods and the words that show them, first match wins.
 MOODS = (
     ("happy", "happy|joy|upbeat|dance|party|celebrate"),
@@ -57,8 +61,8 @@ UUID4 = UUID.replace("[1-5]", "4")
 
 
 def any_of(text: Column, phrases) -> Column:
-    """Whether any phrase stands in the text, in this case."""
-    return text.rlike("|".join(phrases))
+    """Whether any phrase stands in the text, in this case. For many phrases take a ``PhraseDictionary``."""
+    return functools.reduce(Column.__or__, (F.contains(text, F.lit(p)) for p in phrases))
 
 
 def clean_text(text: Column) -> Column:
@@ -94,7 +98,7 @@ def decade_label(year: Column) -> Column:
 def mood(text: Column) -> Column:
     found = None
     for name, words in MOODS:
-        test = F.lower(text).rlike(words)
+        test = any_of(F.lower(text), words.split("|"))
         found = F.when(test, name) if found is None else found.when(test, name)
     return found.otherwise("neutral")
 
@@ -132,13 +136,14 @@ def is_placeholder_stored(title: Column) -> Column:
     )
 
 
+#: Ranks of severity by what stands in a text: words alone, phrases anywhere.
+_SEVERE = [(w, rank, "token") for rank, words in ((3, EXPLICIT_WORDS), (2, MODERATE_WORDS), (1, MILD_WORDS)) for w in words]
+_SEVERE += [(p, 2, "anywhere") for group in MODERATE_PHRASES.values() for p in group]
+
+
 def severity_rank(text: Column) -> Column:
-    """0 clean, 1 mild, 2 moderate, 3 explicit: words alone, phrases anywhere."""
-    low = F.lower(text)
-    words = F.split(low, r"\s+")
-    held = lambda some: F.arrays_overlap(words, F.array(*map(F.lit, some)))
-    phrases = [p for group in MODERATE_PHRASES.values() for p in group]
-    return F.when(held(EXPLICIT_WORDS), 3).when(held(MODERATE_WORDS) | any_of(low, phrases), 2).when(held(MILD_WORDS), 1).otherwise(0)
+    """0 clean, 1 mild, 2 moderate, 3 explicit: words alone, phrases anywhere, all found in one walk over the text."""
+    return F.coalesce(F.array_max(found_labels(F.lower(text), PhraseDictionary(_SEVERE))), F.lit(0))
 
 
 def severity(rank: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scores
 from quern.functions import text as T
+from quern.functions.phrases import MAX_PHRASES, PhraseDictionary, found_labels
 
 from . import standins as S
 from .registry import query
@@ -277,3 +278,18 @@ def _picked(words: list[str], salt: str) -> str:
 def handles(spark, sf_dir):
     made = T.handle(F.col("user_id"), FIRST_WORDS, SECOND_WORDS)
     return S.users(spark, sf_dir).select("user_id", made.alias("handle")).withColumns({"valid": T.is_handle(F.col("handle")), "noun": F.split_part("handle", F.lit("-"), F.lit(2))})
+
+
+#: A phrase an item: its first words of ASCII letters, two at least.
+ITEM_PHRASES = "phrases AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]+( [A-Za-z]+)+')) AS phrase FROM benchmark WHERE regexp_matches(text, '[A-Za-z]+( [A-Za-z]+)+'))"
+
+
+@query("c16_f16_phrase_dictionary", f"WITH {ITEM_PHRASES}, hits AS (SELECT doc_id, item_id FROM documents, phrases WHERE contains(lower(text), phrase) AND regexp_matches(lower(text), concat('\\b', phrase, '\\b'))) SELECT doc_id, CAST(count(item_id) AS INT) AS n_items, coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS items FROM documents LEFT JOIN hits USING (doc_id) GROUP BY doc_id")
+def phrase_dictionary(spark, sf_dir):
+    """Which of the phrases that benchmark items begin with stand in each document, as whole words in any case."""
+    pattern = "[A-Za-z]+( [A-Za-z]+)+"
+    items = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("item_id"), F.lower(F.regexp_extract("text", pattern, 0)).alias("phrase")).where("phrase <> ''")
+    some = items.limit(MAX_PHRASES + 1).collect()
+    dictionary = PhraseDictionary((r["phrase"], r["item_id"], "word") for r in some)
+    found = S.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(found_labels(F.lower("text"), dictionary), F.array().cast("array<int>")).alias("found"))
+    return found.select("doc_id", F.size("found").alias("n_items"), F.array_join(F.transform("found", lambda i: i.cast("string")), ",").alias("items"))
