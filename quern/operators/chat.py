@@ -66,28 +66,32 @@ def _climbed(parents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         before = left
 
 
-def _cycle_tops(links: DataFrame) -> DataFrame:
-    """message_id: the least member of each cycle, of links (message_id, parent) that all lead into one."""
-    at, n, reach = links.select("message_id", F.col("parent").alias("to"), F.col("message_id").alias("least")), links.count(), 1
-    while reach < n:  # least: of the first ``reach`` members of the walk
-        on = at.select(F.col("message_id").alias("to"), F.col("to").alias("next"), F.col("least").alias("other"))
-        at = stored(at.join(on, "to").select("message_id", F.col("next").alias("to"), F.least("least", "other").alias("least")), "threads")
-        reach *= 2
-    return at.join(at.select(F.col("to").alias("message_id")).distinct(), "message_id").select(F.col("least").alias("message_id")).distinct()
+def _cycle_members(links: DataFrame) -> DataFrame:
+    """message_id: all members of cycles, of links (message_id, parent) that all lead into one.
+
+    What is reached in ever more steps shrinks to the cycles: once twice the steps
+    reach as many messages as before, these are their members.
+    """
+    at, before = links.select("message_id", F.col("parent").alias("to")), links.count()
+    while (n := at.select("to").distinct().count()) < before:
+        on = at.select(F.col("message_id").alias("to"), F.col("to").alias("next"))
+        at, before = stored(at.join(on, "to").select("message_id", F.col("next").alias("to")), "threads"), n
+    return at.select(F.col("to").alias("message_id")).distinct()
 
 
 def thread_roots(messages: DataFrame) -> DataFrame:
     """message_id, root_id, depth: up the replies by pointer doubling until all are at their roots, however deep.
 
-    A missing parent ends the walk; the least message_id of a cycle counts as a
-    root. A round is one join over narrow rows, written to the shared folder so
-    that plans do not double with the pointers.
+    A missing parent ends the walk. A walk that comes to a message again ends there:
+    the members of a cycle are their own roots, and a reply outside leads to the
+    member where its walk enters. A round is one join over narrow rows, written to
+    the shared folder so that plans do not double with the pointers.
     """
     linked = messages.alias("m").join(messages.select(F.col("message_id").alias("p")), F.col("m.reply_to") == F.col("p"), "left")
     parents = stored(linked.select(F.col("m.message_id").alias("message_id"), F.col("p").alias("parent")), "threads")
     at, circling = _climbed(parents)
     if circling is not None:
-        tops = _cycle_tops(stored(parents.join(circling, "message_id"), "threads")).withColumn("top", F.lit(True))
+        tops = _cycle_members(stored(parents.join(circling, "message_id"), "threads")).withColumn("top", F.lit(True))
         cut = parents.join(tops, "message_id", "left").select("message_id", F.when(F.col("top").isNull(), F.col("parent")).alias("parent"))
         at, _ = _climbed(stored(cut, "threads"))
     return at

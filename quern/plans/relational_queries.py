@@ -108,6 +108,16 @@ def threads(spark, sf_dir):
     return chat.threads(S.messages(spark, sf_dir)).select("root_id", "started", "n_replies", line.alias("replies"))
 
 
+#: Replies in chains of 120; every 997th message answers one that answers it in turn, every 501st one that is gone.
+KNOTTED = "CASE WHEN event_id % 997 = 5 THEN event_id + 3 WHEN event_id % 501 = 9 THEN -event_id WHEN event_id % 120 <> 0 THEN event_id - 1 END"
+
+
+@query("j18_knotted_roots", f"WITH RECURSIVE m AS (SELECT event_id AS message_id, {KNOTTED} AS reply_to FROM events), l AS (SELECT m.message_id, p.message_id AS parent FROM m LEFT JOIN m p ON m.reply_to = p.message_id), w(message_id, here, seen, again) AS (SELECT message_id, message_id, [message_id], false FROM m UNION ALL SELECT w.message_id, l.parent, list_append(seen, l.parent), list_contains(seen, l.parent) FROM w JOIN l ON l.message_id = w.here WHERE l.parent IS NOT NULL AND NOT again) SELECT w.message_id, here AS root_id, CAST(list_position(seen, here) - 1 AS INT) AS depth FROM w JOIN l ON l.message_id = w.here WHERE again OR l.parent IS NULL")
+def knotted_roots(spark, sf_dir):
+    """Roots in long chains with cycles and orphans: a walk ends at the message it comes to again."""
+    return chat.thread_roots(S.table(spark, sf_dir, "events").selectExpr("event_id AS message_id", f"{KNOTTED} AS reply_to"))
+
+
 # Aggregates
 
 

@@ -102,7 +102,7 @@ def test_threads(spark):
     rows = [(1, 7, 1, None), (2, 8, 2, 1), (3, 9, 3, 2), (4, 7, 4, 99), (5, 7, 5, 6), (6, 7, 6, 5)]
     m = spark.createDataFrame(rows, "message_id long, user_id long, created_at long, reply_to long")
     roots = {r.message_id: r.root_id for r in chat.thread_roots(m).collect()}
-    assert roots[3] == roots[2] == roots[1] == 1 and roots[4] == 4 and roots[5] in (5, 6)
+    assert roots[3] == roots[2] == roots[1] == 1 and roots[4] == 4 and roots[5] == 5 and roots[6] == 6
     first = {r.root_id: r for r in chat.threads(m).collect()}[1]
     assert [(x["message_id"], x["answers"]) for x in first.replies] == [(2, None), (3, 8)]
 
@@ -113,12 +113,33 @@ def test_deep_threads_and_cycles(spark):
     rows += [(1000 + i, 8, i, 1000 + (i + 1) % 70) for i in range(70)] + [(500 + i, 8, i, 501 + i if i < 4 else 1033) for i in range(5)] + [(2000, 9, 0, 2000)]
     m = spark.createDataFrame(rows, "message_id long, user_id long, created_at long, reply_to long")
     got = {r.message_id: (r.root_id, r.depth) for r in chat.thread_roots(m).collect()}
-    want = {i: (0, i) for i in range(300)} | {1000 + i: (1000, -i % 70) for i in range(70)} | {500 + i: (1000, 5 - i + 37) for i in range(5)} | {2000: (2000, 0)}
+    want = {i: (0, i) for i in range(300)} | {1000 + i: (1000 + i, 0) for i in range(70)} | {500 + i: (1033, 5 - i) for i in range(5)} | {2000: (2000, 0)}
     assert got == want
-    assert {r.root_id: r.n_replies for r in chat.threads(m).collect()} == {0: 299, 1000: 74, 2000: 0}
+    assert {r.root_id: r.n_replies for r in chat.threads(m).collect()} == {0: 299, 1033: 5, 2000: 0} | {1000 + i: 0 for i in range(70) if i != 33}
     assert chat.thread_replies(m).where("root_id = 0").count() == 299
 
 
+def test_walks_end_where_they_come_again(spark):
+    """Random links with cycles of many lengths, orphans and self-replies, each walked step by step."""
+    import random
+
+    rng = random.Random(6)
+    to = {i: rng.choice([None, rng.randrange(400), rng.randrange(max(0, i - 3), i + 1), 10_000]) for i in range(400)}
+
+    def walked(at):
+        seen = []
+        while True:
+            if at in seen:
+                return at, seen.index(at)
+            seen.append(at)
+            if to[at] is None or to[at] not in to:
+                return at, len(seen) - 1
+            at = to[at]
+
+    m = spark.createDataFrame(list(to.items()), "message_id long, reply_to long")
+    assert {r.message_id: (r.root_id, r.depth) for r in chat.thread_roots(m).collect()} == {i: walked(i) for i in to}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "user_id long, song_id long")
     assert retrieval.without_recent(empty, empty, 3).count() == 0
