@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -42,6 +44,8 @@ TRAIN_ROWS = 6_000
 TREES, DEPTH, RATE, BINS = 40, 3, 0.25, 16
 PRECISION = 0.98
 CONTEXT = 28
+#: Candidates of a text that are scored at once.
+PART = 20_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -49,8 +53,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_SPACED = re.compile(r"[0-9](?:[ -]?[0-9])*+")
 _GENERATORS = (
-    ("account", re.compile(r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){8,}+(?![0-9A-Za-z])")),
     ("account", re.compile(r"(?<![0-9A-Za-z.])[0-9]{9,}+(?![0-9A-Za-z])")),  # each number of several in a row
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![0-9A-Za-z])")),
     ("secret", re.compile(r"(?<![0-9A-Za-z_/+-])(?=[A-Za-z_/+-]*+[0-9]|[A-Z]{20})(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,}+")),
@@ -101,9 +105,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Digits with single spaces or hyphens between, nine at least, beside no letter or point: a run, or what of it follows its first number."""
+    for m in _SPACED.finditer(text):
+        start, end = m.span()
+        after = text[end : end + 1]
+        if end - start < 9 or (after.isascii() and after.isalpha()):
+            continue
+        before = text[start - 1 : start]
+        if before == "." or (before.isascii() and before.isalpha()):
+            while start < end and text[start] not in " -":
+                start += 1
+            start += 1
+        if sum("0" <= c <= "9" for c in text[start:end]) >= 9:
+            yield start, end
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """What the generators propose for the trees; spans may overlap."""
-    return list(dict.fromkeys((kind, *m.span()) for kind, rule in _GENERATORS for m in rule.finditer(text)))
+    found = [("account", *span) for span in _accounts(text)]
+    found += ((kind, *m.span()) for kind, rule in _GENERATORS for m in rule.finditer(text))
+    return list(dict.fromkeys(found))
+
+
+def apart(spans: list[tuple[str, int, int]], others: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Those of ``spans`` that overlap none of ``others``: the others that begin before a span's end must all end before its start."""
+    ordered = sorted((s, e) for _, s, e in others)
+    starts, ends = [s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))
+    return [c for c in spans if not (n := bisect_left(starts, c[2])) or ends[n - 1] <= c[1]]
 
 
 def _mod97(s: str) -> bool:
@@ -288,19 +317,24 @@ class Finder:
         self.scale, self.shift, self.thresholds = row["scale"], row["shift"], dict(zip(MORE_KINDS, row["thresholds"]))
 
     def probabilities(self, text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
-        x = np.array([features(text, *s) for s in spans])
-        return 1 / (1 + np.exp(-np.clip(self.scale * margins(self.trees, x) + self.shift, -35, 35)))
+        out = []
+        for at in range(0, len(spans), PART):
+            x = np.array([features(text, *s) for s in spans[at : at + PART]])
+            out.append(1 / (1 + np.exp(-np.clip(self.scale * margins(self.trees, x) + self.shift, -35, 35))))
+        return np.concatenate(out)
 
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """Base spans, and the spans that the trees add, by kind and start."""
         base = base_spans(text)
-        free = [c for c in candidates(text) if not any(c[1] < e and s < c[2] for _, s, e in base)]
+        free = apart(candidates(text), base)
         if not free:
             return base, []
         likely = sorted((-p, c) for p, c in zip(self.probabilities(text, free), free) if p >= self.thresholds[c[0]])
         taken: list[tuple[str, int, int]] = []
+        covered = bytearray(len(text))
         for _, c in likely:
-            if not any(c[1] < e and s < c[2] for _, s, e in taken):
+            if covered.find(1, c[1], c[2]) < 0:
+                covered[c[1] : c[2]] = b"\1" * (c[2] - c[1])
                 taken.append(c)
         return base, sorted(taken, key=lambda c: (MORE_KINDS.index(c[0]), c[1]))
 

@@ -118,3 +118,33 @@ def test_added_spans(spark):
         hit += sum(any(s <= a and b <= e for _, s, e in more) for a, b in spans)
         other += sum(k == "secret" and not any(a < e and s < b for a, b in spans) for k, s, e in more)
     assert planted > 0 and hit >= 0.95 * planted and other <= 0.05 * planted
+
+
+def test_many_spans_in_a_text():
+    """Time in proportion to the text: 100,000 spans of all kinds, numbers in one run that ends in a letter."""
+    import time
+
+    finder = pii.Finder(pii.train())
+    one = "mail a1@b.co from 10.0.0.1, card 4111 1111 1111 1111 or 5927243074273351; token = 2abc3ff2ca8fb1e4c565a0eb63815530a948bdde. "
+    text = one * 20_000 + "1 " * 200_000 + "x"
+    began = time.process_time()
+    base, more = finder.spans(text)
+    assert len(base) == 60_000 and len(more) >= 40_000 and time.process_time() - began < 120
+    few = finder.spans(one * 3)
+    assert [len(base) * 3, len(more) * 3] == [len(few[0]) * 20_000, len(few[1]) * 20_000]
+
+
+def test_account_candidates_are_those_of_the_rule():
+    """The walk over runs of digits against one regular expression tried at every place."""
+    rule = re.compile(r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){8,}+(?![0-9A-Za-z])")
+    rng = random.Random(8)
+    for _ in range(20_000):
+        text = "".join(rng.choice("00123 -.xÄ") if rng.random() < 0.4 else rng.choice("0123456789 ") for _ in range(rng.randrange(40)))
+        assert list(pii._accounts(text)) == [m.span() for m in rule.finditer(text)], text
+
+
+def test_apart():
+    rng = random.Random(9)
+    for _ in range(500):
+        spans, others = ([("k", s, s + rng.randrange(1, 9)) for s in (rng.randrange(60) for _ in range(rng.randrange(9)))] for _ in range(2))
+        assert pii.apart(spans, others) == [c for c in spans if not any(c[1] < e and s < c[2] for _, s, e in others)]
