@@ -106,12 +106,21 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, rows)
 
 
-def small_side(df: DataFrame, max_rows: int) -> DataFrame:
+#: About the most bytes of a table that is sent to every executor, where its rows have no bound of their own.
+BROADCAST_BYTES = 64 << 20
+
+
+def small_side(df: DataFrame, max_rows: int, width: Column | None = None) -> DataFrame:
     """``df`` marked for broadcast if it was counted to hold at most ``max_rows`` rows, else as it is (shuffle join).
 
-    ``df`` should be cheap to count, as a stored table is. Either way the result of a join is the same.
+    ``width``: about the bytes of a row that holds texts or arrays; their sum may
+    then not exceed BROADCAST_BYTES either. ``df`` should be cheap to count, as a
+    stored table is. Either way the result of a join is the same.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    if width is None:
+        return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    has = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if has["rows"] <= max_rows and has["bytes"] <= BROADCAST_BYTES else df
 
 
 def without(docs: DataFrame, gone: DataFrame, id_: Column, key: Column, max_rows: int) -> DataFrame:

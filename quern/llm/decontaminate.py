@@ -24,11 +24,23 @@ WINDOW = 10
 PROBES = 3
 #: Words of an item, about: only how many tasks write small tables depends on it.
 PLACES = 50
-#: Most rows of a table of benchmark words, or of document keys, that is sent to every executor; beyond it the join shuffles.
+#: Bytes of an array's element beside its content, about.
+ELEMENT = 24
+#: Most rows of a table of benchmark words, or of document keys, that is sent to every executor; beyond it, or beyond BROADCAST_BYTES, the join shuffles.
 BROADCAST_WORDS = 200_000
 BROADCAST_KEYS = 500_000
 
 
+def _words_width() -> Column:
+    """About the bytes of item_words."""
+    return F.octet_length(F.array_join("item_words", "")) + ELEMENT * F.size("item_words")
+
+
+def _windows_width() -> Column:
+    """About the bytes of windows."""
+    return ELEMENT * F.size("windows") + 4 * F.size(F.flatten("windows"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
 
@@ -50,7 +62,7 @@ def item_words(benchmark: DataFrame) -> DataFrame:
 def word_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Occurrences in all documents of each word that some item has."""
     vocabulary = stored(items.select("word").distinct(), "vocabulary", items.count())
-    seen = _tokens(_keyed(docs)).select("word").join(small_side(vocabulary, BROADCAST_WORDS), "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
+    seen = _tokens(_keyed(docs)).select("word").join(small_side(vocabulary, BROADCAST_WORDS, F.octet_length("word")), "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
     return vocabulary.join(seen, "word", "left").select("word", F.coalesce("seen", F.lit(0)).alias("seen"))
 
 
@@ -80,11 +92,11 @@ def alignments(index: DataFrame, probed: DataFrame) -> DataFrame:
         "item", "q", F.element_at("item_words", F.col("q") + 1).alias("word")
     )
     voted = (
-        index.join(small_side(stored(places, "places", probed.count() * PLACES), BROADCAST_WORDS), "word")
+        index.join(small_side(stored(places, "places", probed.count() * PLACES), BROADCAST_WORDS, ELEMENT + F.octet_length("word")), "word")
         .groupBy("doc", "key", "item", (F.col("pos") - F.col("q")).alias("delta"))
         .agg(F.collect_set("q").alias("agreed"))
     )
-    with_windows = voted.join(small_side(probed.select("item", "windows"), BROADCAST_WORDS), "item")
+    with_windows = voted.join(small_side(probed.select("item", "windows"), BROADCAST_WORDS, _windows_width()), "item")
     return with_windows.where("exists(windows, w -> forall(w, q -> array_contains(agreed, q)))").select("doc", "key", "item", "delta")
 
 
@@ -99,12 +111,12 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pro
     """doc, key, n_hit, items (sorted distinct ids as strings) for documents in which a window occurs exactly."""
     items, probed = _probes(docs, benchmark, window, probes)
     probe_words = probed.select(F.explode("windows").alias("w"), "item_words").select(F.explode(F.expr("transform(w, q -> item_words[q])")).alias("word")).distinct()
-    index = stored(postings(docs, small_side(stored(probe_words, "probe-words", items.count()), BROADCAST_WORDS)), "postings")
+    index = stored(postings(docs, small_side(stored(probe_words, "probe-words", items.count()), BROADCAST_WORDS, F.octet_length("word"))), "postings")
     found = (
         alignments(index, probed)
         .groupBy("doc", "key", "item")
         .agg(F.collect_list("delta").alias("deltas"))  # numbers only: an item of one frequent word has one for each place
-        .join(small_side(probed.select("item", "item_id", "n", "width", "item_words"), BROADCAST_WORDS), "item")
+        .join(small_side(probed.select("item", "item_id", "n", "width", "item_words"), BROADCAST_WORDS, _words_width()), "item")
         .groupBy("doc", "key")
         .agg(F.collect_list(F.struct("item_id", "n", "width", "item_words", "deltas")).alias("found"))
     )
@@ -134,12 +146,12 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 3, prob
     items, probed = _probes(docs, benchmark, window, probes)
     places = probed.select("item", F.explode(F.array_distinct(F.flatten("windows"))).alias("q"), "item_words").select("item", "q", F.element_at("item_words", F.col("q") + 1).alias("word"))
     places = stored(places, "places", items.count())
-    votes = postings(docs, small_side(places.select("word").distinct(), BROADCAST_WORDS)).join(small_side(places, BROADCAST_WORDS), "word").withColumn("delta", F.col("pos") - F.col("q"))
+    votes = postings(docs, small_side(places.select("word").distinct(), BROADCAST_WORDS, F.octet_length("word"))).join(small_side(places, BROADCAST_WORDS, ELEMENT + F.octet_length("word")), "word").withColumn("delta", F.col("pos") - F.col("q"))
     near = (
         votes.withColumn("block", F.explode(F.array(F.floor(F.col("delta") / (slop + 1)), F.floor(F.col("delta") / (slop + 1)) + 1)))
         .groupBy("doc", "key", "item", "block")
         .agg(F.collect_set(F.struct("delta", "q")).alias("votes"))
-        .join(small_side(probed.select("item", "item_id", "windows"), BROADCAST_WORDS), "item")
+        .join(small_side(probed.select("item", "item_id", "windows"), BROADCAST_WORDS, _windows_width()), "item")
     )
     within = f"filter(array_distinct(votes.delta), d -> exists(windows, w -> forall(w, q -> exists(votes, v -> v.q = q AND v.delta >= d AND v.delta <= d + {int(slop)}))))"
     return (

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, on_leaving, shared_path, stored, without
 
-BUCKETS = 64
+#: Fewest buckets of an index, and about the most rows of one of its first batch.
+LEAST_BUCKETS, BUCKET_ROWS = 64, 1_000_000
 #: Most dropped rows that are sent to every executor; beyond it the join shuffles.
 BROADCAST_DROPPED = 500_000
 
@@ -34,18 +35,45 @@ class DigestIndex:
     """Digests seen so far, with the document that stays for each.
 
     ``path`` holds the files; opening it again, from any session, continues the
-    index. ``buckets`` belongs to the files: give the same number each time. The
+    index. The number of buckets is chosen from the rows of the first batch, unless
+    it is given, and stored beside the files; ``compact`` can choose anew. The
     table's name in the session's catalog is dropped with an open ``scratch``.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path
         self.name = f"quern_digests_{uuid.uuid4().hex}"
-        spark.sql(
+        self.buckets = self._noted()
+        if self.buckets:
+            self._create()
+        elif buckets:
+            self._note(buckets)
+
+    def _meta(self) -> str:
+        return f"{self.path}/_buckets"
+
+    def _noted(self) -> int | None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._meta()}/_SUCCESS")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.spark.read.schema("buckets int").json(self._meta()).first()["buckets"]
+
+    def _note(self, buckets: int) -> None:
+        self.buckets = buckets
+        self.spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.json(self._meta())
+        self._create()
+
+    def _create(self) -> None:
+        self.spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
-        on_leaving(lambda: spark.sql(f"DROP TABLE IF EXISTS {self.name}"))
+        on_leaving(lambda: self.spark.sql(f"DROP TABLE IF EXISTS {self.name}"))
+
+    def prepare(self, rows: int) -> None:
+        """Choose the buckets of a new index for a first batch of ``rows`` rows."""
+        if not self.buckets:
+            self._note(max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS)))
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -58,9 +86,9 @@ class DigestIndex:
         """One sorted file a bucket and batch."""
         groups.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest").write.insertInto(self.name)
 
-    def compact(self) -> "DigestIndex":
-        """The same index with one file a bucket, at a new path: merges what many batches appended."""
-        to = DigestIndex(self.spark, f"{self.path}-{uuid.uuid4().hex[:8]}", self.buckets)
+    def compact(self, buckets: int | None = None) -> "DigestIndex":
+        """The same index with one file a bucket, at a new path: merges what many batches appended. ``buckets``: by default for the rows it has now."""
+        to = DigestIndex(self.spark, f"{self.path}-{uuid.uuid4().hex[:8]}", buckets or max(self.buckets, -(-self.table().count() // BUCKET_ROWS)))
         to.append(self.table())
         return to
 
@@ -78,6 +106,7 @@ def _verdicts(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """
     rows = stored(digests(docs), "digests")
     n = rows.count()
+    index.prepare(n)
     last = F.max(F.struct("doc_id", "row"))  # a null id is the least
     groups = rows.groupBy("digest").agg(last.alias("last"), F.count("*").alias("group_size"))
     groups = stored(groups.select("digest", F.col("last.doc_id").alias("keep_id"), F.col("last.row").alias("keep_row"), "group_size"), "groups", n)

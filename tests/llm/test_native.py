@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from quern.llm import components, decontaminate, exact_dedup, licenses, simhash
+from quern.llm import common, components, decontaminate, exact_dedup, licenses, simhash
 from quern.llm.common import shared_path
 
 from . import brute
@@ -58,6 +59,35 @@ def test_anti_join_leaves_the_index_in_place(spark):
     assert "SortMergeJoin" in plan and plan.count("Exchange") <= 1
 
 
+def test_buckets_follow_the_first_batch(spark, monkeypatch):
+    """As many buckets as the first batch needs, noted beside the files and kept by whoever opens the index again."""
+    monkeypatch.setattr(exact_dedup, "LEAST_BUCKETS", 2)
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 50)
+    docs = spark.range(330).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    path = shared_path(spark, "t")
+    assert exact_dedup.dedup(docs, exact_dedup.DigestIndex(spark, path)).where("kept").count() == 330
+    again = exact_dedup.DigestIndex(spark, path, 3)
+    assert again.buckets == 7 and again.table().count() == 330
+    assert exact_dedup.dedup(docs.limit(5).unionByName(docs.selectExpr("doc_id + 1000 AS doc_id", "concat(text, 'u') AS text")), again).where("kept").count() == 335
+    plan = again.unseen(docs.select("text").selectExpr("unhex(sha2(text, 256)) AS digest", "1 AS x"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the index stays where it is
+    compacted = again.compact()
+    assert compacted.buckets == 14 and compacted.table().count() == 660
+
+
+@pytest.mark.parametrize("limit, is_small", [(10_000, True), (40, False)])
+def test_broadcasts_by_bytes(spark, monkeypatch, limit, is_small):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    df = spark.createDataFrame([("x" * 30,), ("y" * 30,)], "word string")
+    joined = spark.createDataFrame([("a",)] * 3, "word string").join(common.small_side(df, 10, F.octet_length("word")), "word")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert ("Broadcast" in joined._jdf.queryExecution().executedPlan().toString()) == is_small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("broadcast" in joined._jdf.queryExecution().logical().toString()) == is_small
+
+
 def test_contamination(spark, documents, odd, empty):
     bench = spark.createDataFrame(items(spark), "item_id long, text string")
     docs = spark.createDataFrame(documents + ODD, "doc_id long, text string")
@@ -154,6 +184,7 @@ def test_one_row_of_each_group_stays(spark, monkeypatch, broadcast):
         for module in (exact_dedup, simhash, decontaminate):
             for name in [n for n in vars(module) if n.startswith("BROADCAST_")]:
                 monkeypatch.setattr(module, name, 0)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(licenses, "BROADCAST_KEYS", 0)
     long = " ".join(f"w{i}" for i in range(300))
     rows = [(None, "b"), (None, "B"), (7, "c c"), (7, "c c"), (7, "C c"), (3, "c C"), (None, "c c"), (8, "d"), (8, "e"), (None, None), (None, ""), (1, long), (1, long), (1, long + " x"), (None, long), (2, long.replace("w299", "z"))]
