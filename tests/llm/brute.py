@@ -149,3 +149,94 @@ def quality_tokens(text):
     b = (text or "").encode()
     pairs = [("again",) if p == q else (p, q) for p, q in zip(w, w[1:])]
     return [*w, *pairs, *(b[i : i + n] for n in (3, 4) for i in range(len(b) - n + 1))]
+
+
+def kept_paths(blocks):
+    """Indices of the blocks that the ratios of tag paths keep; blocks: (path of (element, tag), text, links, marked, linkable, named).
+
+    Every sum runs over all blocks anew; an element is a number, a path the tags around it.
+    """
+    import math
+    import re
+    from collections import Counter
+
+    from quern.llm import html_text as H
+
+    path = [tuple(t for _, t in p) for p, *_ in blocks]
+    size = [len(t) for _, t, *_ in blocks]
+    links = [min(b[2], size[i]) for i, b in enumerate(blocks)]
+    marks = [len(re.findall(r"[.,;:!?…。、，！？¿¡]", t)) for _, t, *_ in blocks]
+    named = [b[5] for b in blocks]
+
+    def ratio(own, linked=None):
+        own = list(own)
+        total, n = sum(size[i] for i in own), len(own)
+        linked = sum(links[i] for i in own) / total if linked is None else linked
+        return math.log1p(total / n) * math.log1p(1 + sum(marks[i] for i in own) / n) * (1 - linked)
+
+    every = range(len(blocks))
+    below = lambda p: [i for i in every if path[i][: len(p)] == p]
+    mass = lambda p: sum((size[i] - links[i]) * (H.PRIOR if named[i] else 1) for i in below(p))
+    around = {p[:n] for p in path for n in range(len(p) + 1)}
+    outer = {}
+    for i in every:
+        if blocks[i][3] and not named[i]:
+            at = next(n for n in range(1, len(path[i]) + 1) if path[i][n - 1] in ("article", "main"))
+            outer[path[i][:at]] = outer.get(path[i][:at], 0) + size[i] - links[i]
+    order = {}
+    for p, *_ in blocks:
+        for n in range(len(p) + 1):
+            order.setdefault(tuple(t for _, t in p[:n]), len(order))
+    if outer:
+        parts = {p for p, m in outer.items() if m >= H.FAIR * max(outer.values())}
+    else:
+        at = ()
+        kids = lambda p: [q for q in sorted(around, key=order.get) if len(q) == len(p) + 1 and q[: len(p)] == p]
+
+        def one(q):
+            sizes = Counter()
+            for i in below(q):
+                sizes[blocks[i][0][: len(q)]] += size[i] - links[i]
+            return mass(q) * max(sizes.values()) / max(1, sum(sizes.values()))
+
+        while inner := [q for q in kids(at) if q[-1] in H._LAYOUT and kids(q) and one(q) > H.CORE * mass(at)]:
+            at = inner[0]
+        parts = {at}
+        if at and len(at) > 1 and at[-2] in H._CONTAINERS:
+            parts |= {q for q in kids(at[:-1]) if q[-1] in ("h1", "h2")}
+    part = lambda p: next((p[:n] for n in range(len(p) + 1) if p[:n] in parts), None)
+    held = Counter()
+    for element in {p[:n] for p, *_ in blocks for n in range(1, len(p) + 1)}:
+        held[tuple(t for _, t in element)] += 1
+    inside = [i for i in every if part(path[i]) is not None]
+    fused = {}
+    for key in {(path[i], named[i]) for i in every}:
+        own = [i for i in every if (path[i], named[i]) == key]
+        beside = [i for i in every if (path[i][:-1], named[i]) == (key[0][:-1], key[1]) and bool(path[i]) == bool(key[0])] if key[0] else [i for i in every if len(path[i]) < 2 and named[i] == key[1]]
+        linked = sum(links[i] for i in own) / sum(size[i] for i in own)
+        if part(key[0]) is not None and blocks[own[-1]][3] and blocks[own[-1]][4]:
+            linked = (linked + sum(links[i] for i in inside) / sum(size[i] for i in inside)) / 2
+        fused[key] = (ratio(own, linked) + ratio(beside, linked)) / 2 * (H.PRIOR if key[1] else 1)
+    weight = lambda key: sum((size[i] - links[i]) * (H.PRIOR if key[1] else 1) for i in every if (path[i], named[i]) == key) if part(key[0]) is not None else -1
+    level = fused[max(fused, key=lambda key: (weight(key), order[key[0]], key[1]))] if fused else 0
+
+    def is_poor(p):
+        own = [i for i in below(p) if part(path[i]) is not None]
+        running = [i for i in own if path[i][-1] == "p" or path[i][-1] in H._CONTAINERS]
+        if p[-1] not in H._CONTAINERS or not running or ratio(running) >= H.MID * level:
+            return False
+        total = sum(size[i] for i in own)
+        boxes = [q for q in around if q[:-1] == p and len(q) == len(p) + 1 and q[-1] in H._CONTAINERS and held[q] >= 2 * held[p] and any(i in running for i in below(q))]
+        titles = sum(size[i] for i in own if len(path[i]) == len(p) + 1 and path[i][-1] in H._HEADINGS)
+        return sum(links[i] for i in own) >= H.LINKED * total or any(sum(size[i] for i in below(q)) >= H.LISTED * (total - titles) for q in boxes)
+
+    def is_kept(key):
+        p, own = key[0], part(key[0])
+        if fused[key] <= 0:
+            return False
+        if own is None:
+            holder = p if p[-1] in H._CONTAINERS or any(q[: len(p) - 1] == p[:-1] for q in parts) else p[:-1]
+            return fused[key] >= H.HIGH * level and mass(holder) >= H.FAIR * sum(mass(q) for q in parts)
+        return fused[key] >= H.LOW * level and not any(is_poor(p[:n]) for n in range(len(own) + 1, len(p) + 1))
+
+    return [i for i in every if is_kept((path[i], named[i]))]

@@ -3,15 +3,19 @@
 import gzip
 import hashlib
 import html
+import itertools
 import random
 import re
+import time
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import html_text, warc
 from quern.llm.common import shared_path
 
+from . import brute
 from .conftest import SF
 
 BIG = "<p>" + "same payload " * 20 + "</p>"
@@ -204,3 +208,75 @@ def test_linked_headings_and_items_of_an_article():
     page = f"""<body><div class=menu><a href=/>Home</a></div><article><header><h1 class='entry-title'><a href=/t>Title</a></h1></header><p>{text}</p><h2><a href=#s>Part</a></h2><p>{text}</p>
     <ol><li><a href=/r1>First reference, 2001.</a></li><li><a href=/r2>Second</a></li></ol></article><ul><li><a href=/n>Next page</a></li></ul></body>"""
     assert html_text.content(page) == ["Title", text, "Part", text, "First reference, 2001.", "Second"]
+
+
+def test_ratios_against_a_plain_version():
+    """Random small trees: what the passes over path numbers keep is what sums over all blocks keep."""
+    rng = random.Random(12)
+    words = ["Word", "a longer word", "text, with marks;", "and so on.", "more of it, then."]
+
+    def grown(depth, path, blocks, links):
+        for _ in range(rng.randrange(1, 4)):
+            tag = rng.choice(["div", "div", "section", "p", "h2", "ul", "article"]) if depth < 5 else "p"
+            number = next(numbers)
+            inner = [*path, (number, tag)]
+            if tag in ("p", "h2") or rng.random() < 0.2:
+                text = " ".join(rng.choices(words, k=rng.randrange(1, rng.choice((3, 12)))))
+                linked = rng.random() < 0.15
+                blocks.append((tuple(inner), text, len(text) if linked else 0, any(t in ("article", "main") for _, t in inner), any(t in html_text._LINKABLE for _, t in inner), False))
+                links.append(f"<{tag}>" + (f"<a href=x>{text}</a>" if linked else text) + f"</{tag}>")
+            elif tag == "ul":
+                links.append("<ul>")
+                for _ in range(rng.randrange(1, 4)):
+                    item, text = next(numbers), rng.choice(words)
+                    own = (*inner, (item, "li"))
+                    blocks.append((own, text, 0, any(t in ("article", "main") for _, t in own), True, False))
+                    links.append(f"<li>{text}</li>")
+                links.append("</ul>")
+            else:
+                links.append(f"<{tag}>")
+                grown(depth + 1, inner, blocks, links)
+                links.append(f"</{tag}>")
+
+    some = 0
+    for _ in range(400):
+        numbers, blocks, page = itertools.count(), [], []
+        grown(0, [], blocks, page)
+        want = [blocks[i][1] for i in brute.kept_paths(blocks)]
+        assert html_text.content("".join(page)) == want, "".join(page)
+        some += 0 < len(want) < len(blocks)
+    assert some > 50
+
+
+PARA = "This paragraph tells something at length, as the text of an article does; it goes on, with marks. It has a second sentence, too."
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div class=post", "div"])
+def test_sections_and_short_blocks_of_an_article_stay(tag):
+    """Ids made from headings name nothing; captions, formulas, boxes and dialogue are the article's."""
+    ids = ["related-work", "discussion", "search-algorithms", "social-impact", "legal-history", "comment-on-method", "introduction"]
+    parts, want = [], []
+    for i in ids:
+        title = i.replace("-", " ").capitalize()
+        parts.append(f"<section id='{i}'><h2>{title}</h2><p>{PARA}</p><p>{PARA}</p></section>" if i != "introduction" else f"<h2 id='discussion'>{title}</h2><p>{PARA}</p>")
+        want += [title, PARA, PARA] if i != "introduction" else [title, PARA]
+    parts.append("<div class=box><p>Short.</p></div><div class=caption>Fig. 1</div><div class=eq>E = mc2</div>")
+    want += ["Short.", "Fig. 1", "E = mc2"]
+    talk = ["Who is there?", "Me.", "Who?", "You know."]
+    parts.append("<div class=talk>" + "".join(f"<p>{t}</p>" for t in talk) + "</div>")
+    want += talk
+    remarks = "<div id=comments><h2>Comments</h2><div class=q><p>Nice read.</p></div></div><div id=related-posts><p>Other stories, of today.</p></div><section id=sidebar><p>Most read.</p></section>"
+    page = f"<body><nav>Home</nav><{tag}><h1>Title</h1>{''.join(parts)}{remarks}</{tag.split()[0]}><footer>ours</footer></body>"
+    assert html_text.content(page) == ["Title", *want]
+
+
+def test_deep_and_large_pages():
+    """Time in proportion to the page: nested elements by the thousand, with and without names, and pages of several MB."""
+    for open_, close in (("<div>", "</div>"), ("<div class=ad>", "</div>"), ("<section><p>Line, of text.", "</section>")):
+        n = 40_000
+        began = time.process_time()
+        html_text.content(f"<body>{open_ * n}<p>{PARA}</p>{close * n}</body>")
+        assert time.process_time() - began < 30
+    page = "<body><article>" + f"<p>{PARA}</p><ul><li>an item</li></ul>" * 30_000 + "</article></body>"
+    began = time.process_time()
+    assert len(html_text.content(page)) == 60_000 and time.process_time() - began < 30
