@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from quern.functions import embedders
 from quern.functions import text as T
 from quern.operators import catalog, chat, first_come, retrieval
-from quern.sources import files
+from quern.sources import channel, files
 from quern.streaming import events as X
+from quern.streaming import presence as P
 from quern.streaming import rate_limit
 
 from . import standins as S
@@ -64,6 +65,37 @@ def room_presence(spark, sf_dir):
     return X.room_presence(_actions(spark, sf_dir), F.expr("TIMESTAMP_NTZ '2024-01-31 23:30:00'"))
 
 
+NOW_US = 1706743800000000  # 2024-01-31 23:30
+#: Forty users who come, stay active and leave in all rooms.
+COMINGS = "comings AS (SELECT event_id, ts, user_id % 40 AS user_id, event_type AS room_id, CASE WHEN event_id % 4 = 3 THEN 'leave' ELSE 'add' END AS action FROM events)"
+
+
+def _comings(spark, sf_dir):
+    return S.table(spark, sf_dir, "events").selectExpr("event_id", "ts", "user_id % 40 AS user_id", "event_type AS room_id", "CASE WHEN event_id % 4 = 3 THEN 'leave' ELSE 'add' END AS action")
+
+
+@query("x03_x04_connection_changes", f"WITH {COMINGS}, e AS (SELECT room_id, user_id, event_id, action, epoch_us(ts) AS us, CASE WHEN action <> 'leave' THEN ((epoch_us(ts) + 21600000000) // 600000000 + 1) * 600000000 END AS due FROM comings), w AS (SELECT *, lag(due) OVER o AS was_due, lead(us) OVER o AS following FROM e WINDOW o AS (PARTITION BY room_id, user_id ORDER BY us, event_id)) SELECT room_id, user_id, us AS at_us, CASE action WHEN 'leave' THEN 'left' ELSE 'joined' END AS change FROM w WHERE (action = 'leave') = coalesce(us < was_due, false) UNION ALL SELECT room_id, user_id, due, 'stale' FROM w WHERE due <= {NOW_US} AND coalesce(following >= due, true)")
+def connection_changes(spark, sf_dir):
+    """Who joined, left, or was swept after six idle hours, every ten minutes: the batch twin of the stream with timers."""
+    return P.connection_changes(_comings(spark, sf_dir), F.lit(NOW_US), 21_600, 600)
+
+
+@query("x05_room_changes", f"WITH {COMINGS}, e AS (SELECT room_id, user_id, event_id, action, epoch_us(ts) AS us FROM comings), g AS (SELECT *, CASE WHEN us < lag(us) OVER o + 1800000000 THEN 0 ELSE 1 END AS new FROM e WHERE action <> 'leave' WINDOW o AS (PARTITION BY room_id ORDER BY us, event_id)), l AS (SELECT room_id, min(us) AS begun, max(us) + 1800000000 AS due FROM (SELECT *, sum(new) OVER (PARTITION BY room_id ORDER BY us, event_id) AS life FROM g) GROUP BY room_id, life), h AS (SELECT e.*, begun, due, lag(action) OVER o AS before, lead(us) OVER o AS following FROM e JOIN l ON l.room_id = e.room_id AND us >= begun AND us < due WINDOW o AS (PARTITION BY e.room_id, begun, user_id ORDER BY us, event_id)) SELECT room_id, user_id, us AS at_us, CASE action WHEN 'leave' THEN 'left' ELSE 'joined' END AS change FROM h WHERE (action = 'leave') = coalesce(before <> 'leave', false) UNION ALL SELECT room_id, user_id, due, 'expired' FROM h WHERE following IS NULL AND action <> 'leave' AND due <= {NOW_US}")
+def room_changes(spark, sf_dir):
+    """Who joined or left a room's set, and whole sets that expired half an hour after their last add."""
+    return P.room_changes(_comings(spark, sf_dir), F.lit(NOW_US), 1800)
+
+
+@query("k17_delivered", f"WITH {MESSAGES}, members AS (SELECT DISTINCT room_id, CAST(user_id % 12 AS BIGINT) AS conn_id FROM messages), a AS (SELECT m.room_id, c.conn_id FROM messages m JOIN members c USING (room_id) WHERE c.conn_id <> m.user_id % 12) SELECT room_id, conn_id, count(*) FILTER (WHERE conn_id % 7 <> 3) AS sent, count(*) FILTER (WHERE conn_id % 7 = 3) AS failed, conn_id % 7 <> 3 AS stays FROM a GROUP BY 1, 2")
+def delivered(spark, sf_dir):
+    """Every message to the connections of its room but the sender's; some cannot be reached and are pruned."""
+    frames = S.messages(spark, sf_dir).select("message_id", "room_id", F.expr("CAST(user_id % 12 AS BIGINT)").alias("sender"), F.col("text").alias("payload"))
+    members = frames.select("room_id", F.col("sender").alias("conn_id")).distinct()
+    told = files.stored(channel.deliver(channel.audience(frames, members), lambda conn, _: conn % 7 != 3), "delivered")
+    left = channel.pruned(members, told).select("room_id", "conn_id", F.lit(True).alias("stays"))
+    return told.join(left, ["room_id", "conn_id"], "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
+
+
 @query("x06_reaction_fold", f"WITH {ACTIONS}, l AS (SELECT message_id, action FROM (SELECT message_id, room_id, user_id, action, event_id, ts FROM actions) QUALIFY row_number() OVER (PARTITION BY message_id, user_id ORDER BY ts DESC, event_id DESC) = 1 AND action = 'add') SELECT message_id, '+1' AS emoji, count(*) AS n FROM l GROUP BY 1")
 def reaction_fold(spark, sf_dir):
     return X.reaction_counts(_actions(spark, sf_dir).withColumn("emoji", F.lit("+1")))

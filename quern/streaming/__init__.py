@@ -1 +1 @@
-"""Stateful event processing, each as a batch operator and as a streaming query with the same result."""
+"""Stateful event processing. Token buckets, deduplication, reaction counts, sessions and presence are batch operators and streams with the same result; replay, eviction and echo filters are batch operators."""
