@@ -284,7 +284,7 @@ def handles(spark, sf_dir):
 ITEM_PHRASES = "phrases AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]+( [A-Za-z]+)+')) AS phrase FROM benchmark WHERE regexp_matches(text, '[A-Za-z]+( [A-Za-z]+)+'))"
 
 
-@query("c16_f16_phrase_dictionary", f"WITH {ITEM_PHRASES}, hits AS (SELECT doc_id, item_id FROM documents, phrases WHERE contains(lower(text), phrase) AND regexp_matches(lower(text), concat('\\b', phrase, '\\b'))) SELECT doc_id, CAST(count(item_id) AS INT) AS n_items, coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS items FROM documents LEFT JOIN hits USING (doc_id) GROUP BY doc_id")
+@query("c32_c16_f16_phrases", f"WITH {ITEM_PHRASES}, hits AS (SELECT doc_id, item_id FROM documents, phrases WHERE contains(lower(text), phrase) AND regexp_matches(lower(text), concat('\\b', phrase, '\\b'))) SELECT doc_id, CAST(count(item_id) AS INT) AS n_items, coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS items FROM documents LEFT JOIN hits USING (doc_id) GROUP BY doc_id")
 def phrase_dictionary(spark, sf_dir):
     """Which of the phrases that benchmark items begin with stand in each document, as whole words in any case."""
     pattern = "[A-Za-z]+( [A-Za-z]+)+"
