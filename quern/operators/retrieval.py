@@ -196,6 +196,22 @@ def confidence_by_query(ranked: DataFrame, score: str = "score") -> DataFrame:
     return by_query.select("query_id", "n_matches", (F.col("first") - F.col("second")).alias("gap"), scores.confidence(F.col("n_matches"), F.col("first"), F.col("second")).alias("confidence"))
 
 
+def unlike_each_other(matches: str, artist: str, most: int) -> Column:
+    """Of an array of matches in order: up to ``most`` after the first, unlike it and each other in artist and decade.
+
+    ``artist`` names the field that is compared, beside decade; a boolean column
+    spans lifts the rules against the first and those on decades. A match without
+    an artist is not taken, unless the user spans eras and nothing was taken yet.
+    """
+    return F.expr(f"""
+        aggregate(slice({matches}, 2, size({matches})), slice({matches}, 1, 0), (taken, c) -> IF(
+            size(taken) < {most}
+            AND (spans OR c.{artist} <> {matches}[0].{artist})
+            AND (spans OR c.decade IS NULL OR {matches}[0].decade IS NULL OR c.decade <> {matches}[0].decade)
+            AND forall(taken, t -> t.{artist} <> c.{artist} AND (spans OR c.decade IS NULL OR t.decade IS NULL OR t.decade <> c.decade)),
+            concat(taken, array(c)), taken))""")
+
+
 def alternates(ranked: DataFrame, spans_eras: Column, most: int = 2) -> DataFrame:
     """Up to ``most`` further songs for each query, unlike the best and each other in artist and decade.
 
@@ -206,14 +222,7 @@ def alternates(ranked: DataFrame, spans_eras: Column, most: int = 2) -> DataFram
     """
     match = F.struct("rank", "song_id", F.lower("artist").alias("artist"), (F.floor(F.col("year") / 10) * 10).cast("int").alias("decade"))
     lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(match)).alias("all"), F.first(spans_eras).alias("spans"))
-    fold = f"""
-        aggregate(slice(all, 2, size(all)), slice(all, 1, 0), (taken, c) -> IF(
-            size(taken) < {most}
-            AND (spans OR c.artist <> all[0].artist)
-            AND (spans OR c.decade IS NULL OR all[0].decade IS NULL OR c.decade <> all[0].decade)
-            AND forall(taken, t -> t.artist <> c.artist AND (spans OR c.decade IS NULL OR t.decade IS NULL OR t.decade <> c.decade)),
-            concat(taken, array(c)), taken))"""
-    chosen = lists.select("query_id", F.posexplode(F.expr(fold)).alias("index", "alternate"))
+    chosen = lists.select("query_id", F.posexplode(unlike_each_other("all", "artist", most)).alias("index", "alternate"))
     return chosen.select("query_id", F.col("index").cast("int").alias("index"), "alternate.song_id", scores.alternate_score(F.col("index")).alias("score"))
 
 

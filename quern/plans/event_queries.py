@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import embedders
 from quern.functions import text as T
-from quern.operators import catalog, chat, first_come, retrieval
+from quern.operators import catalog, chat, first_come, mapping, retrieval
 from quern.sources import channel, files
 from quern.streaming import events as X
 from quern.streaming import presence as P
@@ -218,36 +218,53 @@ def embedder(spark, sf_dir):
 # Whole requests
 
 
+KEYWORDS = ["idiot", "gnu", "the license"]
+#: Requests judged and, if let through, answered: a row each.
+ANSWERED = f"""{HEAD.replace("WITH ", "WITH RECURSIVE ", 1)}, {MESSAGES}, {S.REQUESTS},
+    e AS (SELECT request_id, seconds AS s, concat(coalesce(CAST(user_id AS VARCHAR), 'anonymous'), ':', coalesce(ip, 'unknown')) AS key FROM requests), eo AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s, request_id) AS r FROM e),
+    b(key, request_id, s, r, t) AS (SELECT key, request_id, s, r, CAST(2.0 AS DOUBLE) FROM eo WHERE r = 1 UNION ALL SELECT eo.key, eo.request_id, eo.s, eo.r, least(CAST(2.0 AS DOUBLE), (CASE WHEN b.t >= 1 THEN b.t - 1 ELSE b.t END) + (eo.s - b.s) * 0.00001) FROM b JOIN eo ON eo.key = b.key AND eo.r = b.r + 1),
+    judged AS (SELECT q.request_id, user_id, seconds, trim(text) AS text, allow_explicit, CASE WHEN t < 1 THEN 'rate_limited' WHEN length(trim(text)) NOT BETWEEN 1 AND 500 THEN 'validation_error' WHEN regexp_matches(text, '(?i)\\b(idiot|gnu|the license)\\b') THEN 'content_filtered' ELSE 'ok' END AS outcome FROM requests q JOIN b USING (request_id)),
+    l10 AS (SELECT user_id, song_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, message_id DESC) AS nth FROM messages), recent AS (SELECT DISTINCT user_id, song_id, true AS seen FROM l10 WHERE nth <= 10 AND song_id IS NOT NULL), eras AS (SELECT user_id, count(DISTINCT floor(year / 10)) > 1 AS spans FROM l10 JOIN vsongs USING (song_id) WHERE nth <= 3 GROUP BY 1),
+    k AS (SELECT j.*, coalesce(spans, false) AS spans, song_id, rank, similarity, seen, count(*) FILTER (WHERE seen IS NULL) OVER (PARTITION BY request_id) AS rest FROM judged j JOIN ranked ON query_id = request_id AND rank <= 40 AND similarity >= 0 LEFT JOIN recent USING (user_id, song_id) LEFT JOIN eras USING (user_id) WHERE outcome = 'ok'),
+    r AS (SELECT k.*, title, artist, year, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS place, lower(artist) AS who, CAST(floor(year / 10) * 10 AS INT) AS decade FROM k JOIN vsongs USING (song_id) WHERE (seen IS NULL OR rest < 5) AND (allow_explicit OR NOT list_contains(tags, 'Explicit'))),
+    c AS (SELECT request_id, max(CASE WHEN place = 1 THEN similarity END) AS a, max(CASE WHEN place = 2 THEN similarity END) AS b, count(*) AS n FROM r GROUP BY 1), sure AS (SELECT request_id, CASE n WHEN 1 THEN 0.95 ELSE greatest(0.1, least(0.99, 1 / (1 + exp(-5 * (a - b))))) END AS confidence, n FROM c),
+    p AS (SELECT request_id, who AS pa, decade AS pd FROM r WHERE place = 1),
+    a1 AS (SELECT r.*, pa, pd FROM r JOIN p USING (request_id) JOIN sure USING (request_id) WHERE confidence < 0.7 AND place > 1 AND (spans OR who <> pa) AND (spans OR decade IS NULL OR pd IS NULL OR decade <> pd) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY place) = 1),
+    a2 AS (SELECT r.* FROM r JOIN a1 USING (request_id) WHERE r.place > a1.place AND (r.spans OR r.who <> pa) AND (r.spans OR r.decade IS NULL OR pd IS NULL OR r.decade <> pd) AND r.who <> a1.who AND (r.spans OR r.decade IS NULL OR a1.decade IS NULL OR r.decade <> a1.decade) QUALIFY row_number() OVER (PARTITION BY r.request_id ORDER BY r.place) = 1),
+    m AS (SELECT request_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-zA-Z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM judged),
+    answered AS (SELECT j.*, cleaned, r.song_id, r.title, r.artist, r.year, n, confidence, CASE WHEN n > 0 THEN {MOOD_CASE.replace("(t,", "(cleaned,")} END AS mood, a1.song_id AS s1, a1.title AS t1, a1.artist AS w1, a1.year AS y1, a2.song_id AS s2, a2.title AS t2, a2.artist AS w2, a2.year AS y2
+    FROM judged j JOIN m USING (request_id) LEFT JOIN r ON r.request_id = j.request_id AND place = 1 LEFT JOIN sure ON sure.request_id = j.request_id LEFT JOIN a1 ON a1.request_id = j.request_id LEFT JOIN a2 ON a2.request_id = j.request_id)"""
+
+
+def _answered(spark, sf_dir):
+    asked = mapping.judged(S.requests(spark, sf_dir), KEYWORDS, 2.0, 0.00001)
+    vectors_ = S.query_vectors(spark, sf_dir).withColumnRenamed("query_id", "request_id")
+    return mapping.answered(asked, vectors_, S.vector_songs(spark, sf_dir), S.messages(spark, sf_dir))
+
+
 @query(
     "e01_match",
-    f"""{HEAD}, {MESSAGES}, top AS (SELECT query_id, song_id, rank, similarity FROM ranked WHERE rank <= 40 AND similarity >= 0), ok AS (SELECT top.*, title, artist, year FROM top JOIN vsongs USING (song_id) WHERE NOT list_contains(tags, 'Explicit')),
-    rec AS (SELECT DISTINCT user_id AS query_id, song_id, true AS seen FROM (SELECT user_id, song_id FROM messages WHERE song_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, message_id DESC) <= 10)),
-    k AS (SELECT *, count(*) FILTER (WHERE seen IS NULL) OVER (PARTITION BY query_id) AS rest FROM ok LEFT JOIN rec USING (query_id, song_id)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, song_id) AS place, lower(artist) AS who, CAST(floor(year / 10) * 10 AS INT) AS decade FROM k WHERE seen IS NULL OR rest < 5), p AS (SELECT query_id, who AS pa, decade AS pd FROM r WHERE place = 1),
-    a1 AS (SELECT r.*, pa, pd FROM r JOIN p USING (query_id) WHERE place BETWEEN 2 AND 10 AND who <> pa AND (decade IS NULL OR pd IS NULL OR decade <> pd) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place) = 1),
-    a2 AS (SELECT r.* FROM r JOIN a1 USING (query_id) WHERE r.place > a1.place AND r.place <= 10 AND r.who <> pa AND (r.decade IS NULL OR pd IS NULL OR r.decade <> pd) AND r.who <> a1.who AND (r.decade IS NULL OR a1.decade IS NULL OR r.decade <> a1.decade) QUALIFY row_number() OVER (PARTITION BY r.query_id ORDER BY r.place) = 1), c AS (SELECT query_id, max(CASE WHEN place = 1 THEN similarity END) AS a, max(CASE WHEN place = 2 THEN similarity END) AS b, count(*) FILTER (WHERE place <= 10) AS n FROM r GROUP BY 1),
-    m AS (SELECT doc_id AS query_id, {MOOD_CASE.replace("(t,", "(lower(text),")} AS mood, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(trim(text)) > 500 THEN 'too long' END AS problem, regexp_matches(text, '(?i)\\b(idiot|gnu|the license)\\b') AS gated FROM documents)
-    SELECT query_id, r.song_id, r.title, mood, problem, gated, CAST(n AS BIGINT) AS n_matches, round(greatest(0.1, least(0.99, 1 / (1 + exp(-5 * (a - b))))), 6) AS confidence, concat_ws(',', a1.song_id, a2.song_id) AS alternates
-    FROM r JOIN c USING (query_id) JOIN m USING (query_id) LEFT JOIN a1 USING (query_id) LEFT JOIN a2 USING (query_id) WHERE r.place = 1""",
+    f"{ANSWERED} SELECT request_id, cleaned, outcome, CASE outcome WHEN 'ok' THEN 200 WHEN 'rate_limited' THEN 429 ELSE 400 END AS status, CASE outcome WHEN 'rate_limited' THEN 100000 END AS retry_after, song_id, title, mood, CAST(n AS INT) AS n_matches, round(confidence, 6) AS confidence, concat_ws(',', s1 || ':0.8', s2 || ':0.7') AS alternates FROM answered",
 )
 def match(spark, sf_dir):
-    """Text to song: checks of the message, neighbours, explicit and recent filters, confidence, alternates, mood: one plan."""
-    songs, queries = S.vector_songs(spark, sf_dir), S.query_vectors(spark, sf_dir)
-    near = retrieval.knn(retrieval.eligible(songs), queries, 40, keep=("title", "artist", "year", "tags")).withColumn("similarity", 1 - F.col("distance"))
-    clean = near.where((F.col("similarity") >= 0) & ~T.is_explicit(F.col("tags"))).drop("rank", "tags").withColumnRenamed("query_id", "user_id")
-    recent = chat.latest(S.messages(spark, sf_dir).where("song_id IS NOT NULL").select("user_id", "song_id", "created_at", "message_id"), ["user_id"], 10)
-    clean = retrieval.without_recent(clean, recent, 5).withColumnRenamed("user_id", "query_id")
-    ten = retrieval.top_k(clean, 10, ["query_id"], [F.desc("similarity"), F.col("song_id")])
-    sure = retrieval.confidence_by_query(ten, "similarity").select("query_id", "n_matches", F.round("confidence", 6).alias("confidence"))
-    others = retrieval.alternates(ten, F.lit(False)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", "song_id"))).alias("a"))  # two at most
-    others = others.select("query_id", F.array_join(F.transform("a.song_id", lambda i: i.cast("string")), ",").alias("alternates"))
-    text, n = F.col("text"), F.length(F.trim(F.col("text")))
-    asked = S.table(spark, sf_dir, "documents").join(queries, F.col("doc_id") == F.col("query_id"), "left_semi")  # no other text is judged
-    message = asked.select(
-        F.col("doc_id").alias("query_id"), T.mood(text).alias("mood"), F.when(n == 0, "empty").when(n > 500, "too long").alias("problem"), T.matches_keyword(text, ["idiot", "gnu", "the license"]).alias("gated")
-    )
-    full = ten.where("rank = 1").select("query_id", "song_id", "title").join(sure, "query_id").join(message, "query_id").join(others, "query_id", "left")
-    return full.select("query_id", "song_id", "title", "mood", "problem", "gated", "n_matches", "confidence", F.coalesce("alternates", F.lit("")).alias("alternates"))
+    """Texts to songs: limits, checks, neighbours, recent and explicit filters, confidence, alternates with scores, mood."""
+    a = _answered(spark, sf_dir)
+    others = F.array_join(F.transform("alternates", lambda c: F.concat(c["song_id"].cast("string"), F.lit(":"), F.format_number(c["score"].cast("double"), 1))), ",")
+    return a.select("request_id", "cleaned", "outcome", "status", "retry_after", "primary.song_id", "primary.title", "mood", "n_matches", F.round("confidence", 6).alias("confidence"), F.coalesce(others, F.lit("")).alias("alternates"))
+
+
+@query(
+    "e01_k01_stored_messages",
+    f"""{ANSWERED}, one AS (SELECT user_id, text, CAST(to_json({{'primary': {{'title': title, 'artist': artist, 'year': year}}, 'alternates': list_filter([{{'title': t1, 'artist': w1, 'year': y1}}, {{'title': t2, 'artist': w2, 'year': y2}}], lambda x: x.title IS NOT NULL), 'reasoning': mood, 'source': 'api_map'}}) AS VARCHAR) AS scores, make_timestamp(CAST(round(seconds * 1000000) AS BIGINT)) AS created_at FROM answered WHERE outcome = 'ok' AND user_id IS NOT NULL)
+    SELECT room_id, user_id, text, song_id, scores, created_at FROM (SELECT 'lobby' AS room_id, user_id, text, CAST(NULL AS BIGINT) AS song_id, scores, created_at FROM one UNION ALL SELECT room_id, user_id, text, song_id, '{{}}', created_at FROM messages WHERE room_id = 'purchase')""",
+)
+def stored_messages(spark, sf_dir):
+    """The messages that answered requests leave, appended to a stored table, and the table read back."""
+    path = files.scratch(spark, "messages")
+    had = S.messages(spark, sf_dir).where("room_id = 'purchase'").select("user_id", "room_id", "text", "song_id", F.lit("{}").alias("scores"), F.col("created_at").cast("timestamp").alias("created_at"))
+    had.write.parquet(path)
+    mapping.stored_messages(_answered(spark, sf_dir), "lobby").write.mode("append").parquet(path)
+    return spark.read.schema(mapping.MESSAGE).parquet(path).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @query(

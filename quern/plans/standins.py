@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Requests of e01: a message for each query vector, some of them blank, too long or with a blocked word.
+_REQUEST = {
+    "request_id": "event_id",
+    "user_id": "CASE WHEN event_id % 450 <> 400 THEN event_id % 500 % 150 / 50 + floor(event_id / 500) * 3 END",
+    "ip": "CASE WHEN event_id % 350 <> 300 THEN concat('10.0.0.', CAST(event_id % 2 AS {str})) END",
+    "text": "CASE WHEN event_id % 700 = 150 THEN '   ' WHEN event_id % 800 = 350 THEN repeat(props, 60) WHEN event_id % 600 = 250 THEN concat('you IDIOT, ', props) WHEN event_id % 100 = 0 THEN concat('  So happy: ', event_type, '! ', props, ' ') ELSE concat(event_type, ' ', props) END",
+    "allow_explicit": "event_id % 4 = 0",
+}
 #: Columns both engines compute alike from part.
 _SONG = {
     "song_id": "p_partkey",
@@ -49,6 +57,7 @@ _TAGS = {"spark": "array(lower(p_type), split(p_name, ' ')[0], CASE WHEN p_size
 SONGS = f"songs AS (SELECT {_sql(_SONG, 'VARCHAR')}, {_TAGS['duck']} AS tags FROM part)"
 VECTOR_SONGS = f"vsongs AS (SELECT {_sql(_SONG, 'VARCHAR')}, {_TAGS['duck']} AS tags, CAST(embedding AS DOUBLE[]) AS embedding, label FROM part LEFT JOIN embeddings ON p_partkey = vec_id)"
 MESSAGES = f"messages AS (SELECT {_sql(_MESSAGE, 'VARCHAR')} FROM events)"
+REQUESTS = f"requests AS (SELECT {_sql(_REQUEST, 'VARCHAR').replace(' END AS user_id', ' END::BIGINT AS user_id')}, epoch_us(ts) / 1000000.0 AS seconds FROM events WHERE event_id IN (SELECT query_id FROM queries))"
 REACTIONS = "reactions AS (SELECT event_id // 10 AS message_id, event_type AS emoji, user_id, min(ts) AS created_at FROM events GROUP BY 1, 2, 3)"
 USERS = "users AS (SELECT c_custkey AS user_id, CAST(floor(c_acctbal / 500) AS BIGINT) AS ip_hash, TIMESTAMP '2023-01-01' + to_days(CAST(c_custkey % 300 AS INT)) AS joined_at FROM customer)"
 QUERY_VECTORS = "queries AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0)"
@@ -68,6 +77,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*(f"{e.format(str='STRING')} AS {c}" for c, e in _MESSAGE.items()))
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0)).alias("seconds")
+    rows = table(spark, sf_dir, "events").select(*(F.expr(f"{e.format(str='STRING')} AS {c}") for c, e in _REQUEST.items()), seconds)
+    return rows.withColumn("user_id", F.col("user_id").cast("long")).join(query_vectors(spark, sf_dir).select(F.col("query_id").alias("request_id")), "request_id", "left_semi")
+
+
 def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.expr("event_id div 10").alias("message_id"), F.col("event_type").alias("emoji"), "user_id").agg(F.min("ts").alias("created_at"))
 
