@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +84,12 @@ def share_of_total(rows: DataFrame, by: list[str]) -> DataFrame:
 def coverage(rows: DataFrame, column: str, *more: Column) -> DataFrame:
     """One row: all rows, those with the column, their percentage, and further aggregates."""
     return rows.agg(F.count("*").alias("total"), F.count(column).alias("covered"), F.round(F.count(column) * 100.0 / F.count("*"), 1).cast("double").alias("percent"), *more)
+
+
+def sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n_rows, n_files, bytes of tables read from files; rows by a count that reads no column, bytes of the files that hold rows."""
+    parts = []
+    for name, table in tables.items():
+        by_file = table.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("n"))
+        parts.append(by_file.agg(F.lit(name).alias("name"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")))
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -32,6 +32,20 @@ def page_before(messages: DataFrame, before: tuple | None, n: int) -> DataFrame:
     )
 
 
+def connection_list(joins: DataFrame, viewer: int) -> DataFrame:
+    """A row for each member of a room: place (the viewer first, then by joined_at and id), who (the id, masked), connections, the room's users and all_connections.
+
+    ``joins``: room_id, user_id, ts, a row for each connection made. Members are
+    counted by room and user before anything is ordered. A room's places are given
+    in one task, a narrow row a member.
+    """
+    members = joins.where("room_id IS NOT NULL AND user_id IS NOT NULL").groupBy("room_id", "user_id").agg(F.min("ts").alias("joined_at"), F.max("ts").alias("active_at"), F.count("*").alias("connections"))
+    totals = members.groupBy("room_id").agg(F.count("*").alias("users"), F.sum("connections").alias("all_connections"))
+    place = F.row_number().over(Window.partitionBy("room_id").orderBy(F.desc(F.col("user_id") == viewer), "joined_at", "user_id"))
+    placed = members.withColumn("place", place).withColumn("who", F.concat(F.substring(F.col("user_id").cast("string"), 1, 8), F.lit("...")))
+    return placed.join(totals, "room_id").select("room_id", "users", "all_connections", "place", "who", "connections", "joined_at", "active_at")
+
+
 def grouped_reactions(reactions: DataFrame, viewer: int) -> DataFrame:
     """message_id, emoji, n, users (by time), has_reacted."""
     return reactions.groupBy("message_id", "emoji").agg(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import embedders
 from quern.functions import text as T
 from quern.operators import catalog, chat, first_come, mapping, retrieval
-from quern.sources import channel, files
+from quern.sources import channel, files, paged_stream
 from quern.streaming import events as X
 from quern.streaming import presence as P
 from quern.streaming import rate_limit
@@ -186,17 +187,56 @@ def paged_source(spark, sf_dir):
     return ids.join(S.songs(spark, sf_dir).select("song_id", "title"), "song_id").select("song_id", "title", "page")
 
 
+@query(
+    "s08_s09_planned_stream",
+    f"WITH {SONGS} SELECT artist, song_id, title, CAST((row_number() OVER (PARTITION BY artist ORDER BY song_id) - 1) // 20 AS INT) AS page FROM songs QUALIFY row_number() OVER (PARTITION BY artist ORDER BY song_id) <= 250",
+)
+def planned_stream(spark, sf_dir):
+    """Songs of each artist by pages of 20, 250 an artist at most, from a recorded service: a stream read to its end."""
+    import json
+
+    import pyarrow.parquet
+
+    recorded, size = files.scratch(spark, "recorded"), 20
+    songs = S.songs(spark, sf_dir).select("song_id", "title", "artist")
+    n = F.row_number().over(Window.partitionBy("artist").orderBy("song_id")) - 1
+    pages = songs.withColumn("offset", F.floor(n / size) * size).groupBy("artist", "offset").agg(F.array_sort(F.collect_list(F.struct("song_id", "title"))).alias("results"))  # ``size`` rows each
+    pages.select("artist", "offset", F.to_json(F.struct("results")).alias("body")).write.parquet(recorded)
+    artists = [r[0] for r in spark.read.parquet(recorded).select("artist").distinct().orderBy("artist").limit(paged_stream.MAX_SUBJECTS + 1).collect()]
+
+    def fetch(artist: str, offset: int, limit: int) -> str:
+        fs, path = paged_stream.located(recorded)
+        found = pyarrow.parquet.read_table(path, filesystem=fs, columns=["body"], filters=[("artist", "=", artist), ("offset", "=", offset)])["body"].to_pylist()
+        return json.dumps({"results": json.loads(found[0])["results"][:limit] if found else []})
+
+    spark.dataSource.register(paged_stream.planned_pages("recorded_artists", fetch, artists))
+    options = {"state": files.scratch(spark, "state"), "pageSize": size, "perSubject": 250, "pagesPerBatch": 100_000, "tasks": 8, "intervalMs": 0}
+    out = files.scratch(spark, "pages")
+    rows = spark.readStream.format("recorded_artists").options(**options).load()
+    stream = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", files.scratch(spark, "stream")).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    back = spark.read.schema("subject string, page int, row string").parquet(out)
+    return back.select(F.col("subject").alias("artist"), F.get_json_object("row", "$.song_id").cast("long").alias("song_id"), F.get_json_object("row", "$.title").alias("title"), "page")
+
+
 SCANNED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
-@query("s12_catalog_scan", f"SELECT table_name AS name, count(*) AS columns, string_agg(column_name, ',' ORDER BY ordinal_position) AS names FROM (SELECT DISTINCT table_name, column_name, ordinal_position FROM information_schema.columns WHERE table_name IN ({', '.join(map(repr, SCANNED))})) GROUP BY 1")
+@query("s12_catalog_scan", f"WITH c AS (SELECT table_name AS name, count(*) AS columns, string_agg(column_name, ',' ORDER BY ordinal_position) AS names FROM (SELECT DISTINCT table_name, column_name, ordinal_position FROM information_schema.columns WHERE table_name IN ({', '.join(map(repr, SCANNED))})) GROUP BY 1), n AS ({' UNION ALL '.join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in SCANNED)}) SELECT name, columns, names, n > 0 AS has_rows, true AS has_bytes, CAST(row_number() OVER (ORDER BY n DESC, name) AS INT) AS by_rows FROM c JOIN n USING (name)")
 def catalog_scan(spark, sf_dir):
-    """What the session's catalog says of the tables: a row for each, from metadata alone."""
+    """What the session's catalog says of the tables, with the sizes of their files and their rows by the files' footers."""
     for name in SCANNED:
         S.table(spark, sf_dir, name).createOrReplaceTempView(f"scanned_{name}")
-    names = sorted(t.name for t in spark.catalog.listTables() if t.name.startswith("scanned_"))
-    columns = {name: [c.name for c in spark.catalog.listColumns(name)] for name in names}
-    return spark.createDataFrame([(n.removeprefix("scanned_"), len(c), ",".join(c)) for n, c in columns.items()], "name string, columns long, names string")
+    try:
+        names = sorted(t.name for t in spark.catalog.listTables() if t.name.startswith("scanned_"))
+        columns = {name: [c.name for c in spark.catalog.listColumns(name)] for name in names}
+    finally:
+        for name in SCANNED:
+            spark.catalog.dropTempView(f"scanned_{name}")
+    known = spark.createDataFrame([(n.removeprefix("scanned_"), len(c), ",".join(c)) for n, c in columns.items()], "name string, columns long, names string")
+    sized = catalog.sizes({name: S.table(spark, sf_dir, name) for name in SCANNED})
+    place = F.row_number().over(Window.orderBy(F.desc("n_rows"), "name"))  # a row a table
+    return known.join(sized, "name").select("name", "columns", "names", (F.col("n_rows") > 0).alias("has_rows"), (F.col("bytes") > 0).alias("has_bytes"), place.alias("by_rows"))
 
 
 #: Sums of signed words by the hash of each, as HashEmbedder(16) makes them.
@@ -281,10 +321,15 @@ def room_page(spark, sf_dir):
     return full.select("message_id", "ip_hash", "title", F.coalesce("n", F.lit(0)).alias("n_reactions"), F.coalesce("reactions", F.lit("")).alias("reactions"), "has_more", "oldest_id")
 
 
-@query("e05_connection_list", f"WITH {MESSAGES} SELECT room_id, count(DISTINCT message_id % 40) AS connections, count(DISTINCT user_id) AS users, round(count(DISTINCT user_id) / count(DISTINCT message_id % 40), 4) AS per_connection FROM messages GROUP BY 1")
+@query(
+    "e05_connection_list",
+    f"""WITH {MESSAGES}, {USERS}, {ACTIONS}, m AS (SELECT room_id, user_id, min(ts) AS joined_at, max(ts) AS active_at, count(*) AS connections FROM actions WHERE action <> 'leave' GROUP BY 1, 2),
+    t AS (SELECT room_id, count(*) AS users, CAST(sum(connections) AS BIGINT) AS all_connections FROM m GROUP BY 1)
+    SELECT m.room_id, users, all_connections, CAST(row_number() OVER (PARTITION BY m.room_id ORDER BY (m.user_id = 7) DESC, joined_at, m.user_id) AS INT) AS place, concat(substr(CAST(m.user_id AS VARCHAR), 1, 8), '...') AS who, connections, joined_at, active_at FROM m JOIN t USING (room_id)""",
+)
 def connection_list(spark, sf_dir):
-    g = S.messages(spark, sf_dir).groupBy("room_id").agg(F.countDistinct(F.col("message_id") % 40).alias("connections"), F.countDistinct("user_id").alias("users"))
-    return g.withColumn("per_connection", F.round(F.col("users") / F.col("connections"), 4))
+    """Each room's members as user 7 sees them: oneself first, then by time of joining; ids masked; with the room's totals."""
+    return chat.connection_list(_actions(spark, sf_dir).where("action <> 'leave'"), 7)
 
 
 @query("e07_catalog_report", f"WITH {S.VECTOR_SONGS} SELECT 'songs' AS metric, CAST(count(*) AS DOUBLE) AS value FROM vsongs UNION ALL SELECT 'vector coverage', CAST(round(100.0 * count(embedding) / count(*), 1) AS DOUBLE) FROM vsongs UNION ALL SELECT 'artists', CAST(count(DISTINCT artist) AS DOUBLE) FROM vsongs UNION ALL SELECT 'placeholders', CAST(count(*) FILTER (WHERE is_placeholder) AS DOUBLE) FROM vsongs UNION ALL SELECT 'without year', CAST(count(*) FILTER (WHERE year IS NULL) AS DOUBLE) FROM vsongs UNION ALL SELECT 'duplicates', CAST(count(*) AS DOUBLE) FROM (SELECT title FROM vsongs GROUP BY title, artist HAVING count(*) > 1) UNION ALL SELECT concat('source ', source), CAST(count(*) AS DOUBLE) FROM vsongs GROUP BY source UNION ALL SELECT concat('share of ', source), CAST(round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS DOUBLE) FROM vsongs GROUP BY source UNION ALL SELECT CASE WHEN year IS NULL THEN 'Unknown' ELSE concat(CAST(CAST(floor(year / 10) * 10 AS INT) AS VARCHAR), 's') END, CAST(count(*) AS DOUBLE) FROM vsongs GROUP BY 1 UNION ALL SELECT concat('tag ', tag), CAST(count(*) AS DOUBLE) FROM (SELECT unnest(tags) AS tag FROM vsongs) GROUP BY 1")
