@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import embedders
 from quern.functions import text as T
 from quern.operators import catalog, chat, first_come, mapping, retrieval
-from quern.sources import channel, files, paged_stream
+from quern.sources import channel, files, keyed_table, paged_stream
 from quern.streaming import events as X
 from quern.streaming import presence as P
 from quern.streaming import rate_limit
@@ -219,6 +219,24 @@ def planned_stream(spark, sf_dir):
     return back.select(F.col("subject").alias("artist"), F.get_json_object("row", "$.song_id").cast("long").alias("song_id"), F.get_json_object("row", "$.title").alias("title"), "page")
 
 
+@query(
+    "k01_k06_k09_versioned_table",
+    f"""WITH {SONGS}, had AS (SELECT song_id, title, year, popularity FROM songs WHERE source <> 'radio'), a AS (SELECT song_id, title, year, popularity FROM had UNION ALL SELECT song_id, concat('new ', title), year, popularity FROM songs WHERE song_id % 5 = 0 AND source = 'radio'),
+    b AS (SELECT a.song_id, CASE WHEN s.source = 'manual' AND s.song_id % 4 = 1 THEN upper(s.title) ELSE a.title END AS title, a.year, CASE WHEN s.song_id % 9 = 2 THEN 100 - a.popularity ELSE a.popularity END AS popularity FROM a JOIN songs s USING (song_id)) SELECT song_id, title, year, popularity, 5 AS version FROM b WHERE song_id % 50 <> 7""",
+)
+def versioned_table(spark, sf_dir):
+    """Inserts that ignore known keys, upserts, bulk updates and deletes on a stored table that rewrites touched buckets only."""
+    songs = S.songs(spark, sf_dir)
+    columns = ["song_id", "title", "year", "popularity"]
+    table = keyed_table.KeyedTable(spark, files.scratch(spark, "songs"))
+    table.create(songs.where("source <> 'radio'").select(*columns), ["song_id"], 16)
+    table.insert_ignore(songs.where("song_id % 5 = 0").select("song_id", F.concat(F.lit("new "), "title").alias("title"), "year", "popularity"))
+    table.upsert(songs.where("source = 'manual' AND song_id % 4 = 1").select("song_id", F.upper("title").alias("title")))
+    table.update(songs.where("song_id % 9 = 2").select("song_id", (100 - F.col("popularity")).alias("popularity")))
+    last = table.delete(songs.where("song_id % 50 = 7").select("song_id"))
+    return table.read().withColumn("version", F.lit(last))
+
+
 SCANNED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
