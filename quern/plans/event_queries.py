@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import embedders
 from quern.functions import text as T
-from quern.operators import catalog, chat, first_come, mapping, retrieval
+from quern.operators import backfill, catalog, chat, first_come, mapping, retrieval
 from quern.sources import channel, files, keyed_table, paged_stream
 from quern.streaming import events as X
 from quern.streaming import presence as P
@@ -273,6 +273,24 @@ def embedder(spark, sf_dir):
     return placed.select("song_id", "dims", (F.col("at") + 1).cast("long").alias("place"), F.round(F.col("x").cast("double"), 5).alias("value"))
 
 
+@query(
+    "j10_t12_k05_backfill",
+    f"WITH {SONGS}, e AS (SELECT song_id, {WORD_SUMS} AS v FROM songs WHERE song_id % 3 <> 0), n AS (SELECT song_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM e) SELECT song_id, unnest(range(1, 17)) AS place, round(CASE WHEN l > 0 THEN unnest(v) / l ELSE 0.0 END, 5)::DOUBLE AS value FROM n UNION ALL SELECT song_id, 1, 0.5 FROM songs WHERE song_id % 3 = 0",
+)
+def backfill_vectors(spark, sf_dir):
+    """Vectors of the songs of a stored table that lack them: a run that stops after a group of buckets, and one that goes on."""
+    rows = S.songs(spark, sf_dir).select("song_id", "title", F.when(F.col("song_id") % 3 == 0, F.array(F.lit(0.5))).alias("vector"))
+    table = keyed_table.KeyedTable(spark, files.scratch(spark, "vectors"))
+    table.create(rows, ["song_id"], 8)
+
+    def fill(lacking):
+        return lacking.select("song_id", embedders.embedding(F.col("title"), embedders.HashEmbedder(16)).cast("array<double>").alias("vector"))
+
+    backfill.backfilled(table, F.col("vector").isNull(), fill, 4, 1)
+    backfill.backfilled(table, F.col("vector").isNull(), fill, 4)
+    return table.read().select("song_id", F.posexplode("vector").alias("at", "x")).select("song_id", (F.col("at") + 1).cast("long").alias("place"), F.round("x", 5).alias("value"))
+
+
 # Whole requests
 
 

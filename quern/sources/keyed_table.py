@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,9 +103,10 @@ class KeyedTable:
         folder = f"data/{uuid.uuid4().hex}"
         return self._commit(meta | {"folders": self._written(self._dealt(one, meta), meta, folder)}, 1, [folder])
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def read(self, version: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The rows of a version, the newest by default; of some buckets only, if named."""
         m = self.manifest(version)
-        return self._rows(m, list(m["folders"])).drop(BUCKET)
+        return self._rows(m, list(m["folders"]) if buckets is None else [str(b) for b in buckets]).drop(BUCKET)
 
     def insert_ignore(self, rows: DataFrame, order: str | None = None, since: int | None = None) -> int:
         """Add the rows whose keys the table lacks. ``since``: the version the change was made for, the newest by default."""

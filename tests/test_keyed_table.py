@@ -5,7 +5,9 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from quern.operators.backfill import backfilled
 from quern.sources.keyed_table import Conflict, KeyedTable
 
 SCHEMA = "id long, name string, n int"
@@ -84,3 +86,35 @@ def test_empty_tables_and_changes(spark, tmp_path):
     assert state(t) == {1: ("c", None)}  # nulls come first
     t.delete(spark.createDataFrame([(1,)], "id long"))
     assert state(t) == {} and t.version() == 3
+
+
+def test_backfill_stops_anywhere_and_fills_no_row_twice(spark, tmp_path):
+    asked = str(tmp_path / "asked")
+    t = made(spark, tmp_path, [(i, None if i % 4 else "had", i) for i in range(60)])
+
+    @F.udf("string")
+    def name(i, broken):
+        if broken and i > 30:
+            raise ValueError("service broke")
+        with open(asked, "a") as f:
+            f.write(f"{i}\n")
+        return None if i == 7 else f"made {i}"
+
+    def fill(broken):
+        return lambda rows: rows.select("id", name("id", F.lit(broken)).alias("name"))
+
+    lacking = F.col("name").isNull()
+    assert backfilled(t, lacking, fill(False), 2, most=1) == 1
+    first = {int(i) for i in open(asked)}
+    with pytest.raises(Exception):
+        backfilled(t, lacking, fill(True), 2)
+    assert t.version() == 2
+    open(asked, "w").close()
+    assert backfilled(t, lacking, fill(False), 2) == 3 + (7 in first)  # row 7 got nothing
+    again = [int(i) for i in open(asked)]
+    assert len(again) == len(set(again)) and set(again) == {i for i in range(60) if i % 4} - (first - {7})
+    want = {i: ("had" if i % 4 == 0 else None if i == 7 else f"made {i}", i) for i in range(60)}
+    assert state(t) == want
+    open(asked, "w").close()
+    assert backfilled(t, lacking, fill(False), 2) == 1 and open(asked).read() == "7\n"  # the one that got nothing
+    assert state(t) == want
