@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from quern.functions import scores
 from quern.functions import text as T
 from quern.operators import chat, retrieval
+from quern.sources.files import stored
 from quern.streaming import rate_limit
 
 MAX_TEXT, MATCHES, KEEP, RECENT, PICKS, FALLBACK = 500, 40, 5, 10, 3, 3
@@ -47,7 +48,7 @@ def judged(requests: DataFrame, keywords: list[str], capacity: float = rate_limi
     n = F.length("text")
     outcome = F.when(~F.col("allowed"), "rate_limited").when((n == 0) | (n > MAX_TEXT), "validation_error").when(T.matches_keyword(F.col("text"), keywords), "content_filtered").otherwise("ok")
     wait = F.when(~F.col("allowed"), F.lit(math.ceil(1 / rate)))
-    return both.withColumns({"outcome": outcome, "retry_after": wait, "cleaned": T.clean_text(F.col("text"))}).drop("allowed")
+    return stored(both.withColumns({"outcome": outcome, "retry_after": wait, "cleaned": T.clean_text(F.col("text"))}).drop("allowed"), "judged")
 
 
 def history(messages: DataFrame, songs: DataFrame, users: DataFrame) -> DataFrame:
