@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.vectors import unit
 from quern.operators import retrieval
 
 #: Most lists, and most numbers in the sample that centroids are fitted on.
@@ -38,11 +39,6 @@ ROWS_PER_FILE = 1_000_000
 NAMED_LISTS = 500
 
 
-def unit(m: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
 
@@ -143,7 +139,7 @@ class InvertedLists:
         as there are lists makes the result exact.
         """
         probes = max(1, min(len(self.centroids), probes or self.probes))
-        return retrieval.nearest(lambda block: self._probed(block, k, probes, id_col), queries, k, id_col)
+        return retrieval.nearest(lambda block: self._probed(block, k, probes, id_col), retrieval.query_blocks(queries), k, id_col)
 
     def _probed(self, queries: DataFrame, k: int, probes: int, id_col: str) -> DataFrame:
         asked = queries.where("query_vector IS NOT NULL").select("query_id", F.col("query_vector").cast("array<double>")).collect()  # MAX_QUERIES at most

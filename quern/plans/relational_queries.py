@@ -187,8 +187,8 @@ def _cases(spark, sf_dir):
     from quern.operators import retrieval
 
     songs = S.vector_songs(spark, sf_dir).where("embedding IS NOT NULL")
-    near = retrieval.scored(songs.select("song_id", "embedding", "label"), S.query_vectors(spark, sf_dir)).where("song_id <> query_id")
-    top = retrieval.top_k(near, 10, ["query_id"], [F.col("distance"), F.col("song_id")])
+    near = retrieval.knn(songs, S.query_vectors(spark, sf_dir), 11, keep=("label",)).where("song_id <> query_id")  # one more, as a query may find itself
+    top = retrieval.top_k(near.drop("rank"), 10, ["query_id"], [F.col("distance"), F.col("song_id")])
     want = S.table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("want"))
     return top.join(want, "query_id").select("query_id", "song_id", F.col("rank").alias("pos"), (F.col("label") == F.col("want")).alias("hit"), (1 - F.col("distance")).alias("sim"))
 

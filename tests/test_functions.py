@@ -194,3 +194,34 @@ def test_many_queries_are_searched_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "MAX_QUERIES", 4)
     assert len(retrieval.query_blocks(q)) == 5
     assert [take(f()) for f in calls] == at_once
+
+
+def test_copies_tie_to_the_last_bit(spark):
+    """A vector and its copies have similarity 1 exactly, in expressions and in tasks, so ids decide; null vectors give null."""
+    rng = np.random.default_rng(11)
+    base = [rng.normal(size=64).astype(np.float32).tolist() for _ in range(40)]
+    songs = spark.createDataFrame([(i, base[i % 40]) for i in range(399, -1, -1)], "song_id long, embedding array<float>").repartition(7)
+    q = spark.createDataFrame([(i, base[i]) for i in range(40)], "query_id long, query_vector array<float>")
+    both = songs.where("song_id < 40").join(q, F.expr("song_id = query_id")).select(vectors.cosine("embedding", "query_vector").alias("c"), vectors.cosine("embedding", F.lit(None).cast("array<double>")).alias("none"))
+    assert {(r.c, r.none) for r in both.collect()} == {(1.0, None)}
+    near = retrieval.knn(songs, q, 10).collect()
+    assert sorted((r.query_id, r["rank"], r.song_id, r.distance) for r in near) == [(i, n + 1, i + 40 * n, 0.0) for i in range(40) for n in range(10)]
+
+
+def test_tiles_give_what_pairs_give(spark, monkeypatch):
+    """Any metric, in tiles of any size, with few rows, ties, NaN, zero and null vectors, columns kept, ids of their own types."""
+    monkeypatch.setattr(retrieval, "TILE", 64)
+    monkeypatch.setattr(retrieval, "TILE_ROWS", 16)
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist(), f"t{i}") for i in range(200)] + [(200, None, "none"), (201, [0.0] * 4, "zero"), (202, [float("nan")] * 4, "nan")]
+    songs = spark.createDataFrame(rows, "song_id int, embedding array<double>, title string").repartition(3)
+    q = spark.createDataFrame([(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(9)] + [(9, None)], "query_id int, query_vector array<double>")
+    for metric in ("cosine", "euclidean", "dot"):
+        pairs = songs.where("embedding IS NOT NULL").join(q.where("query_vector IS NOT NULL")).withColumn("distance", vectors.distance("embedding", "query_vector", metric))
+        for k in (7, 300):
+            take = lambda df: sorted((r.query_id, r["rank"], r.song_id, r.title, repr(r.distance)) for r in df.collect())
+            got = retrieval.knn(songs, q, k, metric, keep=("title",))
+            assert take(got) == take(retrieval.top_k(pairs, k, ["query_id"], [F.col("distance"), F.col("song_id")]))
+            assert got.schema["song_id"].dataType == got.schema["query_id"].dataType == songs.schema["song_id"].dataType
+    with pytest.raises(Exception, match="expected vectors of 4 dimensions"):
+        retrieval.knn(spark.createDataFrame([(1, [1.0])], "song_id int, embedding array<double>"), q, 3).collect()
