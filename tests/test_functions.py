@@ -225,3 +225,14 @@ def test_tiles_give_what_pairs_give(spark, monkeypatch):
             assert got.schema["song_id"].dataType == got.schema["query_id"].dataType == songs.schema["song_id"].dataType
     with pytest.raises(Exception, match="expected vectors of 4 dimensions"):
         retrieval.knn(spark.createDataFrame([(1, [1.0])], "song_id int, embedding array<double>"), q, 3).collect()
+
+
+def test_matrix_of_all_pairs(spark):
+    """Tiles in tasks give every pair, null vectors too."""
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0, -float(i)]) for i in range(500)] + [(500, None)], "id int, vector array<double>").repartition(3)
+    for others in (v.where("id % 50 = 0"), v.where("id = 500"), v.limit(0)):
+        want = v.join(others.select(F.col("id").alias("b_id"), F.col("vector").alias("b"))).select("id", "b_id", vectors.cosine("vector", "b").alias("c"))
+        take = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
+        plan = retrieval.similarity_matrix(v, others)
+        assert take(plan) == take(want.select("id", "b_id", (1 - (1 - F.col("c"))).alias("c")))
+        assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
