@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions import embedders, scores, vectors
 from quern.functions import text as T
 from quern.operators import catalog, chat, retrieval
+from quern.sources import files
 
 
 def one(spark, *columns):
@@ -236,3 +237,13 @@ def test_matrix_of_all_pairs(spark):
         plan = retrieval.similarity_matrix(v, others)
         assert take(plan) == take(want.select("id", "b_id", (1 - (1 - F.col("c"))).alias("c")))
         assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapshot_of_several_objects(spark, monkeypatch):
+    """Objects that one task writes are all read back."""
+    monkeypatch.setattr(files, "SNAPSHOT_ROWS", 10)
+    path = files.scratch(spark, "snapshot")
+    files.write_snapshot(spark.range(95).coalesce(1).withColumnRenamed("id", "song_id"), path, "2024-01-31T00:00:00Z")
+    back = files.read_json_array(spark, path, "timestamp string, count long, songs array<struct<song_id: long>>").collect()
+    assert sorted(r["count"] for r in back) == [5] + [10] * 9
+    assert sorted(s.song_id for r in back for s in r.songs) == list(range(95))
