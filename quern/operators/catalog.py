@@ -23,9 +23,9 @@ def capped(rows: DataFrame, per_artist: int = 50, per_album: int = 25, order: st
     return kept.withColumn("in_artist", F.row_number().over(Window.partitionBy("artist").orderBy(order))).where(F.col("in_artist") <= per_artist).drop("in_artist")
 
 
-def first_by(rows: DataFrame, keys: list[str], order: str = "arrival") -> DataFrame:
-    """The row of each key that came first: a minimum per key, combined before the shuffle."""
-    first = rows.groupBy(*keys).agg(F.min_by(F.struct("*"), order).alias("first"))
+def first_by(rows: DataFrame, keys: list[str], order: str = "arrival", tie: str = "song_id") -> DataFrame:
+    """The row of each key that came first, ties by id: a minimum per key, combined before the shuffle."""
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct("*"), F.struct(order, tie)).alias("first"))
     return first.select("first.*")
 
 
