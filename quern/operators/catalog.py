@@ -16,11 +16,11 @@ def quality_split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
 
 
-def capped(rows: DataFrame, per_artist: int = 50, per_album: int = 25, order: str = "arrival") -> DataFrame:
-    """At most so many rows of an artist's album, then of an artist, in order of arrival; rows without album escape the first."""
-    album = Window.partitionBy("artist", "album").orderBy(order)
+def capped(rows: DataFrame, per_artist: int = 50, per_album: int = 25, order: str = "arrival", tie: str = "song_id") -> DataFrame:
+    """At most so many rows of an artist's album, then of an artist, in order of arrival, ties by id; rows without album escape the first."""
+    album = Window.partitionBy("artist", "album").orderBy(order, tie)
     kept = rows.withColumn("in_album", F.row_number().over(album)).where(F.col("album").isNull() | (F.col("in_album") <= per_album)).drop("in_album")
-    return kept.withColumn("in_artist", F.row_number().over(Window.partitionBy("artist").orderBy(order))).where(F.col("in_artist") <= per_artist).drop("in_artist")
+    return kept.withColumn("in_artist", F.row_number().over(Window.partitionBy("artist").orderBy(order, tie))).where(F.col("in_artist") <= per_artist).drop("in_artist")
 
 
 def first_by(rows: DataFrame, keys: list[str], order: str = "arrival", tie: str = "song_id") -> DataFrame:

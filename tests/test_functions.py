@@ -247,3 +247,9 @@ def test_snapshot_of_several_objects(spark, monkeypatch):
     back = files.read_json_array(spark, path, "timestamp string, count long, songs array<struct<song_id: long>>").collect()
     assert sorted(r["count"] for r in back) == [5] + [10] * 9
     assert sorted(s.song_id for r in back for s in r.songs) == list(range(95))
+
+
+def test_rows_that_arrive_at_once_go_by_id(spark):
+    rows = spark.createDataFrame([(i, "a", "x", "t", i % 2) for i in range(9, -1, -1)], "song_id int, artist string, album string, title string, arrival int").repartition(4)
+    assert sorted(r.song_id for r in catalog.capped(rows, 7, 9).collect()) == [0, 1, 2, 3, 4, 6, 8]
+    assert [r.song_id for r in catalog.first_by(rows, ["title", "artist"]).collect()] == [0]
