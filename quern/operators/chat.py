@@ -62,21 +62,23 @@ def folded_reactions(events: DataFrame) -> DataFrame:
 
 
 def _climbed(parents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """message_id, root_id, depth by pointer doubling; and the message_ids that walk into a cycle, if any.
+    """message_id, root_id, depth by pointer doubling, of the messages whose walk ends; and the message_ids that walk into a cycle, if any.
 
     A round ends the walks of up to twice as many steps. While walks to a root
     are left, some of them end in each round: those that are left when none does
-    go round in cycles.
+    go round in cycles. Walks that ended stay as they were written; a round moves
+    the others only.
     """
     at = parents.select("message_id", F.coalesce("parent", "message_id").alias("root_id"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
-    before = None
+    done, walking, before = at.where("depth = 0"), at.where("depth > 0"), None
     while True:
-        up = at.where("depth > 0").select(F.col("message_id").alias("root_id"), F.col("root_id").alias("next"), F.col("depth").alias("more"))
-        moved = stored(at.join(up, "root_id", "left"), "threads")
-        at = moved.select("message_id", F.coalesce("next", "root_id").alias("root_id"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        left = moved.where("more > 0").count()
+        up = done.where("depth > 0").unionByName(walking).select(F.col("message_id").alias("root_id"), F.col("root_id").alias("next"), F.col("depth").alias("more"))
+        moved = stored(walking.join(up, "root_id", "left"), "threads")
+        at = moved.select("message_id", F.coalesce("next", "root_id").alias("root_id"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), "more")
+        done, walking = done.unionByName(at.where("more IS NULL").drop("more")), at.where("more > 0").drop("more")
+        left = walking.count()
         if not left or left == before:
-            return at, moved.where("more > 0").select("message_id") if left else None
+            return done, walking.select("message_id") if left else None
         before = left
 
 
@@ -105,9 +107,10 @@ def thread_roots(messages: DataFrame) -> DataFrame:
     parents = stored(linked.select(F.col("m.message_id").alias("message_id"), F.col("p").alias("parent")), "threads")
     at, circling = _climbed(parents)
     if circling is not None:
-        tops = _cycle_members(stored(parents.join(circling, "message_id"), "threads")).withColumn("top", F.lit(True))
-        cut = parents.join(tops, "message_id", "left").select("message_id", F.when(F.col("top").isNull(), F.col("parent")).alias("parent"))
-        at, _ = _climbed(stored(cut, "threads"))
+        links = stored(parents.join(circling, "message_id"), "threads")  # a walk into a cycle meets no others
+        tops = _cycle_members(links).withColumn("top", F.lit(True))
+        cut = links.join(tops, "message_id", "left").select("message_id", F.when(F.col("top").isNull(), F.col("parent")).alias("parent"))
+        at = at.unionByName(_climbed(stored(cut, "threads"))[0])
     return at
 
 

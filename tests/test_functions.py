@@ -253,3 +253,14 @@ def test_rows_that_arrive_at_once_go_by_id(spark):
     rows = spark.createDataFrame([(i, "a", "x", "t", i % 2) for i in range(9, -1, -1)], "song_id int, artist string, album string, title string, arrival int").repartition(4)
     assert sorted(r.song_id for r in catalog.capped(rows, 7, 9).collect()) == [0, 1, 2, 3, 4, 6, 8]
     assert [r.song_id for r in catalog.first_by(rows, ["title", "artist"]).collect()] == [0]
+
+
+def test_ended_walks_are_not_moved_again(spark, monkeypatch):
+    """What the rounds write: walks that ended stay as they are, and only those into a cycle are walked again."""
+    written = []
+    monkeypatch.setattr(chat, "stored", lambda df, what: (written.append(out := files.stored(df, what)), out)[1])
+    parent = lambda i: 7 if i == 5 else i - 1 if i % 120 else None
+    out = chat.thread_roots(spark.createDataFrame([(i, parent(i)) for i in range(600)], "message_id int, reply_to int"))
+    got = {r.message_id: (r.root_id, r.depth) for r in out.collect()}
+    assert len(got) == 600 and got[599] == (480, 119) and got[6] == (6, 0) and got[10] == (7, 3)
+    assert sum(df.count() for df in written) < 12 * 600
