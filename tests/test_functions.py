@@ -264,3 +264,22 @@ def test_ended_walks_are_not_moved_again(spark, monkeypatch):
     got = {r.message_id: (r.root_id, r.depth) for r in out.collect()}
     assert len(got) == 600 and got[599] == (480, 119) and got[6] == (6, 0) and got[10] == (7, 3)
     assert sum(df.count() for df in written) < 12 * 600
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+def test_few_pairs_are_compared_exactly(monkeypatch, metric):
+    """A tile is one matrix product by any metric; of 400,000 pairs some thousands are compared element by element."""
+    rng = np.random.default_rng(3)
+    m, ids = rng.normal(size=(8000, 16)), rng.permutation(8000)
+    m[4000:] = m[:4000]  # ties
+    m[7], m[4007] = np.nan, 0.0
+    pairs, exact = [], vectors.distances
+    monkeypatch.setattr(vectors, "distances", lambda a, b, by="cosine": pairs.append(np.prod(np.broadcast_shapes(a.shape[1:], b.shape[1:]))) or exact(a, b, by))
+    best = retrieval.Best(m[:50], 6, metric)
+    for at in range(0, 8000, 1000):
+        best.add(ids[at : at + 1000], m[at : at + 1000])
+    assert sum(pairs) < 40_000
+    d = exact(m[:50].T[:, :, None], m.T[:, None], metric)
+    d[np.isnan(d)] = np.inf
+    first = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :6]
+    assert (best.ids == ids[first]).all() and (best.d == np.take_along_axis(d, first, 1)).all()
