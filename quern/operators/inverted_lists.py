@@ -4,7 +4,8 @@ Centroids are fitted by spherical k-means on a bounded sample (SAMPLE_FLOATS num
 at most, chosen by a hash of the id); every row with a vector is then written under
 the list of its nearest centroid. A search computes each query's nearest lists and
 compares the query with the rows of those lists only: rows meet queries by equality
-of list ids, one matrix product for each list in a batch. How many lists are probed
+of list ids, in tiles of one matrix product for each list in a batch; what may be
+among the best is compared exactly, so that copies tie wherever they lie. How many lists are probed
 is measured when the index is fitted: as many as bring RECALL of the true neighbours
 within the sample, where neighbours are farther apart than in the whole table.
 ``retrieval.knn`` is the exact path.
@@ -68,13 +69,15 @@ def fitted(m: np.ndarray, lists: int, rounds: int = ROUNDS, seed: int = 7) -> np
 
 def probes_for(m: np.ndarray, centroids: np.ndarray, k: int = 10, recall: float = RECALL) -> int:
     """How many lists hold ``recall`` of the ``k`` nearest of rows of the sample."""
-    asked = m[:CHECKED]
-    near = asked @ m.T
-    near[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-    k = min(k, len(m) - 1)
+    asked, k = m[:CHECKED], min(k, len(m) - 1)
     if k < 1:
         return 1
-    found = np.argpartition(-near, k - 1, 1)[:, :k]
+    found, step = [], max(1, 4_000_000 // len(m))
+    for at in range(0, len(asked), step):
+        far = -(asked[at : at + step] @ m.T)
+        far[np.arange(len(far)), np.arange(at, at + len(far))] = np.inf
+        found.append(np.argpartition(far, k - 1, 1)[:, :k])
+    found = np.concatenate(found)
     place = np.argsort(np.argsort(-(asked @ centroids.T), 1), 1)  # of each list among the row's nearest
     needed = np.sort(np.take_along_axis(place, nearest_lists(m, centroids)[:, 0][found], 1).ravel())
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
@@ -154,8 +157,10 @@ class InvertedLists:
         if len(by_list) <= NAMED_LISTS:
             rows = rows.where(F.col("list_id").isin(list(by_list)))
 
+        tile, tile_rows = retrieval.TILE, retrieval.TILE_ROWS
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_d, best_id = np.full((len(names), k), np.inf), np.zeros((len(names), k), np.int64)
+            best = retrieval.Best(wanted, k, tile=tile, tile_rows=tile_rows)
             for b in batches:
                 if not len(b):
                     continue
@@ -164,14 +169,10 @@ class InvertedLists:
                 cuts = np.flatnonzero(np.diff(lists[sort], prepend=-1))
                 for own in np.split(sort, cuts[1:]):
                     asking = by_list.get(int(lists[own[0]]))
-                    if asking is None:
-                        continue
-                    d = np.hstack([best_d[asking], 1 - wanted[asking] @ m[own].T])
-                    i = np.hstack([best_id[asking], np.broadcast_to(ids[own], (len(asking), len(own)))])
-                    first = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d[asking], best_id[asking] = np.take_along_axis(d, first, 1), np.take_along_axis(i, first, 1)
-            full = np.isfinite(best_d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, full.sum(1))), pa.array(best_id[full]), pa.array(best_d[full])], ["query_id", id_col, "distance"])
+                    if asking is not None:
+                        best.add(ids[own], m[own], asking)
+            full = np.isfinite(best.d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, full.sum(1))), pa.array(best.ids[full]), pa.array(best.d[full])], ["query_id", id_col, "distance"])
 
         return rows.mapInArrow(run, f"query_id long, {id_col} long, distance double")
 

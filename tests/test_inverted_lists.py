@@ -72,3 +72,23 @@ def test_empty_table_and_wrong_length(spark):
     assert [r.song_id for r in index.search(queries, 1).collect()] == [1]
     with pytest.raises(Exception):
         index.append(spark.createDataFrame([(3, [1.0, 0.0, 0.0])], "song_id long, embedding array<double>"))
+
+
+def test_hot_list_is_searched_in_tiles(monkeypatch):
+    """Many queries that ask one long list: no product of all of them at once."""
+    seen, within = [], retrieval._within
+    monkeypatch.setattr(retrieval, "_within", lambda s, *rest: seen.append(s.size) or within(s, *rest))
+    m = np.asarray([v for _, v in clustered(20_000, 8)])
+    best = retrieval.Best(m[:1000], 5)
+    best.add(np.arange(20_000), m, np.arange(0, 1000, 2))
+    assert max(seen) <= retrieval.TILE and sum(seen) == 500 * 20_000
+    assert (best.ids[::2, 0] == np.arange(0, 1000, 2)).all() and np.isinf(best.d[1::2]).all()
+
+
+def test_copies_tie_in_all_lists(spark):
+    """Copies of a vector, apart from each other in a list, tie to the last bit, so ids decide."""
+    base = clustered(300, 64, 5)
+    rows = [(i + 300 * n, v) for n in range(7) for i, v in base]
+    index = InvertedLists.build(spark.createDataFrame(rows, "song_id long, embedding array<double>"), files.scratch(spark, "t"), lists=3)
+    near = index.search(spark.createDataFrame(base, "query_id long, query_vector array<double>"), 7, probes=3).collect()
+    assert sorted((r.query_id, r["rank"], r.song_id) for r in near) == [(i, n + 1, i + 300 * n) for i in range(300) for n in range(7)]
