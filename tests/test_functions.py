@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions import embedders, scores, vectors
 from quern.functions import text as T
 from quern.operators import catalog, chat, retrieval
+from quern.plans import standins
 from quern.sources import files
 
 
@@ -283,3 +284,43 @@ def test_few_pairs_are_compared_exactly(monkeypatch, metric):
     d[np.isnan(d)] = np.inf
     first = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :6]
     assert (best.ids == ids[first]).all() and (best.d == np.take_along_axis(d, first, 1)).all()
+
+
+def test_single_precision_only_screens(monkeypatch):
+    """By cosine a tile is a product in single precision; neighbours that differ by less than it holds are still told apart, and few pairs are compared."""
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(40, 16))
+    m = np.concatenate([base + 1e-9 * rng.normal(size=base.shape) for _ in range(12)] + [rng.normal(size=(3520, 16)), np.zeros((1, 16))])
+    ids, kinds, pairs = rng.permutation(len(m)), set(), []
+    within, exact = retrieval._within, vectors.distances
+    monkeypatch.setattr(retrieval, "_within", lambda s, *rest: kinds.add(s.dtype) or within(s, *rest))
+    monkeypatch.setattr(vectors, "distances", lambda a, b, by="cosine": pairs.append(a.shape[1]) or exact(a, b, by))
+    best = retrieval.Best(base, 6, tile=1 << 14, tile_rows=512)
+    for at in range(0, len(m), 900):
+        best.add(ids[at : at + 900], m[at : at + 900])
+    d = exact(base.T[:, :, None], m.T[:, None])
+    first = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :6]
+    assert (best.ids == ids[first]).all() and (best.d == np.take_along_axis(d, first, 1)).all()
+    assert kinds == {np.dtype(np.float32)} and sum(pairs) < 4_000
+
+
+def test_three_signals_read_each_leg_once(spark):
+    """Whether a query's moments count is found in one pass: no second copy of the legs is joined to the first."""
+    leg = lambda rows: spark.createDataFrame(rows, "query_id long, song_id long, distance double")
+    meta, emotions = leg([(1, 10, 0.5), (1, 11, 0.25), (2, 10, 0.5)]), leg([(1, 11, 0.5), (2, 12, 0.25)])
+    moments = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0]), (12, None)], "song_id long, moment_vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "query_id long, query_vector array<double>")
+    out = retrieval.three_signals(meta, emotions, moments, queries, 5)
+    got = {(r.query_id, r.song_id): (r.d1, r.d2, r.d3) for r in out.collect()}
+    assert got == {(1, 10): (0.5, None, 0.0), (1, 11): (0.25, 0.5, 1.0), (2, 10): (0.5, None, None), (2, 12): (None, 0.25, None)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3
+
+
+def test_songs_with_vectors_are_not_sent_through_the_driver(spark, tmp_path):
+    """The keys of part, which compress well, are not broadcast: the join is by shuffle however small its sides look."""
+    spark.range(1000).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(100).selectExpr("id AS vec_id", "array(1.0f, 2.0f) AS embedding", "1 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    songs = standins.vector_songs(spark, str(tmp_path))
+    eligible = retrieval.eligible(songs).select("song_id", "embedding")
+    assert "Broadcast" not in eligible._jdf.queryExecution().executedPlan().toString()
+    assert (songs.count(), eligible.count()) == (1000, 94)
